@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from quire.llm.jaccard import op8_jaccard
 from quire.llm.mixing import op3_mixing
 from quire.llm.packing import op9_packing
+from quire.llm.pii import op4_pii
 from quire.llm.quality_rules import op10_quality_rules
+from quire.llm.topk import OP5_SQL, op5_topk
+from quire.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
+    "op5_topk": op5_topk,
+    "op7_warc": op7_warc,
+    "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL}
