@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows as a compressed table in the shared folder, for those that are many."""
+    spark = df.sparkSession
+    folder = fresh_dir(spark, what)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Adds row numbers from 0 in the given total order: a range sort, then a prefix sum of
     the partitions' sizes; no window over all rows and nothing but sizes on the driver."""
