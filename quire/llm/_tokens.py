@@ -32,8 +32,8 @@ def _plain(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-def encode(text: str, vocabulary: str = "byte_bpe_50k") -> np.ndarray:
-    """Ids as unsigned 32-bit numbers; a special token in the text is one id."""
-    if SPECIAL in text:
+def encode(text: str, vocabulary: str = "byte_bpe_50k", ordinary: bool = False) -> np.ndarray:
+    """Ids as unsigned 32-bit numbers; a special token in the text is one id, unless all text is ordinary."""
+    if SPECIAL in text and not ordinary:
         return np.array(_plain(f"{vocabulary}.json").encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(_fast(f"{vocabulary}.tiktoken").encode_ordinary(text), "<u4")

@@ -7,13 +7,19 @@ from quire.llm.mixing import op3_mixing
 from quire.llm.packing import op9_packing
 from quire.llm.pii import op4_pii
 from quire.llm.quality_rules import op10_quality_rules
+from quire.llm.suffix import op6_suffix
+from quire.llm.token_counts import op2_token_counts
 from quire.llm.topk import OP5_SQL, op5_topk
 from quire.llm.warc import OP7_SQL, op7_warc
+from quire.llm.weak_labels import op1_weak_labels
 
 QUERIES = {
+    "op1_weak_labels": op1_weak_labels,
+    "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_topk": op5_topk,
+    "op6_suffix": op6_suffix,
     "op7_warc": op7_warc,
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
