@@ -267,16 +267,24 @@ def _remove(keep_bytes: bool) -> Callable:
     return run
 
 
+def _first_ranks(texts: DataFrame) -> DataFrame:
+    rows = texts.select("doc", "text").mapInArrow(_emit, ROWS)
+    return rows.repartition("rank").sortWithinPartitions("rank", "second", "doc", "place").mapInArrow(_settle, "rank long, doc long, place long, settled boolean")
+
+
+def _last_ranks(first: DataFrame, texts: DataFrame) -> DataFrame:
+    rows = _by_document(first.filter("not settled"), texts.filter(F.octet_length("text") >= SPAN), _fetch, "rank long, doc long, place long, bytes binary", True)
+    return rows.repartition("rank").sortWithinPartitions("rank", "doc", "place").mapInArrow(_last_rank, "doc long, place long")
+
+
 def dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """One row for each row of `docs`: what goes and what is kept (as bytes, if asked for)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranked = texts.select("doc", "text").mapInArrow(_emit, ROWS).repartition("rank").sortWithinPartitions("rank", "second", "doc", "place")
-    first = _frames.stored(ranked.mapInArrow(_settle, "rank long, doc long, place long, settled boolean"), "ranks")
+    # No frame of a finished step is kept in a name: its shuffle files can go.
+    first = _frames.stored(_first_ranks(texts), "ranks")
     _frames.tidy(spark)
-    open_rows = _by_document(first.filter("not settled"), texts.filter(F.octet_length("text") >= SPAN), _fetch, "rank long, doc long, place long, bytes binary", True)
-    more = open_rows.repartition("rank").sortWithinPartitions("rank", "doc", "place").mapInArrow(_last_rank, "doc long, place long")
-    more = _frames.stored(more, "strings")
+    more = _frames.stored(_last_ranks(first, texts), "strings")
     _frames.tidy(spark)
     gone = first.filter("settled").select("doc", "place").unionByName(more).withColumn("rank", F.lit(None).cast("long"))
     return _by_document(gone, texts, _remove(keep_bytes), RESULT, False)

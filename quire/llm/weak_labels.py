@@ -1,7 +1,7 @@
 """Quality classifier: a weak-label model whose posteriors train a hashed linear scorer.
 
-Method: overlapping heuristic labellers vote good, bad or nothing on every document.  Their
-votes are counted by pattern over the whole corpus, at most 3 to the power of the labellers,
+Method: overlapping heuristic labellers vote good or bad, or not at all, on every document.  Their
+votes are counted by pattern over the whole corpus, at most 2 to the power of the labellers,
 so what expectation-maximisation needs is of fixed size: it estimates how often each labeller
 votes what on good and on bad documents, and the share of good ones, and gives every pattern
 its posterior.  The posteriors are soft labels for the scorer of `_hashed`, fitted on a
@@ -27,7 +27,13 @@ from quire.llm import _flat, _frames, _hashed, quality_rules
 SAMPLE_ROWS = 4096
 THRESHOLD = 0.25
 ABSTAIN, BAD, GOOD = 0, 1, 2
-LABELLERS = ("length", "repeats", "lines", "symbols", "capitals", "word_length", "shouts", "variety")
+LABELLERS = ("too_few", "repeats", "lines", "symbols", "capitals", "word_length", "shouts", "variety", "length", "sentences")
+#: What is believed of every labeller before any document is seen, with the weight of PRIOR of
+#: the corpus: (class, vote) rates for classes bad and good and votes nothing, bad and good.
+_CRITIC = [[0.75, 0.249, 0.001], [0.98, 0.019, 0.001]]
+_FRIEND = [[0.499, 0.001, 0.5], [0.299, 0.001, 0.7]]
+BELIEF = np.array([*[_CRITIC] * 8, *[_FRIEND] * 2])
+PRIOR, SHARE = 0.02, 0.85
 
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -58,18 +64,26 @@ def votes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple]:
     repeats = figures["n_repeat_words"] / per
     copies = figures["n_dup_lines"] / lines
 
-    def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-        return np.where(bad, BAD, np.where(good, GOOD, ABSTAIN))
+    stops = data[ends - 1] == 46 if len(ends) else np.zeros(0, bool)
+    sentences = _flat.per_text(stops, bounds) / per
+
+    def bad(mask: np.ndarray) -> np.ndarray:
+        return np.where(mask, BAD, ABSTAIN)
+
+    def good(mask: np.ndarray) -> np.ndarray:
+        return np.where(mask, GOOD, ABSTAIN)
 
     rows = [
-        vote(n < 3, n >= 40),
-        vote(repeats > 0.2, (repeats == 0) & (n >= 20)),
-        vote(copies >= 0.3, (copies == 0) & (lines > 1)),
-        vote(symbols > 0.1, (symbols < 0.01) & (n >= 10)),
-        vote((capital > 0.4) & (letters >= 20), (capital < 0.1) & (letters >= 20)),
-        vote((length < 2.5) | (length > 12), (length >= 4) & (length <= 8)),
-        vote(shouts > 0.2, (shouts == 0) & (n >= 10)),
-        vote((distinct < 0.2) & (n >= 30), (distinct >= 0.4) & (n >= 30)),
+        bad(n < 3),
+        bad(repeats > 0.2),
+        bad(copies >= 0.3),
+        bad(symbols > 0.1),
+        bad((capital > 0.4) & (letters >= 20)),
+        bad((length < 2.5) | (length > 12)),
+        bad(shouts > 0.2),
+        bad((distinct < 0.2) & (n >= 30)),
+        good(n >= 40),
+        good((sentences > 0.02) & (sentences < 0.3)),
     ]
     return np.stack(rows, 1), parts
 
@@ -87,20 +101,21 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LAB
     """
     votes_ = (patterns[:, None] // 3 ** np.arange(labellers)) % 3
     weight = counts / max(counts.sum(), 1)
-    good = (1 + (votes_ == GOOD).sum(1)) / (2 + (votes_ == GOOD).sum(1) + 2 * (votes_ == BAD).sum(1))
-    rates, share = np.zeros((labellers, 2, 3)), 0.5
-    for _ in range(rounds):
-        for c, p in ((0, 1 - good), (1, good)):
-            mass = weight * p
-            for v in range(3):
-                rates[:, c, v] = (mass @ (votes_ == v) + 1e-4) / (mass.sum() + 3e-4)
-        share = float(np.clip((weight * good).sum(), 1e-4, 1 - 1e-4))
-        # Abstaining says nothing about quality: only cast votes count.
-        log = np.log(share / (1 - share)) + sum(np.where(votes_[:, k] == ABSTAIN, 0.0, np.log(rates[k, 1, votes_[:, k]] / rates[k, 0, votes_[:, k]])) for k in range(labellers))
+    good, share = np.full(len(patterns), SHARE), SHARE
+    rates = BELIEF[:labellers].copy()
+    for turn in range(rounds):
+        if turn:
+            for c, p in ((0, 1 - good), (1, good)):
+                mass = weight * p
+                for v in range(3):
+                    rates[:, c, v] = (mass @ (votes_ == v) + PRIOR * BELIEF[:labellers, c, v]) / (mass.sum() + PRIOR)
+            share = float(np.clip((weight * good).sum(), 1e-4, 1 - 1e-4))
+        # A labeller that stays silent says something too: a critic does so on good documents.
+        log = np.log(share / (1 - share)) + sum(np.log(rates[k, 1, votes_[:, k]] / rates[k, 0, votes_[:, k]]) for k in range(labellers))
         now = _hashed.sigmoid(log)
         moved = float(np.abs(now - good).max(initial=0.0))
         good = now
-        if moved < 1e-9:
+        if turn and moved < 1e-9:
             break
     return good, rates, share
 
@@ -115,7 +130,7 @@ def classify(docs: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESH
     """(doc_id, pattern, posterior, probability, kept) of every document."""
     texts = docs.select("doc_id", "text")
     voted = _frames.cut(texts.mapInArrow(_vote, "doc_id long, pattern long"))
-    # At most 3 to the power of the labellers: 6,561 rows.
+    # Every labeller has two ways to vote: at most 2 to the power of the labellers, 1,024 rows.
     counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
     codes = counted["pattern"].to_numpy(np.int64)
     good, _, _ = posterior(codes, counted["n"].to_numpy(np.float64)) if len(codes) else (np.zeros(0), None, 0.5)
