@@ -27,17 +27,20 @@ from quire.llm import _flat, _frames, _hashed, quality_rules
 SAMPLE_ROWS = 4096
 THRESHOLD = 0.25
 ABSTAIN, BAD, GOOD = 0, 1, 2
-LABELLERS = ("too_few", "repeats", "lines", "symbols", "capitals", "word_length", "shouts", "variety", "length", "sentences")
+LABELLERS = ("too_few", "repeats", "lines", "symbols", "capitals", "word_length", "shouts", "variety", "odd_ends", "alphabet", "length", "sentences")
 #: What is believed of every labeller before any document is seen, with the weight of PRIOR of
 #: the corpus: (class, vote) rates for classes bad and good and votes nothing, bad and good.
 _CRITIC = [[0.75, 0.249, 0.001], [0.98, 0.019, 0.001]]
 _FRIEND = [[0.499, 0.001, 0.5], [0.299, 0.001, 0.7]]
-BELIEF = np.array([*[_CRITIC] * 8, *[_FRIEND] * 2])
+BELIEF = np.array([*[_CRITIC] * 10, *[_FRIEND] * 2])
 PRIOR, SHARE = 0.02, 0.85
 
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER[65:91] = _LETTER[97:123] = True
+#: Printable signs that end a word of prose rarely.
+_ODD_END = np.zeros(256, bool)
+_ODD_END[list(b"#$%&*+/<=>@\\^_`{|}~")] = True
 
 
 def votes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -67,6 +70,9 @@ def votes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple]:
     stops = data[ends - 1] == 46 if len(ends) else np.zeros(0, bool)
     sentences = _flat.per_text(stops, bounds) / per
 
+    odd = _flat.per_text(_ODD_END[data[ends - 1]], bounds) / per if len(ends) else np.zeros(len(n))
+    alphabet = total(_LETTER[data] | (data >= 128)) / np.maximum(total(~_flat.SEP[data]), 1)
+
     def bad(mask: np.ndarray) -> np.ndarray:
         return np.where(mask, BAD, ABSTAIN)
 
@@ -82,6 +88,8 @@ def votes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, tuple]:
         bad((length < 2.5) | (length > 12)),
         bad(shouts > 0.2),
         bad((distinct < 0.2) & (n >= 30)),
+        bad(odd > 0.2),
+        bad((alphabet < 0.92) & (n >= 5)),
         good(n >= 40),
         good((sentences > 0.02) & (sentences < 0.3)),
     ]
@@ -130,7 +138,7 @@ def classify(docs: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESH
     """(doc_id, pattern, posterior, probability, kept) of every document."""
     texts = docs.select("doc_id", "text")
     voted = _frames.cut(texts.mapInArrow(_vote, "doc_id long, pattern long"))
-    # Every labeller has two ways to vote: at most 2 to the power of the labellers, 1,024 rows.
+    # Every labeller has two ways to vote: at most 2 to the power of the labellers, 4,096 rows.
     counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
     codes = counted["pattern"].to_numpy(np.int64)
     good, _, _ = posterior(codes, counted["n"].to_numpy(np.float64)) if len(codes) else (np.zeros(0), None, 0.5)
