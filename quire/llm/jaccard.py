@@ -361,5 +361,34 @@ def classes(docs: DataFrame) -> DataFrame:
     return keyed.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` of which one stays for each class: the one with the smallest doc_id.
+
+    Wordless rows stay.  Rows that repeat an id and a text count as copies; one of them stays.
+    """
+    keyed, labels = link(docs)
+    rows = keyed.filter("n > 0").join(labels, "key", "left").select("doc_id", "key", F.coalesce("comp", "key").alias("comp"))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
+    stay = best.select("best.doc_id", "best.key").unionByName(keyed.filter("n = 0").select("doc_id", "key"))
+    stay = _frames.cut(stay.distinct().select(F.col("doc_id").alias("_stays"), F.col("key").alias("_key")))
+    left = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"])).drop("_stays")
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one id come together: the copies of one that has been passed on are dropped.
+        doc, passed = None, set()
+        for step, sets in _sets(batches):
+            ids, wanted, keep = step.column("doc_id").to_pylist(), step.column("_key").to_pylist(), []
+            for d, w, s in zip(ids, wanted, sets, strict=True):
+                if d != doc:
+                    doc, passed = d, set()
+                keep.append(key_of(s) == w and (w < 0 or w not in passed))
+                if keep[-1]:
+                    passed.add(w)
+            yield step.drop_columns(["_key"]).filter(pa.array(keep))
+
+    return left.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -124,6 +124,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) ->
     return rows.groupBy("source", "_bucket").applyInArrow(dealt, schema)
 
 
+def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """`docs` as the mix takes them: each row as often as its copies say."""
+    rows = docs.select("doc_id", "source", size_of().alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    taken = mix(rows, weights, cap).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", size_of().alias("size"))
     mixed = mix(_frames.cut(docs))
