@@ -1,8 +1,56 @@
-"""The document pipeline: quality, near copies, personal data, mixture, packing."""
+"""The document pipeline: quality rules, near copies, personal data, mixture, packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet to
+the folder that the cluster shares and reads it back as the next stage's `docs`.  All but the
+last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import _frames, jaccard, mixing, packing, pii, quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.filter_quality(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that link by five-word shingles, the one with the smallest id stays."""
+    return jaccard.representatives(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in brackets."""
+    return pii.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their source's target asks, copies as rows of their own."""
+    return mixing.mixed_rows(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mixture),
+    ("packing", packed),
+]
+
+#: SQL can express neither the fitted verdict of the first stage nor the tokens of the last.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = _frames.stored(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
+    return docs
