@@ -68,7 +68,7 @@ def key_of(own: np.ndarray) -> int:
     """A 64-bit name of a set, not negative; -1 for the empty set."""
     if not len(own):
         return -1
-    total = _flat.mix(own ^ _flat._ODD[50]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)) * _flat._ODD[51]
+    total = _flat.mix(own ^ _flat._ODD[50]).sum(dtype=np.uint64, keepdims=True) + np.array([len(own)], np.uint64) * _flat._ODD[51]
     return int(_flat.mix(total)[0] >> np.uint64(1))
 
 
