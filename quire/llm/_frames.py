@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,9 +53,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+
+    The driver's Python gives up its references in the background, hence the second turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
