@@ -98,11 +98,13 @@ def round_copies(rates: Sequence[float], sizes: Sequence[int]) -> list[int]:
     return copies
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """All rows of `docs` with size, source_size, target and copies.
+def mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, copies), one row for each row of `docs`.
 
-    `docs` has doc_id, source and size; columns of other names pass through.
+    `row` is a struct of all columns of `docs`, so that none of them can clash with ours.
     """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    docs = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size.cast("long").alias("size"))
     sizes = _frames.cut(docs.select("source", "size"))
     targets = _frames.cut(source_targets(sizes, weights, cap))
     cells = targets.select("source", F.col("source_size").alias("tokens"), F.col("target").alias("target_source"))
@@ -126,12 +128,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) ->
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """`docs` as the mix takes them: each row as often as its copies say."""
-    rows = docs.select("doc_id", "source", size_of().alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    taken = mix(rows, weights, cap).filter("copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    taken = mix(docs, size_of(), weights, cap).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", size_of().alias("size"))
-    mixed = mix(_frames.cut(docs))
+    mixed = mix(_frames.cut(docs), F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

@@ -8,8 +8,8 @@ match but keeps very long runs of one character linear.
 
 Kinds: email, ip (parts up to 255), card (16 to 19 digits passing Luhn), phone (8 to 15
 digits); the method adds iban (mod-97) and ssn (number ranges), which must reach SURE.  A
-score starts at the kind's prior, rises when a checksum confirms it and rises or falls with
-words within NEAR characters.  Spans are in code points, ends exclusive.
+score starts at the kind's prior, rises when a checksum confirms it, rises with words within
+NEAR characters and falls with words that speak against it before.  Spans are in code points, ends exclusive.
 
 Defined cases: a null text counts as empty and has no spans; null ids and repeated rows pass
 through; an empty table gives an empty result; other columns are left alone.
@@ -114,8 +114,9 @@ def _found(kind: Kind, matches: str, pieces: str) -> Column:
     def step(state: Column, part: Column) -> Column:
         start = state["pos"] + F.length(part["before"])
         end = start + F.length(part["match"])
-        near = F.lower(F.concat(F.right(part["before"], F.lit(NEAR)), F.lit(" "), F.left(part["after"], F.lit(NEAR))))
-        score = F.lit(kind.prior + kind.confirmed) + F.when(near.rlike(kind.words), 0.3).otherwise(0.0) - F.when(near.rlike(kind.against), 0.3).otherwise(0.0)
+        ahead = F.lower(F.right(part["before"], F.lit(NEAR)))
+        near = F.concat(ahead, F.lit(" "), F.lower(F.left(part["after"], F.lit(NEAR))))
+        score = F.lit(kind.prior + kind.confirmed) + F.when(near.rlike(kind.words), 0.3).otherwise(0.0) - F.when(ahead.rlike(kind.against), 0.3).otherwise(0.0)
         score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
         holds = kind.confirm(part["match"]) if kind.base else kind.confirm(part["match"]) & (score >= SURE)
         span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")))
@@ -130,7 +131,9 @@ def _found(kind: Kind, matches: str, pieces: str) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Adds `pii`, the array of all spans by kind, then start."""
+    """(row, doc_id, text, pii): `row` is a struct of all columns of `docs`, `pii` the array of
+    all spans by kind, then start."""
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     names = {k.name: f"_pii_{k.name}" for k in KINDS}
     empty = F.array().cast("array<string>")
@@ -175,10 +178,15 @@ def redact(docs: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("_end"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     rebuilt = F.aggregate(ordered, zero, step, lambda state: F.concat(F.array_join(state["out"], ""), F.substr(F.col("text"), state["pos"] + 1)))
-    df = find(docs).withColumn("text", F.when(F.size("pii") > 0, rebuilt).otherwise(F.col("text"))).drop("pii")
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+    df = find(docs).withColumn("text", F.when(F.size("pii") > 0, rebuilt).otherwise(F.col("text")))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        own = F.col("row").getField(name)
+        return (F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema[name].dataType)) if name == "n_chars" else own).alias(name)
+
+    return df.select(*map(column, docs.columns))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,8 @@ def water(sizes, weights):
 
 def test_mix_meets_targets(spark, make, odd):
     rows = [(i, t, ["b", "é", None, "Z", "a", ""][k % 6] if k % 9 else "tiny") for k, (i, t) in enumerate(odd * 6)]
-    docs = make(rows).select("*").withColumn("size", mixing.size_of())
-    got = mixing.mix(docs).collect()
+    docs = make(rows)
+    got = mixing.mix(docs, mixing.size_of()).collect()
     assert len(got) == len(rows)
     n = lambda t: len(WORD.findall(t or ""))
     order = sorted({r[2] for r in rows if r[2] is not None}, key=lambda s: s.encode()) + [None]
@@ -112,13 +112,13 @@ def test_mix_meets_targets(spark, make, odd):
         assert all(0 <= r.copies <= 3 for r in own)
         taken = sum(r.copies * r.size for r in own)
         assert abs(taken - target[k]) <= max(3, 0.02 * target[k])
-    again = mixing.mix(docs.repartition(7)).collect()
+    again = mixing.mix(docs.repartition(7), mixing.size_of()).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_mix_of_nothing(make):
-    assert mixing.mix(make([]).withColumn("size", mixing.size_of())).count() == 0
-    assert [r.copies * r.size for r in mixing.mix(make([(1, ""), (2, None)]).withColumn("size", mixing.size_of())).collect()] == [0, 0]
+    assert mixing.mix(make([]), mixing.size_of()).count() == 0
+    assert [r.copies * r.size for r in mixing.mix(make([(1, ""), (2, None)]), mixing.size_of()).collect()] == [0, 0]
 
 
 def test_two_margins_are_balanced(spark):

@@ -43,7 +43,7 @@ def test_no_personal_data_is_left(stages):
 
 def test_mixture_takes_copies(stages):
     _, before, after = stages[3]
-    want = mixing.mix(before.withColumn("size", mixing.size_of())).agg({"copies": "sum"}).first()[0]
+    want = mixing.mix(before, mixing.size_of()).agg({"copies": "sum"}).first()[0]
     assert after.count() == want
 
 

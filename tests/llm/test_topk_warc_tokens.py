@@ -40,7 +40,7 @@ def test_topk_with_ties_holes_and_lengths(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
     rows += [(1000 + i, [0.5] * 6) for i in range(200)] + [(1000, [0.5] * 6), (50, [0.5] * 6), (50, [0.5] * 6)]
-    rows += [(400, None), (450, [1.0, None, 1, 1, 1, 1]), (500, [float("nan")] * 6), (550, [float("inf")] * 6), (None, [1.0] * 6), (600, []), (650, [1.0, 2.0]), (651, [3.0, 4.0]), (-50, [-0.001] * 6), (700, [1e30] * 6 if False else [4.0] * 6)]
+    rows += [(400, None), (450, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (500, [float("nan")] * 6), (550, [float("inf")] * 6), (None, [1.0] * 6), (600, []), (650, [1.0, 2.0]), (651, [3.0, 4.0]), (-50, [-0.001] * 6), (700, [4.0] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, shard_rows=40).collect())
     assert got == brute(rows)
@@ -71,10 +71,10 @@ def archive(spark, tmp_path_factory):
 
 def test_warc_round_trip(spark, archive):
     _, folder, manifest = archive
-    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(manifest, folder).collect())
-    x = len("x" * 1200)
-    assert got == sorted([(1, 9, "response", None), (2, x, "revisit", 3), (3, x, "response", None), (3, x, "response", None), (-1, x, "revisit", 3), (4, 999, "response", None), (5, 999, "response", None), (6, 0, "response", None), (7, 0, "response", None), (8, 1000, "revisit", 9), (9, 1000, "response", None), (10, 1800, "response", None)], key=str) or got == sorted(
-        [(1, 9, "response", None), (2, x, "revisit", 3), (3, x, "response", None), (3, x, "response", None), (-1, x, "revisit", 3), (4, 999, "response", None), (5, 999, "response", None), (6, 0, "response", None), (7, 0, "response", None), (8, 1000, "revisit", 9), (9, 1000, "response", None), (10, 1800, "response", None)], key=lambda r: (r[0], r[1], r[2], r[3] or 0))
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read(manifest, folder).collect())
+    want = [(1, 9, "response", 0), (2, 1200, "revisit", 3), (3, 1200, "response", 0), (3, 1200, "response", 0), (-1, 1200, "revisit", 3), (4, 999, "response", 0), (5, 999, "response", 0)]
+    want += [(6, 0, "response", 0), (7, 0, "response", 0), (8, 1000, "revisit", 9), (9, 1000, "response", 0), (10, 1800, "response", 0)]
+    assert got == sorted(want)
 
 
 def test_warc_files_are_deterministic_and_whole(spark, archive, tmp_path):
