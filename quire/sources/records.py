@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quire.functions import text as X
 
@@ -44,7 +45,7 @@ def records(data: bytes) -> list[tuple[int, int, bytes]]:
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def text_records(data: pd.Series) -> pd.Series:
     """The decoded paragraph texts of each stream, as they stand there."""
     return data.map(lambda raw: [] if raw is None else [p.decode("utf-16-le", errors="replace") for tag, _, p in records(inflate(bytes(raw))) if tag == PARAGRAPH_TEXT and p])
@@ -52,7 +53,7 @@ def text_records(data: pd.Series) -> pd.Series:
 
 def body_text(stream: Column) -> Column:
     """Readable paragraph texts of a stream, cleaned of controls and noise."""
-    return X.clean_controls(F.array_join(F.filter(text_records(stream), X.looks_like_text), ""))
+    return X.clean_controls(F.array_join(F.filter(text_records(stream), lambda t: X.looks_like_text(t)), ""))
 
 
 def preview_text(stream: Column, most: int) -> Column:

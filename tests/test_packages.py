@@ -1,0 +1,167 @@
+from __future__ import annotations
+
+import struct
+import zipfile
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators import events, forms
+from quire.sources import packages, records
+from quire.streaming import dashboard
+
+HP = packages.SPACES["hp"]
+
+
+def p(text="", inner="", refs=""):
+    return f'<hp:p{refs}><hp:run charPrIDRef="0"><hp:t>{text}</hp:t>{inner}</hp:run></hp:p>'
+
+
+def tbl(rows):
+    return "<hp:tbl>" + "".join("<hp:tr>" + "".join(f"<hp:tc>{c}</hp:tc>" for c in r) + "</hp:tr>" for r in rows) + "</hp:tbl>"
+
+
+def sec(*paragraphs):
+    return f'<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="{packages.SPACES["hs"]}" xmlns:hp="{HP}">' + "".join(paragraphs) + "</hs:sec>"
+
+
+HEADER = f'<hh:head xmlns:hh="{packages.SPACES["hh"]}"><hh:fontface id="1" name="Batang"/><hh:charPr id="5" height="2000"><hh:fontRef hangul="1"/></hh:charPr><hh:charPr id="6" height="x"/><hh:paraPr id="2"/><hh:style id="9" name="제목 1" charPrIDRef="5" paraPrIDRef="2"/></hh:head>'
+
+
+def package(path, parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    base = tmp_path_factory.mktemp("packages")
+    span = '<hp:cellSpan colSpan="2" rowSpan="3"/>'
+    inner = tbl([[p("inner")]])
+    first = sec(p("[서식 1] 표지"), p("own", tbl([[p("라벨"), span + p("값") + p("둘")], [p("outer", inner), ""]])), p("tail"))
+    package(base / "a.hwpx", {"mimetype": "application/hwp+zip", "Contents/section0.xml": first, "Contents/section10.xml": sec(p("ten")), "Contents/section2.xml": sec(p("two"), p()), "Contents/header.xml": HEADER, "Contents/content.hpf": "section0 section2 section10", "Preview/PrvImage.png": b"\x89PNG"})
+    package(base / "b.hwpx", {"Contents/section0.xml": "<broken"})
+    (base / "c.hwpx").write_bytes(b"no zip")
+    (base / "d.txt").write_text("﻿한글", encoding="utf-8")
+    return str(base)
+
+
+@pytest.fixture(scope="module")
+def parts(spark, folder):
+    return packages.parts(spark, folder)
+
+
+def name(df):
+    return df.withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
+def test_listing_and_texts(spark, folder):
+    assert sorted(r.path.rpartition("/")[2] for r in packages.listing(spark, folder, pattern="*.hwpx").collect()) == ["a.hwpx", "b.hwpx", "c.hwpx"]
+    assert packages.listing(spark, folder + "/none").count() == 0
+    assert [r.text for r in packages.texts(spark, folder).collect()] == ["한글"]
+
+
+def test_parts_and_damage(spark, folder, parts):
+    rows = name(parts).collect()
+    assert len([r for r in rows if r.path == "a.hwpx"]) == 7 and [r.error is not None for r in rows if r.path == "c.hwpx"] == [True]
+    assert packages.parts(spark, folder, packages.any_of(["Contents/header.xml"])).filter("part is not null").count() == 1
+    assert bytes(name(packages.thumbnails(parts)).first().image) == b"\x89PNG"
+
+
+def sections(parts):
+    return parts.filter(F.col("part").rlike(packages.SECTION))
+
+
+def test_text_in_numeric_order_of_sections(parts):
+    found = packages.paragraphs(sections(parts))
+    assert [r.text for r in packages.full_text(found).collect()] == ["[서식 1] 표지\nown라벨값둘outerinner\ntail\n\ntwo\n\nten"]
+    assert [r.text for r in found.filter("n_tables > 0").collect()] == ["own"]
+    assert name(packages.counts(found)).collect()[0].n_paragraphs == 6
+
+
+def test_cells_with_nested_tables(parts):
+    rows = packages.cells(sections(parts)).collect()
+    got = [(r.para_index, r.table_idx, r["row"], r.col, r.text, r.row_span, r.col_span) for r in rows]
+    assert got == [(1, 0, 0, 0, "라벨", 1, 1), (1, 0, 0, 1, "값둘", 3, 2), (1, 0, 1, 0, "outerinner", 1, 1), (1, 0, 1, 1, "", 1, 1), (1, 1, 0, 0, "inner", 1, 1)]
+    para = packages.paragraphs(sections(parts)).withColumn("doc_id", F.col("path")).filter("part like '%section0%'")
+    assert {r.form_id for r in forms.segment(para.select("doc_id", "para_index", "text")).collect()} == {"form_1"}
+
+
+def test_header(parts):
+    rows = {(r.kind, r.id): r for r in packages.header(parts.filter("part = 'Contents/header.xml'")).collect()}
+    assert rows["charPr", "5"].height_pt == 20.0 and rows["charPr", "5"].font == "Batang" and rows["charPr", "6"].height_pt == 0.0
+    assert (rows["style", "9"].name, rows["style", "9"].char, rows["style", "9"].para) == ("제목 1", "5", "2")
+
+
+def test_edit_write_and_read_again(spark, parts, tmp_path):
+    mine = parts.filter(F.col("path").endswith("a.hwpx"))
+    path = mine.first().path
+    edits = spark.createDataFrame([(path, "Contents/section0.xml", 1, 0, 0, 1, "새 값"), (path, "Contents/section0.xml", 1, 0, 9, 9, "lost"), (path, "Contents/section0.xml", 1, 0, 1, 1, "no text node")], "path string, part string, para_index int, table_idx int, row int, col int, new_text string")
+    out = f"file://{tmp_path}/out"
+    done = packages.write(packages.repaired(packages.write_cells(mine, edits)), out).collect()
+    assert [(r.file, r.n_parts) for r in done] == [("a.hwpx", 7)]
+    again = packages.parts(spark, f"{tmp_path}/out")
+    assert [r.text for r in packages.cells(sections(again)).collect()] == ["라벨", "새 값", "outerinner", "", "inner"]
+    packages.write(packages.repaired(packages.write_cells(mine, edits)), out).collect()  # the same bytes again
+    with pytest.raises(Exception, match="FileExistsError"):
+        packages.write(mine, out).collect()
+    with zipfile.ZipFile(tmp_path / "out/a.hwpx") as z:
+        assert z.namelist()[0] == "mimetype" and z.testzip() is None
+
+
+def test_repair(spark):
+    def fix(xml, tables=False):
+        return spark.createDataFrame([(xml,)], "x string").select(packages.repair(F.col("x"), tables).alias("x")).first().x
+
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n'
+    assert fix('<ns0:p xmlns:ns0="u" ns1:a="1">&amp;amp; &amp;lt;</ns0:p>') == head + '<p a="1">&amp; &lt;</p>'
+    assert fix('<?xml version="1.0"?><t treatAsChar="1" horzRelTo="COLUMN" vertsize="10000" x="999"/>', True) == '<?xml version="1.0"?><t treatAsChar="0" horzRelTo="PARA" vertsize="1200" x="999"/>'
+
+
+def test_sections_from_paragraphs_and_html(spark, parts, tmp_path):
+    rows = spark.createDataFrame([("n.hwpx", 1, "body", "b & <c>", "1", "2", "3"), ("n.hwpx", 0, "H1", "a", "1", "2", "3")], "path string, seq int, type string, text string, para string, char string, style string")
+    packages.write(packages.section_xml(rows), f"file://{tmp_path}/made").collect()
+    found = packages.paragraphs(packages.parts(spark, f"{tmp_path}/made"))
+    assert [r.text for r in found.orderBy("para_index").collect()] == ["a", "b & <c>"]
+    html = packages.render_html(packages.paragraphs(sections(parts)), packages.cells(sections(parts))).first().html
+    assert "<td>라벨</td><td>값둘</td>" in html and ">own<" not in html and "tail" in html
+
+
+def stream(*rows):
+    out = b""
+    for tag, text in rows:
+        data = text.encode("utf-16-le") if isinstance(text, str) else text
+        size = min(len(data), 0xFFF)
+        out += struct.pack("<I", tag | size << 20) + (struct.pack("<I", len(data)) if size == 0xFFF else b"") + data
+    return out
+
+
+def test_record_streams(spark):
+    tag = records.PARAGRAPH_TEXT
+    long = "가" * 3000
+    raw = stream((tag, "첫 줄\r"), (5, b"skip"), (tag, "捤獥汤捯"), (tag, long)) + struct.pack("<I", tag | 50 << 20) + b"cut"
+    packed = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = packed.compress(raw) + packed.flush()
+    assert [t for t, _, _ in records.records(raw)] == [tag, 5, tag, tag]
+    rows = [("a", "BodyText/Section10", stream((tag, "열"))), ("a", "BodyText/Section2", packed), ("a", "PrvText", "미리".encode("utf-16-le")), ("b", "PrvText", "미리\0 보기".encode("utf-16-le")), ("c", "DocInfo", b"")]
+    got = {r.path: (r.text, r.source, r.error) for r in records.texts(spark.createDataFrame(rows, "path string, name string, data binary")).collect()}
+    assert got["a"] == (f"첫 줄\n{long}\n열", "body", None)
+    assert got["b"] == ("미리 보기", "preview", None) and got["c"] == (None, "none", "no text")
+
+
+def test_streaming_dashboard_ends_as_the_batch_one(spark, tmp_path):
+    rows = [(1_700_000_000.0 + i, events.IMPRESSION if i % 3 else events.CLICK, ["a", "b", ""][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "ts double, event string, channel string")
+    df.repartition(3).write.json(f"{tmp_path}/log")
+    since = F.timestamp_seconds(F.lit(1_700_000_010.0))
+    dashboard.start(spark, f"{tmp_path}/log", since, "live", f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, events.by_channel(df, since).collect()))
+
+
+def test_windowed_counts(spark):
+    df = spark.createDataFrame([(0.0, "a"), (3599.0, "a"), (3600.0, None)], "ts double, event string")
+    assert sorted((r.window.start.hour, r.event, r.n) for r in dashboard.windowed(df).collect()) == [(0, "a", 2), (1, "?", 1)]
+
+
