@@ -392,3 +392,20 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select shingle from s group by shingle having count(*) > 1),
+c as (select s.doc_id, s.shingle from s join shared using (shingle)),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as k from c x join c y on x.shingle = y.shingle and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+links as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 80 * (na.n + nb.n - k)),
+ends as (select a, b from links union all select b, a from links),
+reach(a, b) as (select a, b from ends union select r.a, e.b from reach r join ends e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join (select a, min(b) as least from reach group by a) m on m.a = d.doc_id
+"""

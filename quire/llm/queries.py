@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm.jaccard import op8_jaccard
+from quire.llm.jaccard import OP8_SQL, op8_jaccard
 from quire.llm.mixing import op3_mixing
 from quire.llm.packing import op9_packing
 from quire.llm.pii import op4_pii
 from quire.llm.quality_rules import op10_quality_rules
-from quire.llm.suffix import op6_suffix
+from quire.llm.suffix import OP6_SQL, op6_suffix
 from quire.llm.token_counts import op2_token_counts
 from quire.llm.topk import OP5_SQL, op5_topk
 from quire.llm.warc import OP7_SQL, op7_warc
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {"op5_topk": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLE: dict[str, str] = {"op5_topk": OP5_SQL, "op6_suffix": OP6_SQL, "op7_warc": OP7_SQL, "op8_jaccard": OP8_SQL}

@@ -292,3 +292,20 @@ def dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept")
+
+
+OP6_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, unnest(range(0, n - 49)) as p, h from d where n >= 50),
+s as (select doc_id, p, substr(h, 2 * p + 1, 100) as v from w),
+f as (select v, min(doc_id) as first from s group by v having count(*) > 1),
+r as (select s.doc_id, p from s join f using (v) where s.doc_id > first),
+c as (select distinct doc_id, unnest(range(p, p + 50)) as i from r),
+g as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from c),
+t as (select doc_id, count(*) as n_removed, count(*) filter (before is null or before < i - 1) as n_spans from g group by doc_id),
+b as (select doc_id, unnest(range(0, n)) as i, h from d where doc_id in (select doc_id from t)),
+k as (select b.doc_id, string_agg(substr(h, 2 * b.i + 1, 2), '' order by b.i) as kept from b left join c on c.doc_id = b.doc_id and c.i = b.i where c.i is null group by b.doc_id)
+select d.doc_id, d.n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(case when t.doc_id is null then d.h else coalesce(k.kept, '') end)) as kept_sha256
+from d left join t using (doc_id) left join k using (doc_id)
+"""
