@@ -184,6 +184,29 @@ def cost_report(calls: DataFrame, by: str = "model") -> DataFrame:
     return out.withColumns({"krw": F.round(F.col("usd") * KRW_PER_USD, 4), "batch_usd": F.round(F.col("usd") * BATCH_DISCOUNT, 8)})
 
 
+def ensemble(draws: DataFrame, aggregated: DataFrame) -> DataFrame:
+    """(doc_id, outcome, tokens_in, tokens_out, price_in, price_out) of ensembles.
+
+    `draws` is (doc_id, draw, error, tokens_in, tokens_out, tokens_think, price_in, price_out),
+    `aggregated` the same without draw and error, one row a document.  No draw without an error
+    is a failure, a single one stands as it is, of several the aggregator's answer counts; its
+    tokens are added and prices are means weighted by tokens.
+    """
+    out = F.col("tokens_out") + F.col("tokens_think")
+    fine = F.col("error").isNull()
+    sums = draws.groupBy("doc_id").agg(
+        F.count_if(fine).alias("n_draws"),
+        *(F.sum(F.when(fine, c).otherwise(0)).alias(n) for n, c in (("_in", F.col("tokens_in")), ("_out", out), ("_cost_in", F.col("tokens_in") * F.col("price_in")), ("_cost_out", out * F.col("price_out")))),
+    )
+    extra = aggregated.select("doc_id", F.col("tokens_in").alias("_a_in"), out.alias("_a_out"), F.col("price_in").alias("_p_in"), F.col("price_out").alias("_p_out"))
+    df = sums.join(extra, "doc_id", "left")
+    used = F.col("n_draws") > 1
+    add = lambda own, more: F.col(own) + F.when(used, F.coalesce(more, F.lit(0))).otherwise(0)
+    mean = lambda cost_, n, a, p: F.when(add(n, F.col(a)) > 0, add(cost_, F.col(a) * F.col(p)) / add(n, F.col(a))).otherwise(0.0)
+    outcome = F.when(F.col("n_draws") == 0, "failed").when(~used, "single").otherwise("aggregated")
+    return df.select("doc_id", "n_draws", outcome.alias("outcome"), add("_in", F.col("_a_in")).alias("tokens_in"), add("_out", F.col("_a_out")).alias("tokens_out"), mean("_cost_in", "_in", "_a_in", "_p_in").alias("price_in"), mean("_cost_out", "_out", "_a_out", "_p_out").alias("price_out"))
+
+
 def vote(draws: DataFrame) -> DataFrame:
     """(doc_id, line_no, level, votes) from draws (doc_id, line_no, draw, level, near).
 

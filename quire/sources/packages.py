@@ -269,6 +269,19 @@ def _with_cells(data: bytes, raw: str) -> bytes:
     return ET.tostring(tree, encoding="utf-8", xml_declaration=True)
 
 
+# Paragraph styles that would number a second time what the text numbers.
+NUMBERED = ("8", "9", "10")
+
+
+def without_numbering(xml: Column, ids: Sequence[str] = NUMBERED) -> Column:
+    """Header XML whose paragraph styles `ids` do not number by themselves."""
+    for i in ids:
+        # From the style's start tag to its heading, without running into another style.
+        pattern = rf'(<(?:\w+:)?paraPr\b(?=[^>]*\bid="{re.escape(i)}")[^>]*>(?:(?!</(?:\w+:)?paraPr>).)*?<(?:\w+:)?heading\b[^>]*\btype=")NUMBER"'
+        xml = F.regexp_replace(xml, f"(?s){pattern}", '$1NONE"')
+    return xml
+
+
 def write(df: DataFrame, folder: str) -> DataFrame:
     """Zips parts (path, part, data) into packages under `folder`; returns (path, file, n_parts).
 

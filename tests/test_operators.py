@@ -231,3 +231,42 @@ def test_catalog(spark, tmp_path):
     assert catalog.next_version(names, "doc", ".hwpx").first().name == "doc_v011.hwpx"
     base = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
     assert sorted(map(tuple, catalog.overlaid(base, base.limit(1).withColumn("value", F.lit("9"))).collect())) == [("a", "9"), ("b", "2")]
+
+
+def test_releases(spark):
+    from quire.functions import releases
+
+    df = spark.createDataFrame([("0.9.0", "1.0.0", None, "0.8.0", "0.9.0", "p", "f"), ("0.7.0", "0.7.0", "", "0.8.0", None, "p", "f"), ("0.9.0", "2", "bad", None, "0.9.1", "p", None), ("1", "1.0.1", None, None, None, None, "f")], "cur string, new string, err string, least string, frm string, patch string, full string")
+    c = F.col
+    got = df.select(releases.update_available(c("cur"), c("new"), c("err")), releases.choose_asset(c("cur"), c("least"), c("frm"), c("patch"), c("full"))).collect()
+    assert [tuple(r) for r in got] == [(True, "p"), (False, "f"), (False, "p"), (True, "f")]
+    row = df.limit(1).select(releases.notice("by {x} at {y}.", x=c("cur"), y=c("err")), releases.is_generated(F.lit("None")), releases.is_generated(c("patch")), releases.digest(c("patch"))).first()
+    assert tuple(row)[:3] == ("by 0.9.0 at .", False, True) and len(row[3]) == 64
+
+
+def test_ensembles(spark):
+    draws = spark.createDataFrame([(1, 0, None, 100, 10, 0, 1.0, 2.0), (1, 1, None, 100, 10, 10, 1.0, 2.0), (2, 0, "x", 5, 5, 5, 1.0, 1.0), (2, 1, None, 50, 5, 0, 1.0, 2.0), (3, 0, "x", 0, 0, 0, 1.0, 1.0)], "doc_id int, draw int, error string, tokens_in long, tokens_out long, tokens_think long, price_in double, price_out double")
+    extra = spark.createDataFrame([(1, 200, 30, 0, 3.0, 4.0)], "doc_id int, tokens_in long, tokens_out long, tokens_think long, price_in double, price_out double")
+    got = {r.doc_id: tuple(r)[1:] for r in resolve.ensemble(draws, extra).collect()}
+    assert got == {1: (2, "aggregated", 400, 60, 2.0, 3.0), 2: (1, "single", 50, 5, 1.0, 2.0), 3: (0, "failed", 0, 0, 0.0, 0.0)}
+
+
+def test_functions_in_sql(spark):
+    import struct
+
+    from quire.functions import sql
+    from quire.sources import records
+
+    sql.register(spark)
+    text = "가나".encode("utf-16-le")
+    data = struct.pack("<I", records.PARAGRAPH_TEXT | 3 << 10 | len(text) << 20) + text
+    rows = spark.sql("select * from stream_records(:data)", args={"data": bytearray(data)}).collect()
+    assert [tuple(r) for r in rows] == [(records.PARAGRAPH_TEXT, 3, 4, "가나")]
+    assert spark.sql("""select parse_response('[{"line_no": 1, "level": 2}]')[0].level as v""").first().v == 2
+
+
+def test_numbering_is_switched_off_for_some_styles(spark):
+    from quire.sources import packages
+
+    xml = '<hh:paraPr id="8"><a/><hh:heading type="NUMBER" x="1"/></hh:paraPr><hh:paraPr id="9"><b/></hh:paraPr><hh:paraPr id="1"><hh:heading type="NUMBER"/></hh:paraPr>'
+    assert one(spark, xml, packages.without_numbering) == xml.replace("NUMBER", "NONE", 1)
