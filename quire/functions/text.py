@@ -99,11 +99,13 @@ def tier_rank(tier: Column, tiers: Sequence[str] = ("free", "pro", "team")) -> C
     return F.greatest(F.coalesce(known, F.lit(0)) - 1, F.lit(0)).cast("int")
 
 
-def token_tier(token: Column, default: str = "free") -> Column:
-    """The tier claim of a signed token's middle part."""
+def token_tier(token: Column, paid: Sequence[str] = ("pro", "team"), default: str = "free") -> Column:
+    """The paid tier that a signed token's middle part claims, else the default."""
     body = F.translate(F.split_part(token, F.lit("."), F.lit(2)), "-_", "+/")
     padded = F.rpad(body, ((F.length(body) + 3) / 4).cast("int") * 4, F.lit("="))
-    return F.coalesce(F.nullif(F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.tier"), F.lit("")), F.lit(default))
+    claims = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    tier = F.coalesce(F.get_json_object(claims, "$.tier"), F.get_json_object(claims, "$.custom_claims.tier"))
+    return F.when((F.size(F.split(token, r"\.", -1)) == 3) & tier.isin(*paid), tier).otherwise(F.lit(default))
 
 
 def escape_html(text: Column) -> Column:

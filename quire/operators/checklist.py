@@ -25,6 +25,7 @@ TEXT_DATES = (
 )
 ISSUE_KEYWORDS = ("발행일", "발급일", "등록일", "작성일", "조회일")
 NEAR = 80
+MOST_SHIPPED = 10_000
 
 
 def stem(path: Column) -> Column:
@@ -84,10 +85,11 @@ def has_keyword(path: Column, hints: Column) -> Column:
 def matches(required: DataFrame, files: DataFrame) -> DataFrame:
     """Required documents (seq, id, name, is_required, max_age_days, hints) with each file that matches; outer.
 
-    `required` is a short list read from one tender, so it is shipped to the files' tasks.
+    `required` is a short list read from one tender, so it is shipped to the files' tasks; a
+    list of more than MOST_SHIPPED rows is not, and the engine picks its own way.
     """
-    wanted = F.broadcast(required)
-    hits = files.join(wanted, has_keyword(F.col("path"), F.col("hints")))
+    few = required.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
+    hits = files.join(F.broadcast(required) if few else required, has_keyword(F.col("path"), F.col("hints")))
     hits = hits.select("seq", "path", *(c for c in files.columns if c != "path"))
     return required.join(hits, "seq", "left")
 

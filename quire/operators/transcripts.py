@@ -16,7 +16,7 @@ TAIL = 200
 ASK, ANSWER = 600, 1500
 FILES, IDS = 40, 10
 # How rows begin that no person typed.
-FRAMES = ("<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "<local-command-stderr>", "<system-reminder>", "Caveat:")
+FRAMES = ("<command-name>", "<command-message>", "<command-stdout>", "<local-command-")
 BLOCK = "array<struct<type:string,text:string,name:string,input:map<string,string>>>"
 
 

@@ -57,8 +57,9 @@ def body_text(stream: Column) -> Column:
 
 
 def preview_text(stream: Column, most: int) -> Column:
-    plain = F.replace(F.decode(stream, "UTF-16LE"), F.lit("\x00"), F.lit(""))
-    return X.truncate(X.clean_controls(plain), most)
+    """A decoded preview without padding and byte order marks, cut at `most` characters."""
+    plain = X.drop_byte_order_marks(F.replace(F.decode(stream, "UTF-16LE"), F.lit("\x00"), F.lit("")))
+    return X.truncate(plain, most, "\n[… 이하 {} 자 생략]")
 
 
 def texts(streams: DataFrame, most: int = 100_000) -> DataFrame:
