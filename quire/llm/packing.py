@@ -5,7 +5,8 @@ first; the rest is placed into the fill level h (0: a fresh window) whose choice
 smallest sum of squared counts of partially filled windows.  The counts stand in one level
 array, so a placement costs one vectorised look over the levels and the state is bounded by
 the levels, not by the documents.  At the end of a task's input its partially filled windows
-are poured after each other and cut anew, which leaves one partial window a task.
+are poured after each other and cut anew into whole windows; the last one is cut into
+sequences whose lengths are powers of two, which need no padding.
 
 Every task packs by itself, so there is no shuffle and a lost task is simply run again.
 
@@ -103,18 +104,18 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k"
                     close(full)
                 if len(rows) >= OUT_ROWS:
                     yield out()
-        held, room = [], window
-        for pieces in levels.rest():
-            for doc, start, total, ids in pieces:
-                while len(ids):
-                    part = ids[:room]
-                    held.append((doc, start, total, part))
-                    ids, start, room = ids[room:], start + len(part), room - len(part)
-                    if not room:
-                        close(held)
-                        held, room = [], window
-        if held:
-            close(held)
+        rest = [piece for pieces in levels.rest() for piece in pieces]
+        left = sum(len(ids) for *_, ids in rest)
+        lengths = [window] * (left // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if left % window >> k & 1]
+        held, room = [], lengths.pop(0) if lengths else 0
+        for doc, start, total, ids in rest:
+            while len(ids):
+                part = ids[:room]
+                held.append((doc, start, total, part))
+                ids, start, room = ids[room:], start + len(part), room - len(part)
+                if not room:
+                    close(held)
+                    held, room = [], lengths.pop(0) if lengths else 0
         yield out()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

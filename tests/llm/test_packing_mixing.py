@@ -51,7 +51,8 @@ def test_pieces_tile_documents_and_sequences(spark, make, odd):
             at += p.length
         lengths.append(at)
     assert max(lengths) <= packing.WINDOW
-    assert sum(n < packing.WINDOW for n in lengths) <= 3  # one a task
+    assert all(n & (n - 1) == 0 for n in lengths)  # whole windows and powers of two: no padding
+    assert sum(n < packing.WINDOW for n in lengths) <= 3 * 10  # those of the last window of a task
 
 
 def test_packing_null_ids_repeats_and_nothing(make, odd):
