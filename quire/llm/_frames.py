@@ -27,7 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
-    return named if "://" in named or named.startswith("file:") else f"file://{named}"
+    if "://" in named or named.startswith("file:"):
+        return named
+    # Without a scheme it lies in the cluster's default file system.
+    default = sc._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"file://{named}" if default.startswith("file:") else default.rstrip("/") + named
 
 
 def fresh_dir(spark: SparkSession, what: str) -> str:
