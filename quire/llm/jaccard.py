@@ -372,6 +372,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     stay = best.select("best.doc_id", "best.key").unionByName(keyed.filter("n = 0").select("doc_id", "key"))
     stay = _frames.cut(stay.distinct().select(F.col("doc_id").alias("_stays"), F.col("key").alias("_key")))
     left = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"])).drop("_stays")
+    if not keyed.groupBy("doc_id").count().filter(F.col("count") > 1).limit(1).count():
+        return left.drop("_key")  # ids name rows: the texts are moved once and not looked at again
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
