@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import checklist, events, forms, resolve, styles, transcripts, verify
+from quire.plans import queries
 from quire.sources import catalog, jsonio
 
 
@@ -270,3 +272,12 @@ def test_numbering_is_switched_off_for_some_styles(spark):
 
     xml = '<hh:paraPr id="8"><a/><hh:heading type="NUMBER" x="1"/></hh:paraPr><hh:paraPr id="9"><b/></hh:paraPr><hh:paraPr id="1"><hh:heading type="NUMBER"/></hh:paraPr>'
     assert one(spark, xml, packages.without_numbering) == xml.replace("NUMBER", "NONE", 1)
+
+
+def test_secrets_anywhere_in_a_text_are_hidden(spark, tmp_path):
+    secret = "ghp_" + "c" * 32
+    texts = ["x" * 200 + " " + secret + " " + "y" * 200, "x" * 40 + " " + secret + " " + "y" * 200, "x" * 200 + " " + secret + " y", "no secret " * 30, ""]
+    spark.createDataFrame([(5 * i + 4, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.redacted, r.n_chars) for r in queries.redact_secrets(spark, str(tmp_path)).collect()}
+    want = [t.replace(secret, "<REDACTED>") + " sk-short" for t in texts]
+    assert got == {5 * i + 4: (hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in enumerate(want)}
