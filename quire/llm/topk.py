@@ -104,12 +104,11 @@ class BallTree:
             scores = self.vectors[part] @ values if exact else self.whole[part].astype(object) @ values
             found = np.arange(len(scores)) if least is None else np.flatnonzero(scores >= least[0])
             ids = self.ids[part]
+            found = found[ids[found] != query_id]
             # Of many equal vectors only the smallest ids can stay.
             if len(found) > 4 * k:
-                found = found[np.lexsort((ids[found], -scores[found]))[: k + 1]]
+                found = found[np.lexsort((ids[found], -scores[found]))[:k]]
             for i in found:
-                if ids[i] == query_id:
-                    continue
                 pair = (int(scores[i]), -int(ids[i]))
                 if floor is not None and pair <= (floor[0], -floor[1]):
                     continue

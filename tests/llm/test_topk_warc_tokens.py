@@ -46,6 +46,15 @@ def test_topk_with_ties_holes_and_lengths(spark):
     assert got == brute(rows)
 
 
+def test_topk_of_a_query_id_repeated_in_one_leaf(spark):
+    rng = np.random.default_rng(3)
+    rows = [(101 + i, [0.5] * 6) for i in range(40)] + [(50, [0.5] * 6)] * 3
+    rows += [(201 + i, [2.0 + float(x) for x in rng.normal(scale=0.01, size=4)]) for i in range(28)] + [(150, [2.0 + x / 64] * 4) for x in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == brute(rows)
+
+
 def test_topk_is_exact_beyond_doubles(spark):
     rows = [(0, [3e12, 1.0]), (1, [3e12, 1.0]), (2, [3e12, 2.0]), (3, [-3e12, 1.0])]
     with pytest.raises(Exception, match="(?i)overflow|too large|out of|int64|long|convert"):
