@@ -7,8 +7,8 @@ written without backtracking (possessive, anchored to the start of a run), which
 match but keeps very long runs of one character linear.
 
 Kinds: email, ip (parts up to 255), card (16 to 19 digits passing Luhn), phone (8 to 15
-digits); the method adds iban (mod-97) and ssn (number ranges), which must reach SURE.  A
-score starts at the kind's prior, rises when a checksum confirms it, rises with words within
+digits); the method adds iban (the country's length, mod-97) and ssn (number ranges), which
+must reach SURE.  A score starts at the kind's prior, rises when a checksum confirms it, rises with words within
 NEAR characters and falls with words that speak against it before.  Spans are in code points, ends exclusive.
 
 Defined cases: a null text counts as empty and has no spans; null ids and repeated rows pass
@@ -26,6 +26,12 @@ from pyspark.sql import functions as F
 CHUNK = 256
 NEAR = 40
 SURE = 0.6
+#: Characters of an account number by country; of others the longest that its checksum confirms is taken.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 
 
 def _digits(match: Column) -> Column:
@@ -73,8 +79,19 @@ def mod97(compact: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), add) == 1
 
 
-def _iban(match: Column) -> Column:
-    return mod97(F.regexp_replace(match, " ", ""))
+def _iban(run: Column) -> Column:
+    """How much of a run of groups is an account number that ends with a group; 0 if none is."""
+    size = F.create_map(*(F.lit(x) for n, countries in IBAN_SIZES.items() for c in countries.split() for x in (c, n)))
+    own = F.coalesce(F.try_element_at(size, F.left(run, F.lit(2))), F.lit(0))
+
+    def add(state: Column, group: Column) -> Column:
+        compact, end = F.concat(state["compact"], group), state["end"] + 1 + F.length(group)
+        fits = F.when(own > 0, F.length(compact) == own).otherwise(F.length(compact).between(15, 34)) & ~compact.rlike("[a-z]")
+        holds = F.when(fits, mod97(compact)).otherwise(F.lit(False))
+        return F.struct(compact.alias("compact"), end.alias("end"), F.when(holds, end).otherwise(state["width"]).alias("width"))
+
+    zero = F.struct(F.lit("").alias("compact"), F.lit(-1).alias("end"), F.lit(0).alias("width"))
+    return F.aggregate(F.split(run, " "), zero, add, lambda state: state["width"])
 
 
 def _ssn(match: Column) -> Column:
@@ -83,7 +100,11 @@ def _ssn(match: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, a test of its matches, and the numbers of its score."""
+    """A pattern, a test of its matches, and the numbers of its score.
+
+    With `head`, the pattern matches only so many characters and captures what follows them in
+    a lookahead, so matches hide none of each other; `confirm` then gives a width, 0 for none.
+    """
 
     name: str
     pattern: str
@@ -94,6 +115,7 @@ class Kind:
     against: str
     base: bool = True
     needs: str | None = None
+    head: int = 0
 
 
 KINDS = (
@@ -101,26 +123,33 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", _ip, 0.4, 0.2, r"\bip\b|host|server|address|login", "version|release|section", needs="."),
     Kind("card", r"[0-9](?:[ -]?[0-9]){15,}+", _card, 0.3, 0.5, "card|visa|credit|payment", "order|tracking|serial"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _phone, 0.5, 0.2, "phone|call|tel|mobile|fax", "version|total", needs="+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _iban, 0.3, 0.5, "iban|account|bank|konto|compte", "serial|product", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", _iban, 0.3, 0.5, "iban|account|bank|konto|compte", "serial|product", base=False, head=4),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _ssn, 0.2, 0.2, "ssn|social security|taxpayer", "order|part|serial", base=False, needs="-"),
 )
 
 
 def _found(kind: Kind, matches: str, pieces: str) -> Column:
     """array<struct<kind, start, end, score>> of one kind, in order of start."""
-    parts = F.transform(F.col(matches), lambda m, i: F.struct(F.get(F.col(pieces), i).alias("before"), m.alias("match"), F.get(F.col(pieces), i + 1).alias("after")))
+    def part(m: Column, i: Column) -> Column:
+        width = [kind.confirm(m).alias("width")] if kind.head else []
+        return F.struct(F.get(F.col(pieces), i).alias("before"), m.alias("match"), F.get(F.col(pieces), i + 1).alias("after"), *width)
+
+    parts = F.transform(F.col(matches), part)
     none = "array<struct<kind:string,start:int,end:int,score:double>>"
 
     def step(state: Column, part: Column) -> Column:
         start = state["pos"] + F.length(part["before"])
-        end = start + F.length(part["match"])
+        end = start + (part["width"] if kind.head else F.length(part["match"]))
+        after = F.substr(part["after"], F.greatest(part["width"] - kind.head, F.lit(0)) + 1) if kind.head else part["after"]
         ahead = F.lower(F.right(part["before"], F.lit(NEAR)))
-        near = F.concat(ahead, F.lit(" "), F.lower(F.left(part["after"], F.lit(NEAR))))
+        near = F.concat(ahead, F.lit(" "), F.lower(F.left(after, F.lit(NEAR))))
         score = F.lit(kind.prior + kind.confirmed) + F.when(near.rlike(kind.words), 0.3).otherwise(0.0) - F.when(ahead.rlike(kind.against), 0.3).otherwise(0.0)
         score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
-        holds = kind.confirm(part["match"]) if kind.base else kind.confirm(part["match"]) & (score >= SURE)
+        confirmed = part["width"] > 0 if kind.head else kind.confirm(part["match"])
+        holds = confirmed if kind.base else confirmed & (score >= SURE)
         span = F.array(F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")))
-        return F.struct(end.alias("pos"), F.when(holds, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
+        pos = start + kind.head if kind.head else end
+        return F.struct(pos.alias("pos"), F.when(holds, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
     def chunk(done: Column, begin: Column) -> Column:
         zero = F.struct(F.coalesce(F.try_element_at(done, F.lit(-1))["pos"], F.lit(0)).alias("pos"), F.array().cast(none).alias("out"))
@@ -140,6 +169,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     def matches(k: Kind) -> Column:
         every = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
+        if k.head:
+            every = F.zip_with(every, F.regexp_extract_all(text, F.lit(k.pattern), F.lit(1)), lambda head, rest: F.concat(head, rest))
         return F.when(F.contains(text, F.lit(k.needs)), every).otherwise(empty) if k.needs else every
 
     df = docs.withColumns({names[k.name]: matches(k) for k in KINDS})

@@ -75,6 +75,23 @@ def test_method_adds_confirmed_spans(make):
     assert row.spans.startswith("iban:8:35,iban:39:61,ssn:")
 
 
+def test_account_numbers_end_before_capitals_and_digits(make):
+    plain_, spaced, british = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    cases = {
+        f"{plain_} BIC COBADEFFXXX": [plain_], f"{spaced} Please": [spaced], f"{british} The": [british], f"{plain_} 42 euros": [plain_],
+        f"{plain_} {british} {spaced} {plain_}": [plain_, british, spaced, plain_], f"Room AB12 {plain_} X": [plain_], "REF AL12 RO49AAAA1B31007593840000": ["RO49AAAA1B31007593840000"],
+        "NO9386011117947 MT84MALT011000012345MTLCAST001S END": ["NO9386011117947", "MT84MALT011000012345MTLCAST001S"], f"é😀 {plain_}é": [plain_],
+        f"{plain_}X": [], f"{plain_}x": [], "DE89370400440532013001 BIC": [], f"serial {plain_} X": [], "LC14BOSL123456789012345678901234 X": ["LC14BOSL123456789012345678901234"],
+        "OM810180000001299123456 PAY": ["OM810180000001299123456"],
+    }
+    rows = pii.find(make(list(enumerate(cases)))).select("doc_id", "text", F.filter("pii", lambda s: s["kind"] == "iban").alias("pii")).collect()
+    assert {r.text: [r.text[s.start : s.end] for s in r.pii] for r in rows} == cases
+    hidden = pii.redact(make([(1, f"pay {plain_} BIC COBADEFFXXX, {spaced} Please")])).first().text
+    assert hidden == "pay [IBAN] BIC COBADEFFXXX, [IBAN] Please"
+    many = " ".join([plain_] * 700)
+    assert [(s.start, s.end) for s in pii.find(make([(1, many)])).first().pii if s.kind == "iban"] == [(23 * i, 23 * i + 22) for i in range(700)]
+
+
 def test_context_moves_the_score(make):
     found = pii.find(make([(1, "my phone +49 89 1234567"), (2, "total +49 89 1234567"), (3, "x +49 89 1234567")])).select("doc_id", F.col("pii")[0]["score"].alias("score"))
     score = {r.doc_id: r.score for r in found.collect()}
