@@ -14,16 +14,28 @@ from quire.functions import text as X
 
 #: The record tag of paragraph text: the first tag behind the reserved ones, and 51.
 PARAGRAPH_TEXT = 16 + 51
+#: Where the stream FileHeader keeps its properties; a lowest bit of 0 says that nothing is packed.
+PROPERTIES = 36
+HEADER_BYTES = 40
 #: A size of all ones: the true size follows in four bytes.
 LONG_SIZE = 0xFFF
 
 
-def inflate(data: bytes, most: int = 256 << 20) -> bytes:
-    """Raw deflate if it is that, else the data itself."""
+def _inflated(data: bytes, bits: int, most: int) -> bytes | None:
+    stream = zlib.decompressobj(bits)
     try:
-        return zlib.decompressobj(-15).decompress(data, most)
+        return stream.decompress(data, most)
     except zlib.error:
-        return data
+        return None
+
+
+def inflate(data: bytes, most: int = 256 << 20) -> bytes:
+    """Raw deflate or a zlib stream if it is that, else the data itself."""
+    for bits in (-15, 15):
+        found = _inflated(data, bits, most)
+        if found is not None:
+            return found
+    return data
 
 
 def records(data: bytes) -> list[tuple[int, int, bytes]]:
@@ -45,15 +57,29 @@ def records(data: bytes) -> list[tuple[int, int, bytes]]:
     return found
 
 
+def _paragraphs(raw: bytes | None, packed: bool) -> list[str]:
+    if raw is None:
+        return []
+    data = inflate(bytes(raw)) if packed else bytes(raw)
+    return [p.decode("utf-16-le", errors="replace") for tag, _, p in records(data) if tag == PARAGRAPH_TEXT and p]
+
+
 @F.pandas_udf(ArrayType(StringType()))
-def text_records(data: pd.Series) -> pd.Series:
+def text_records(data: pd.Series, packed: pd.Series) -> pd.Series:
     """The decoded paragraph texts of each stream, as they stand there."""
-    return data.map(lambda raw: [] if raw is None else [p.decode("utf-16-le", errors="replace") for tag, _, p in records(inflate(bytes(raw))) if tag == PARAGRAPH_TEXT and p])
+    return pd.Series([_paragraphs(raw, p) for raw, p in zip(data, packed, strict=True)], dtype=object)
 
 
-def body_text(stream: Column) -> Column:
+def body_text(stream: Column, packed: Column | None = None) -> Column:
     """Readable paragraph texts of a stream, cleaned of controls and noise."""
-    return X.clean_controls(F.array_join(F.filter(text_records(stream), lambda t: X.looks_like_text(t)), ""))
+    packed = F.lit(True) if packed is None else packed
+    return X.clean_controls(F.array_join(F.filter(text_records(stream, packed), lambda t: X.looks_like_text(t)), ""))
+
+
+def packed_flag(header: Column) -> Column:
+    """The flag of a FileHeader stream; one that is cut off counts as packed."""
+    properties = F.conv(F.hex(F.substring(header, PROPERTIES + 1, 1)), 16, 10).cast("int")
+    return F.when(F.length(header) >= HEADER_BYTES, properties % 2 == 1).otherwise(F.lit(True))
 
 
 def preview_text(stream: Column, most: int) -> Column:
@@ -67,7 +93,9 @@ def texts(streams: DataFrame, most: int = 100_000) -> DataFrame:
     order of their numbers, else the preview, else an error as data."""
     number = F.regexp_extract("name", r"Section(\d+)", 1).try_cast("int")
     # The expensive branch first goes to its own rows: a UDF in a conditional would see them all.
-    body = streams.filter(F.col("name").rlike(r"BodyText/Section\d+")).withColumn("_n", number).withColumn("_t", body_text(F.col("data")))
+    flags = streams.filter(F.col("name") == "FileHeader").groupBy("path").agg(F.max(packed_flag(F.col("data"))).alias("_packed"))
+    body = streams.filter(F.col("name").rlike(r"BodyText/Section\d+")).join(flags, "path", "left").withColumn("_n", number)
+    body = body.withColumn("_t", body_text(F.col("data"), F.coalesce("_packed", F.lit(True))))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_t"))), lambda s: s["_t"]), "\n")
     body = body.groupBy("path").agg(X.truncate(joined, most).alias("body"))
     preview = streams.filter(F.col("name") == "PrvText").select("path", preview_text(F.col("data"), most).alias("preview"))

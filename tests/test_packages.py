@@ -151,6 +151,18 @@ def test_record_streams(spark):
     assert got["b"] == ("미리 보기", "preview", None) and got["c"] == (None, "none", "no text")
 
 
+def test_sections_packed_with_a_header_or_not_at_all(spark):
+    raw = stream((records.PARAGRAPH_TEXT, "본문"))
+    # Not packed, though its first record (tag 3, empty) reads as an empty deflate block.
+    odd = struct.pack("<I", 3) + raw
+    assert records.inflate(odd) != odd
+    header = b"s" * 32 + bytes(4)
+    rows = [("z", "BodyText/Section0", zlib.compress(raw)), ("z", "FileHeader", header + b"\1\0\0\0"), ("z", "PrvText", "미리".encode("utf-16-le"))]
+    rows += [("u", "BodyText/Section0", odd), ("u", "FileHeader", header + b"\2\0\0\0"), ("s", "BodyText/Section0", zlib.compress(raw)), ("s", "FileHeader", header)]
+    got = {r.path: (r.text, r.source) for r in records.texts(spark.createDataFrame(rows, "path string, name string, data binary")).collect()}
+    assert got == {"z": ("본문", "body"), "u": ("본문", "body"), "s": ("본문", "body")}
+
+
 def test_streaming_dashboard_ends_as_the_batch_one(spark, tmp_path):
     rows = [(1_700_000_000.0 + i, events.IMPRESSION if i % 3 else events.CLICK, ["a", "b", ""][i % 3]) for i in range(60)]
     df = spark.createDataFrame(rows, "ts double, event string, channel string")
