@@ -131,8 +131,11 @@ def _paragraphs(spark, sf_dir):
 
 
 def form_segments(spark, sf_dir):
-    df = forms.segment(_paragraphs(spark, sf_dir)).filter("r % 4 = 1").withColumn("table_idx", F.lit(0))
-    return forms.table_ordinals(df).select("doc_id", "para_index", "form_id", "form_label", "segment", "form_table_ordinal")
+    df = forms.segment(_paragraphs(spark, sf_dir)).withColumn("is_table", F.col("r") % 4 == 1)
+    tables = forms.table_ordinals(df.filter("is_table").withColumn("table_idx", F.lit(0)))
+    others = df.filter("not coalesce(is_table, false)").withColumn("form_table_ordinal", F.lit(None).cast("int"))
+    columns = "doc_id", "para_index", "form_id", "form_label", "segment", "is_table", "form_table_ordinal"
+    return tables.select(*columns).unionByName(others.select(*columns))
 
 
 LABELS = ("설립년도", "총 원", "발행일", "전화번호", "회사 주소", "금액", "E-MAIL", "건수", "담당자", "비고", "그 밖", "", "등록  번호", "회 수", "amount")

@@ -281,3 +281,14 @@ def test_secrets_anywhere_in_a_text_are_hidden(spark, tmp_path):
     got = {r.doc_id: (r.redacted, r.n_chars) for r in queries.redact_secrets(spark, str(tmp_path)).collect()}
     want = [t.replace(secret, "<REDACTED>") + " sk-short" for t in texts]
     assert got == {5 * i + 4: (hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in enumerate(want)}
+
+
+def test_form_segments_returns_every_segmented_paragraph(spark, small):
+    want = {(r.doc_id, r.para_index): (r.form_id, r.form_label, r.segment, r.r % 4 == 1) for r in forms.segment(queries._paragraphs(spark, small)).collect()}
+    rows = queries.form_segments(spark, small).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.para_index): (r.form_id, r.form_label, r.segment, r.is_table) for r in rows} == want
+    places = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.para_index)):
+        at = places.setdefault((r.doc_id, r.segment), [])
+        assert r.form_table_ordinal == (len(at) if r.is_table else None)
+        at += [1] * r.is_table
