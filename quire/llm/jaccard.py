@@ -13,16 +13,21 @@ of its prefix's shingles, and a pair is verified only if it shares corresponding
 A shingle's group of documents is paired directly while it is small.  A large group, such as
 that of a widely copied passage or of a family of near copies, is never paired: its members
 are first compared with the group's most typical one.  What that links is one component, and
-only members of other components than the group's largest are then compared further.  A pair
-without a common light shingle shares heavy ones only, so it is dropped unless both hold
-enough of those.  So no pair of different texts is lost, and no cap decides a link.
+only members of other components than the group's largest (minor ones) are then compared
+further.  Minor members that share groups are gathered into blocks of bounded size; a block
+holds their shingles as one inverted index, the group's members stream past it, a bounded
+number of them (leads) a round, and only links that join what was apart come out.  Rounds go
+on with more leads, without what has been linked, until all have been leads.  Documents
+without a common light shingle share heavy ones only, so rows that hold too few of those
+leave such a group.  So no link between different texts is lost, and no cap decides one.
 
 Words are lower-cased in A-Z; fewer than five words form one shingle.  Shingles are compared
 by 64-bit hashes.
 
-Defined cases: a null or wordless text has the empty set and links with nothing; null ids
-count as documents whose id never is the smallest; rows that repeat an id link if their
-texts do; an empty table gives an empty result; other columns are left alone.
+Defined cases: a null or wordless text has the empty set and links with nothing; a very long
+text is one set of all its shingles; null ids count as documents whose id never is the
+smallest; rows that repeat an id link if their texts do; equal sets are one class, named by
+the smallest id; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -46,6 +51,10 @@ MOST_HEAVY = 1 << 20
 MOST_LONGER = 15
 #: Texts that one comparison block takes on average.
 BLOCK = 64
+#: Shingles that the inverted index of a block of minor members takes on average.
+BLOCK_SHINGLES = 1 << 18
+#: Members of a large group that stream past its blocks in the first round, and growth by round.
+LEADS, MORE_LEADS = 2048, 32
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -95,7 +104,7 @@ def _longs(values: list[np.ndarray]) -> pa.Array:
 
 def _counted(heavy: np.ndarray | None) -> Callable:
     """Shingles whose counts decide what is heavy: without `heavy` those of the plain prefixes,
-    with it all of the documents whose prefix has too few light ones."""
+    with it those of prefixes that grow as their heavy ones move to the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -108,8 +117,12 @@ def _counted(heavy: np.ndarray | None) -> Callable:
                 prefix = len(own) - need(len(own)) + 1
                 if heavy is None:
                     out.append(own[:prefix])
-                elif (~_within(own[: prefix + prefix // 4 + 4], heavy)).sum() < prefix:
-                    out.append(own)
+                    continue
+                light = ~_within(own, heavy)
+                if not light[:prefix].all():
+                    # Twice as far as it takes to fill the prefix with light ones: some of those are heavy too.
+                    reach = int(np.searchsorted(np.cumsum(light), prefix)) + 1
+                    out.append(own[: 2 * reach])
             yield pa.RecordBatch.from_arrays([_longs(out)], ["token"])
 
     return run
@@ -122,19 +135,20 @@ def _within(values: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return heavy[at] == values
 
 
-INDEX = "token long, key long, n int, len int, light int"
+INDEX = "token long, salt long, key long, n int, len int, light int"
 
 
 def _index(heavy: np.ndarray, warm: np.ndarray, counts: np.ndarray) -> Callable:
     """The prefix of each set in the global order, lengthened by its estimated candidate cost.
 
-    `warm` are shingles whose counts are known though they are not heavy.
+    `warm` are shingles whose counts are known though they are not heavy.  Rows of heavy
+    shingles are never paired, so they are dealt by their set as well (`salt`; light ones: 0).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            tokens, about = [], []
+            tokens, about, hot = [], [], []
             for own in sets:
                 if not len(own) or (key := key_of(own)) in seen:
                     continue
@@ -154,23 +168,28 @@ def _index(heavy: np.ndarray, warm: np.ndarray, counts: np.ndarray) -> Callable:
                 # A longer prefix must not reach into the heavy ones, where groups are large.
                 length = min(n, max(prefix, min(prefix + longer, light)))
                 tokens.append(ordered[:length])
+                hot.append(np.where(np.arange(length) >= light, key | 1, 0))
                 about.append((key, n, length, light))
             lengths = [a[2] for a in about]
             cols = [np.repeat(np.array([a[k] for a in about], np.int64), lengths) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([_longs(tokens), pa.array(cols[0]), *(pa.array(c.astype(np.int32)) for c in cols[1:])], ["token", "key", "n", "len", "light"])
+            salt = np.concatenate([*hot, np.zeros(0, np.int64)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_longs(tokens), pa.array(salt), pa.array(cols[0]), *(pa.array(c.astype(np.int32)) for c in cols[1:])], ["token", "salt", "key", "n", "len", "light"])
 
     return run
 
 
-GROUPS = "token long, a long, a_n int, a_len int, a_light int, b long, b_n int, b_len int, b_light int"
+GROUPS = "token long, heavy boolean, a long, a_n int, a_len int, a_light int, b long, b_n int, b_len int, b_light int"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by token and key: pairs of small groups, and the rows of large ones (b: null)."""
+    """Streams rows sorted by token, salt and key: pairs of small groups of light shingles, and
+    the rows of large ones and of heavy shingles (b: null)."""
     held: list[tuple] = []
-    large, token = False, None
+    large, token, last = False, None, None
     pairs: list[tuple] = []
     rows: list[tuple] = []
+    ints = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = [x.split()[0] for x in GROUPS.split(", ")]
 
     def flush() -> None:
         if large or len(held) < 2:
@@ -181,19 +200,30 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if 100 * x[1] < SIMILAR * y[1]:
                     break
                 lo, hi = (x, y) if x[0] < y[0] else (y, x)
-                pairs.append((token, *lo, *hi))
+                pairs.append((token, False, *lo, *hi))
 
     def out() -> pa.RecordBatch:
-        cols = list(zip(*pairs, *((*r, None, None, None, None) for r in rows), strict=True)) if pairs or rows else [[]] * 9
+        every = [*pairs, *((t, False, *r, None, None, None, None) for t, *r in rows)]
         pairs.clear()
         rows.clear()
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["token", "a", "a_n", "a_len", "a_light", "b", "b_n", "b_len", "b_light"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*every, strict=True) if every else [[]] * 10, ints, strict=True)], names)
 
     for batch in batches:
-        cols = [batch.column(k).to_numpy() for k in ("token", "key", "n", "len", "light")]
+        cols = [batch.column(k).to_numpy() for k in ("token", "salt", "key", "n", "len", "light")]
         if not len(cols[0]):
             continue
+        hot = np.flatnonzero(cols[1])
+        if len(hot):
+            # The same set from several tasks follows itself.
+            twice = np.concatenate([[(cols[0][hot[0]], cols[2][hot[0]]) == last], (np.diff(cols[0][hot]) == 0) & (np.diff(cols[2][hot]) == 0)])
+            last = (cols[0][hot[-1]], cols[2][hot[-1]])
+            hot = hot[~twice]
+            own = [pa.array(cols[k][hot], t) for k, t in zip((0, 2, 3, 4, 5), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(np.ones(len(hot), bool)), *own[1:], *(pa.nulls(len(hot), t) for t in ints[6:])], names)
+        light = np.flatnonzero(cols[1] == 0)
+        cols = [c[light] for k, c in enumerate(cols) if k != 1]
+        if not len(light):
+            continue
         # Rows that share their token with no neighbour in this batch are skipped at once, but for the ends.
         same = np.concatenate([[True], cols[0][1:] == cols[0][:-1], [True]])
         for i in np.flatnonzero(same[:-1] | same[1:]):
@@ -217,15 +247,20 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _with_texts(docs: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """`places` (with `key`) and the texts of the documents that stand for these sets."""
+    places = _frames.cut(places.join(nodes.select("key", F.col("doc_id").alias("_doc")), "key"))
+    # A document stands for its set; which of several rows with its id does not matter, so all come.
+    return _frames.join_small(docs.select("doc_id", "text"), places, docs["doc_id"].eqNullSafe(places["_doc"]), most=200_000).drop("doc_id", "_doc")
+
+
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) of the pairs that link.  Texts travel to blocks: the block's own first, then its partners."""
     counts = _frames.cut(pairs.groupBy("a").agg(F.count("*").alias("_n")))
     salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / BLOCK)))
     salted = _frames.cut(salted.select("a", "b", "salt"))
     asked = salted.select("a", "salt", F.col("b").alias("key"), F.lit(1).alias("part")).unionByName(salted.select("a", "salt", F.col("a").alias("key"), F.lit(0).alias("part")).distinct())
-    places = _frames.cut(asked.join(nodes.select("key", F.col("doc_id").alias("_doc")), "key").select("_doc", "a", "salt", "part", F.col("key")))
-    # A document stands for its set; which of several rows with its id does not matter, so all come.
-    rows = _frames.join_small(docs.select("doc_id", "text"), places, docs["doc_id"].eqNullSafe(places["_doc"]), most=200_000)
+    rows = _with_texts(docs, nodes, asked)
     sorted_rows = rows.select("a", "salt", "part", "key", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "part", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +286,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(key, comp): the smallest key that links reach, for all keys on an edge.
 
     Labels fall to the least of the neighbours' and then to the label's own label, so that
-    long chains shrink by halves; labels are cut each round, and nothing is collected.
+    long chains shrink by halves, until their sum falls no more; they are cut each round, and
+    nothing is collected.
     """
-    both = _frames.cut(edges.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("key"), F.col("a").alias("to"))).distinct())
-    labels = _frames.cut(both.groupBy("key").agg(F.least(F.min("to"), F.col("key")).alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("key", "to"), "to").groupBy("key").agg(F.min("comp").alias("near"))
-        lower = _frames.cut(labels.join(near, "key").select("key", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")))
-        jump = lower.select(F.col("key").alias("comp"), F.col("comp").alias("next"))
-        now = _frames.cut(lower.join(jump, "comp", "left").select("key", F.least("comp", "next").alias("comp"), "old"))
-        labels = now.select("key", "comp")
-        if not now.filter("comp < old").limit(1).count():
-            return labels
+    both = _frames.stored(edges.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("key"), F.col("a").alias("to"))).distinct(), "links")
+    labels = _frames.cut(both.groupBy("key").agg(F.min(F.least("to", "key")).alias("comp")))
+    total = F.sum(F.col("comp").cast("decimal(38,0)"))
+    before = None
+    while (now := labels.agg(total).first()[0]) != before:
+        before = now
+        near = both.join(labels.withColumnRenamed("key", "to"), "to").select("key", "comp")
+        # A table read anew has a size; a checkpoint keeps the estimate of its plan, and estimates
+        # of joins multiply from round to round until the planner does little else.
+        lower = _frames.cut(labels.unionByName(near).groupBy("key").agg(F.min("comp").alias("comp")))
+        own = lower.select(F.col("key").alias("comp"), F.col("comp").alias("next"))
+        labels = _frames.stored(lower.join(own, "comp").groupBy("key").agg(F.min("next").alias("comp")), "labels")
+    return labels
 
 
 def _sure(pairs: DataFrame) -> DataFrame:
@@ -282,22 +321,84 @@ def _star(large: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "lead.key").alias("a"), F.greatest("a", "lead.key").alias("b")).distinct()
 
 
-def _rest(large: DataFrame, labels: DataFrame, heavy: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of large groups that are in different components and may link, without those of the largest component."""
-    rows = large.join(labels, F.col("a") == F.col("key"), "left").select("token", "a", "a_n", "a_light", F.coalesce("comp", "a").alias("comp"))
-    rows = rows.join(heavy.withColumn("heavy", F.lit(True)), "token", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    # A pair that meets first at a heavy shingle shares heavy ones only.
-    rows = _frames.cut(rows.filter(~F.col("heavy") | (100 * (F.col("a_n") - F.col("a_light")) >= SIMILAR * F.col("a_n"))))
+class Block:
+    """An inverted index over the sets of minor members, and what is known to be joined."""
+
+    def __init__(self, keys: list[int], comps: list[int], sets: list[np.ndarray]):
+        self.keys, self.comps = keys, comps
+        self.size = np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.tokens, self.at = np.unique(tokens[order], return_index=True)
+        self.at = np.append(self.at, len(order))
+        self.above: dict[int, int] = {}
+
+    def _root(self, comp: int) -> int:
+        while (up := self.above.get(comp, comp)) != comp:
+            self.above[comp] = self.above.get(up, up)
+            comp = up
+        return comp
+
+    def links(self, key: int, comp: int, own: np.ndarray) -> list[int]:
+        """Members of the block that link with a set and were not joined with it before."""
+        i = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+        i = i[self.tokens[i] == own]
+        lo, n = self.at[i], self.at[i + 1] - self.at[i]
+        each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(i) else np.zeros(0, np.int64)
+        common = np.bincount(self.owner[each], minlength=len(self.keys))
+        out = []
+        for j in np.flatnonzero(100 * common >= SIMILAR * (self.size + len(own) - common)):
+            a, b = self._root(comp), self._root(self.comps[j])
+            if a != b:
+                self.above[max(a, b)] = min(a, b)
+                out.append(self.keys[j])
+        return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams blocks, minor members first: links that join different components."""
+    place, held, block = None, [], None
+    for step, sets in _sets(batches):
+        found = []
+        for home, salt, part, key, comp, own in zip(*(step.column(k).to_pylist() for k in ("home", "salt", "part", "key", "comp")), sets, strict=True):
+            if key_of(own) != key:
+                continue  # another row with that document's id
+            if (home, salt) != place:
+                place, held, block = (home, salt), [], None
+            if part == 0:
+                held.append((key, comp, own))
+                continue
+            if block is None:
+                block = Block(*map(list, zip(*held, strict=True)))
+            found += [(key, other) for other in block.links(key, comp, own)]
+        cols = list(zip(*found, strict=True)) if found else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+
+def _rest(docs: DataFrame, nodes: DataFrame, large: DataFrame, labels: DataFrame, least: int, most: int) -> tuple[DataFrame, bool]:
+    """Links between different components of large groups, and whether groups have further leads.
+
+    Leads are members by a hash of their set, some `most` of each group; those that the round
+    before took (`least`) are left out.
+    """
+    rows = large.join(labels, F.col("a") == F.col("key"), "left").select("token", "a", "a_n", F.coalesce("comp", "a").alias("comp"))
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    most = _frames.cut(sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("token", F.col("most.comp").alias("most")))
-    mixed = _frames.cut(rows.join(most, "token"))
-    minor = _frames.cut(mixed.filter("comp <> most").select("token", F.col("a").alias("b"), F.col("a_n").alias("b_n"), F.col("a_light").alias("b_light"), F.col("comp").alias("b_comp")))
-    least = F.ceil(F.lit(SIMILAR) * (F.col("a_n") + F.col("b_n")) / (100 + SIMILAR))
-    enough = F.least(F.col("a_n"), F.col("b_n")) >= least
-    heavies = ~F.col("heavy") | (F.least(F.col("a_n") - F.col("a_light"), F.col("b_n") - F.col("b_light")) >= least)
-    pairs = mixed.join(minor, "token").filter((F.col("comp") != F.col("b_comp")) & enough & heavies)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("most"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    rows = _frames.cut(rows.join(_frames.cut(mixed), "token"))
+    # Minor members meet in blocks by the largest of their groups.
+    minor = rows.filter("comp <> most").groupBy("a").agg(F.max(F.struct("size", "token"))["token"].alias("home"), F.first("a_n").alias("a_n"), F.first("comp").alias("comp"))
+    minor = _frames.cut(minor)
+    blocks = minor.groupBy("home").agg(F.ceil(F.sum("a_n") / BLOCK_SHINGLES).alias("blocks"))
+    minor = _frames.cut(minor.join(blocks, "home").select("a", "comp", "home", F.pmod(F.xxhash64("a"), F.col("blocks")).alias("salt")))
+    asked = rows.filter("comp <> most").select("token", "a").join(minor.select("a", "home", "salt"), "a").select("token", "home", "salt").distinct()
+    share = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
+    leads = rows.filter((share >= least) & (share < most)).select("token", "a", "comp")
+    targets = leads.join(asked, "token").select("home", "salt", F.lit(1).alias("part"), F.col("a").alias("key"), "comp").distinct()
+    places = targets.unionByName(minor.select("home", "salt", F.lit(0).alias("part"), F.col("a").alias("key"), "comp"))
+    sorted_rows = _with_texts(docs, nodes, places).repartition("home", "salt").sortWithinPartitions("home", "salt", "part", "key")
+    edges = _frames.cut(sorted_rows.mapInArrow(_compare, "a long, b long").distinct())
+    return edges, rows.filter(F.col("size") > most).limit(1).count() > 0
 
 
 def _heavy(docs: DataFrame, marked: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +412,6 @@ def _heavy(docs: DataFrame, marked: np.ndarray | None, least: int) -> tuple[np.n
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n) of every row, and (key, comp) of every set that links with another."""
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     keyed = _frames.cut(texts.mapInArrow(_keys, "doc_id long, key long, n long"))
     nodes = _frames.cut(keyed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
@@ -322,9 +422,11 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         more, _ = _heavy(only, heavy, GROUP)
         heavy = np.unique(np.concatenate([heavy, more]))
     warm = ~_within(seen, heavy)
-    index = only.mapInArrow(_index(heavy, seen[warm], counts[warm]), INDEX).repartition("token").sortWithinPartitions("token", "key")
+    index = only.mapInArrow(_index(heavy, seen[warm], counts[warm]), INDEX).repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
     groups = _frames.cut(index.mapInArrow(_grouped, GROUPS))
-    large = groups.filter("b is null").select("token", "a", "a_n", "a_len", "a_light")
+    # Documents that meet first at a heavy shingle share heavy ones only: rows with too few of them go.
+    enough = ~F.col("heavy") | (100 * (F.col("a_n") - F.col("a_light")) >= SIMILAR * F.col("a_n"))
+    large = groups.filter(F.col("b").isNull() & enough).select("token", "a", "a_n", "a_light")
     pairs = _frames.cut(_sure(groups.filter("b is not null")))
     star = _frames.cut(_star(large).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     # First each set with its likeliest partner, and the stars; what these join needs no second look.
@@ -333,9 +435,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = _frames.cut(likely.unionByName(star).distinct())
     edges = _verify(docs, nodes, first)
     labels = components(edges)
-    heavies = spark.createDataFrame([(int(x),) for x in heavy.view(np.int64)], "token long")
-    again = _across(pairs.select("a", "b"), labels).join(first, ["a", "b"], "left_anti").unionByName(_rest(large, labels, heavies, first))
-    again = _frames.cut(again.distinct())
+    least, most, further = 0, LEADS, True
+    while further:
+        more, further = _rest(docs, nodes, large, labels, least, most)
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            labels = components(edges)
+        least, most = most, most * MORE_LEADS
+    again = _frames.cut(_across(pairs.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"))
     if again.limit(1).count():
         edges = edges.unionByName(_verify(docs, nodes, again))
         labels = components(edges)
