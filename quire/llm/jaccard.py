@@ -120,9 +120,10 @@ def _counted(heavy: np.ndarray | None) -> Callable:
                     continue
                 light = ~_within(own, heavy)
                 if not light[:prefix].all():
-                    # Twice as far as it takes to fill the prefix with light ones: some of those are heavy too.
+                    # Half as far again as it takes to fill the prefix with light ones: some of those
+                    # are heavy too.  What the plain prefix holds has been counted.
                     reach = int(np.searchsorted(np.cumsum(light), prefix)) + 1
-                    out.append(own[: 2 * reach])
+                    out.append(own[prefix : reach + reach // 2])
             yield pa.RecordBatch.from_arrays([_longs(out)], ["token"])
 
     return run
