@@ -67,6 +67,16 @@ def tidy(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def tasks(files: DataFrame, size: str, each: int) -> int:
+    """How many tasks read files of these sizes, some `each` bytes a task.
+
+    A count that is stated is kept: adaptive execution would else put all rows that name files
+    into one task, as the rows themselves are small.
+    """
+    total = files.agg(F.sum(size)).first()[0] or 0
+    return max(1, -(-total // each))
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Adds row numbers from 0 in the given total order: a range sort, then a prefix sum of
     the partitions' sizes; no window over all rows and nothing but sizes on the driver."""

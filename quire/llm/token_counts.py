@@ -2,17 +2,19 @@
 
 Method: token files are runs of little-endian ids without any index; a document ends at an
 end-of-document id.  The files are cut into blocks of fixed size wherever that falls.  Tasks
-read blocks by their byte ranges and search each with one vectorised comparison.  What was
-cut is stitched by a prefix scan over a file's blocks: the running sum of separators numbers
-the documents, and the running maximum of separator positions tells where the document that
-is open at a block's start began.
+read blocks by their byte ranges and search each with one vectorised comparison; how many
+tasks there are follows from the bytes of the files, not of the rows that name them.  What was
+cut is stitched by a prefix scan over the figures of a file's blocks, one small row a block:
+the running sum of separators numbers the documents, and the running maximum of separator
+positions tells where the document that is open at a block's start began.  These offsets are
+then joined to the blocks' separators.
 
 `write` makes such files from texts (ids as ordinary text, so a separator never stands
 inside a document) and notes which document lies where, for the query's result only; the
 scan does not use it.
 
-Defined cases: a null or empty text has 0 tokens; null ids and repeated rows are counted like
-others; ids after a file's last separator are a document of their own, marked as open; a
+Defined cases: a null or empty text has 0 tokens; a very long text lies in one file and in as
+many blocks as it takes; null ids and repeated rows are counted like others; ids after a file's last separator are a document of their own, marked as open; a
 file of no ids has no document; an empty table gives an empty result; other columns are
 left alone.
 """
@@ -35,6 +37,8 @@ TYPE = "<u2"
 #: Bytes from which a written file is closed, and of a block that is read at once.
 ROLL_BYTES = 256 << 20
 BLOCK_BYTES = 8 << 20
+#: Bytes that one reading task takes on average.
+TASK_BYTES = 64 << 20
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k", roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -79,7 +83,8 @@ def scan(spark: SparkSession, folder: str, end: int = END, width: str = TYPE, bl
     """(file, ordinal, start, n_tokens, open) of every document in the folder's token files."""
     size = np.dtype(width).itemsize
     step = block_bytes // size * size
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "length")
+    files = _frames.cut(spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "length"))
+    tasks = _frames.tasks(files, "length", TASK_BYTES)
     blocks = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step))).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +98,17 @@ def scan(spark: SparkSession, folder: str, end: int = END, width: str = TYPE, bl
                 ends = np.flatnonzero(ids == end).astype(np.int64) + block * (step // size)
                 yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]]), pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays([0, len(ends)], pa.array(ends))], ["file", "block", "ids", "ends"])
 
-    found = _frames.cut(blocks.repartition("path", "block").mapInArrow(run, BLOCKS))
+    found = _frames.stored(blocks.repartition(tasks, "path", "block").mapInArrow(run, BLOCKS), "blocks")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("file").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     last = F.element_at("ends", -1)
-    stitched = found.select(
-        "file", "ends",
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("before"),
-        F.coalesce(F.max(F.when(F.size("ends") > 0, last)).over(earlier) + 1, F.lit(0)).alias("open_at"),
-        (F.col("block") * (step // size) + F.col("ids")).alias("stop"),
-        F.max("block").over(later).isNull().alias("is_last"),
+    figures = found.select("file", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, last).alias("last"))
+    offsets = figures.select(
+        "file", "block",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        F.coalesce(F.max("last").over(earlier) + 1, F.lit(0)).alias("open_at"),
+        (F.max("block").over(Window.partitionBy("file")) == F.col("block")).alias("is_last"),
     )
+    stitched = found.join(offsets, ["file", "block"]).withColumn("stop", F.col("block") * (step // size) + F.col("ids"))
     at = F.col("i")
     closed = stitched.select("file", "before", "open_at", "ends", F.posexplode("ends").alias("i", "stop"))
     start = F.when(at == 0, F.col("open_at")).otherwise(F.get("ends", at - 1) + 1)
