@@ -3,16 +3,17 @@
 Method: each task streams its documents.  Of a document's tokens, whole windows are cut off
 first; the rest is placed into the fill level h (0: a fresh window) whose choice leaves the
 smallest sum of squared counts of partially filled windows.  The counts stand in one level
-array, so a placement costs one vectorised look over the levels and the state is bounded by
-the levels, not by the documents.  At the end of a task's input its partially filled windows
-are poured after each other and cut anew into whole windows; the last one is cut into
-sequences whose lengths are powers of two, which need no padding.
+array, so a placement costs one vectorised look over the levels.  At most MOST_OPEN windows
+are open at a time: beyond that, the fullest half is poured after each other and cut anew into
+whole windows, and what is left of them stays open.  At the end of a task's input all open
+windows are poured; the last one is cut into sequences whose lengths are powers of two, which
+need no padding.
 
 Every task packs by itself, so there is no shuffle and a lost task is simply run again.
 
 Defined cases: a null or empty text is the single end id; repeated rows and null ids are
-packed like others; a text of many windows is cut at window ends; an empty table gives an
-empty result; other columns are left alone.
+packed like others; a text of many windows is cut at window ends; of levels with an equal sum
+the fullest is taken; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ END_ID = 0
 #: Sequence ids: the task's number times this, plus a running number within the task.
 TASK_STRIDE = 1 << 40
 OUT_ROWS = 20_000
+#: Windows that a task holds open at most (some 8 MB of ids).
+MOST_OPEN = 4096
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -69,12 +72,18 @@ class Levels:
         self.count[level + size] += 1
         return None
 
-    def rest(self) -> Iterator[list]:
+    def fullest(self, most: int) -> list[tuple]:
+        """Takes out the pieces of the `most` fullest windows."""
+        out = []
         for level in range(self.window - 1, 0, -1):
-            yield from self.open[level]
+            while self.open[level] and most:
+                out += self.open[level].pop()
+                self.count[level] -= 1
+                most -= 1
+        return out
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k", most_open: int = MOST_OPEN) -> DataFrame:
     """One row a piece: where it lies in its document and in its sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +98,20 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k"
                 at += len(ids)
             serial += 1
 
+        def pour(pieces: list, lengths: list[int]) -> list:
+            """Cuts pieces into sequences of these lengths, or into whole windows; what is left."""
+            held, size, each = [], 0, iter(lengths)
+            room = next(each, 0) if lengths else window
+            for doc, start, total, ids in pieces:
+                while len(ids):
+                    part = ids[: room - size]
+                    held.append((doc, start, total, part))
+                    ids, start, size = ids[len(part) :], start + len(part), size + len(part)
+                    if size == room:
+                        close(held)
+                        held, size, room = [], 0, next(each, 0) if lengths else window
+            return held
+
         def out() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             rows.clear()
@@ -102,20 +125,18 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = "byte_bpe_50k"
                     close([(doc, start, total, ids[start : start + window])])
                 if whole < total and (full := levels.place((doc, whole, total, ids[whole:].copy()), total - whole)):
                     close(full)
+                if levels.count.sum() > most_open:
+                    held = pour(levels.fullest(most_open // 2 + 1), [])
+                    if held:
+                        size = sum(len(p[3]) for p in held)
+                        levels.open[size].append(held)
+                        levels.count[size] += 1
                 if len(rows) >= OUT_ROWS:
                     yield out()
-        rest = [piece for pieces in levels.rest() for piece in pieces]
-        left = sum(len(ids) for *_, ids in rest)
-        lengths = [window] * (left // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if left % window >> k & 1]
-        held, room = [], lengths.pop(0) if lengths else 0
-        for doc, start, total, ids in rest:
-            while len(ids):
-                part = ids[:room]
-                held.append((doc, start, total, part))
-                ids, start, room = ids[room:], start + len(part), room - len(part)
-                if not room:
-                    close(held)
-                    held, room = [], lengths.pop(0) if lengths else 0
+        rest = levels.fullest(int(levels.count.sum()))
+        left = sum(len(ids) for *_, ids in rest) % window
+        rest = pour(rest, [])
+        pour(rest, [1 << k for k in range(window.bit_length() - 1, -1, -1) if left >> k & 1])
         yield out()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
