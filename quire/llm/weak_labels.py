@@ -6,16 +6,20 @@ so what expectation-maximisation needs is of fixed size: it estimates how often
 votes what on good and on bad documents, and the share of good ones, and gives every pattern
 its posterior.  The posteriors are soft labels for the scorer of `_hashed`, fitted on a
 bounded number of documents (SAMPLE_ROWS, half of either side if there are as many), and the
-scorer judges all texts, also where every labeller abstains.
-
-Defined cases: a null text counts as empty; null ids and repeated rows are judged like
-others; if all patterns fall on one side the scorer is constant; an empty table gives an
-empty result; other columns are left alone.
+scorer judges all texts, also where every labeller abstains.  As the sample has more bad
+documents than the corpus, the scorer's log-odds are moved from the sample's share of good
+ones to the corpus's.
+
+Defined cases: a null text counts as empty; a very long text is voted on and scored whole;
+null ids and repeated rows are judged like others; documents with equal hashes of their ids
+are sampled by id; if all patterns fall on one side the scorer is constant; an empty table
+gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +29,16 @@ from pyspark.sql import functions as F
 from quire.llm import _flat, _frames, _hashed, quality_rules
 
 SAMPLE_ROWS = 4096
-THRESHOLD = 0.25
+#: Documents are kept from this probability of good quality in the corpus on.
+THRESHOLD = 0.5
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("too_few", "repeats", "lines", "symbols", "capitals", "word_length", "shouts", "variety", "odd_ends", "alphabet", "length", "sentences")
-#: What is believed of every labeller before any document is seen, with the weight of PRIOR of
-#: the corpus: (class, vote) rates for classes bad and good and votes nothing, bad and good.
+#: What is believed of every labeller before any document is seen, with the weight of PRIOR_DOCS
+#: documents: (class, vote) rates for classes bad and good and votes nothing, bad and good.
 _CRITIC = [[0.75, 0.249, 0.001], [0.98, 0.019, 0.001]]
 _FRIEND = [[0.499, 0.001, 0.5], [0.299, 0.001, 0.7]]
 BELIEF = np.array([*[_CRITIC] * 10, *[_FRIEND] * 2])
-PRIOR, SHARE = 0.02, 0.85
+PRIOR_DOCS, SHARE = 20.0, 0.85
 
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -108,16 +113,15 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LAB
     balance of the votes settles which class is which.
     """
     votes_ = (patterns[:, None] // 3 ** np.arange(labellers)) % 3
-    weight = counts / max(counts.sum(), 1)
     good, share = np.full(len(patterns), SHARE), SHARE
     rates = BELIEF[:labellers].copy()
     for turn in range(rounds):
         if turn:
             for c, p in ((0, 1 - good), (1, good)):
-                mass = weight * p
+                mass = counts * p
                 for v in range(3):
-                    rates[:, c, v] = (mass @ (votes_ == v) + PRIOR * BELIEF[:labellers, c, v]) / (mass.sum() + PRIOR)
-            share = float(np.clip((weight * good).sum(), 1e-4, 1 - 1e-4))
+                    rates[:, c, v] = (mass @ (votes_ == v) + PRIOR_DOCS * BELIEF[:labellers, c, v]) / (mass.sum() + PRIOR_DOCS)
+            share = float(np.clip((counts * good).sum() / max(counts.sum(), 1), 1e-4, 1 - 1e-4))
         # A labeller that stays silent says something too: a critic does so on good documents.
         log = np.log(share / (1 - share)) + sum(np.log(rates[k, 1, votes_[:, k]] / rates[k, 0, votes_[:, k]]) for k in range(labellers))
         now = _hashed.sigmoid(log)
@@ -128,6 +132,11 @@ def posterior(patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LAB
     return good, rates, share
 
 
+def _logit(share: float) -> float:
+    share = min(max(share, 1e-4), 1 - 1e-4)
+    return float(np.log(share / (1 - share)))
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for step in _flat.steps(batches):
         rows, _ = votes(*_flat.flat(step.column("text")))
@@ -141,12 +150,16 @@ def classify(docs: DataFrame, rows: int = SAMPLE_ROWS, threshold: float = THRESH
     # Every labeller has two ways to vote: at most 2 to the power of the labellers, 4,096 rows.
     counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
     codes = counted["pattern"].to_numpy(np.int64)
-    good, _, _ = posterior(codes, counted["n"].to_numpy(np.float64)) if len(codes) else (np.zeros(0), None, 0.5)
+    good, _, share = posterior(codes, counted["n"].to_numpy(np.float64)) if len(codes) else (np.zeros(0), None, 0.5)
     table = voted.sparkSession.createDataFrame(list(zip(codes.tolist(), good.tolist(), strict=True)), "pattern long, target double")
     known = voted.filter("doc_id is not null").join(F.broadcast(table), "pattern").groupBy("doc_id").agg(F.avg("target").alias("target"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = known.filter("target >= 0.5").orderBy(*order).limit(rows // 2).unionByName(known.filter("target < 0.5").orderBy(*order).limit(rows // 2))
+    half = _frames.cut(half)
     model = quality_rules.train(texts, half) if len(codes) else _hashed.Model(np.zeros(_hashed.DIMS, np.float32), 0.0)
+    sampled = half.agg(F.avg("target")).first()[0]
+    if sampled is not None:
+        model = replace(model, shift=model.shift + _logit(share) - _logit(sampled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in _flat.steps(batches):
