@@ -11,8 +11,10 @@ digits); the method adds iban (the country's length, mod-97) and ssn (number ran
 must reach SURE.  A score starts at the kind's prior, rises when a checksum confirms it, rises with words within
 NEAR characters and falls with words that speak against it before.  Spans are in code points, ends exclusive.
 
-Defined cases: a null text counts as empty and has no spans; null ids and repeated rows pass
-through; an empty table gives an empty result; other columns are left alone.
+Defined cases: a null text counts as empty and has no spans; a very long text is searched
+whole; spans of different kinds may overlap and are all returned, equal rows get equal spans;
+null ids and repeated rows pass through; an empty table gives an empty result; other columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -190,10 +192,10 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base spans, and all spans as text."""
+    """Counts by kind, the digest of the base spans, and all spans and their scores as text."""
     base = [k.name for k in KINDS if k.base]
     count = {f"n_{k.name}": F.size(F.filter(F.col("pii")["kind"], _is(k.name))).cast("long") for k in KINDS}
-    return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(_joined(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *(c.alias(n) for n, c in count.items()), F.sha2(_joined(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
