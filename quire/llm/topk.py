@@ -1,19 +1,22 @@
 """Exact top-k search: ball-tree branch and bound per shard, with a shared k-th score.
 
-Method: vectors are dealt into shards by the hash of their id; a task builds a ball tree
-over each of its shards and streams queries past it.  A query visits nodes in the order of
-their inner-product upper bound q.c + |q| r and stops at the first that cannot reach its
-k-th score.  First every query searches its home shard alone; the k-th score found there is
-shared with all other shards, where the search begins with it.  A shard holds a bounded
-number of vectors and queries are only streamed, so memory does not follow their number.
+Method: a bounded number of vectors, those with the least hashes, are pivots; every vector is
+indexed in the cell of its nearest one.  A cell's ball (pivot and largest distance) is one row
+of a small table that all tasks have.  A cell of many vectors is split into shards of bounded
+size, and a task builds a ball tree over each of its shards and streams queries past it.  A
+query visits nodes in the order of their inner-product upper bound q.c + |q| r and stops at
+the first that cannot reach its k-th score.  Queries go to cells in waves of falling bound: to
+the best one, to the next few, to all others; before each wave the k-th score found so far is
+shared, and a query is sent only to cells whose bound reaches it.  Shards hold a bounded number
+of vectors and queries are only streamed, so memory does not follow their number.
 
 Components are floor(256 * x); scores are integer inner products, exact: in floating point
 where no sum can pass 2^53, else in whole numbers.  Ties go to the smaller vec_id.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without
 vec_id, take no part; vectors are compared only with those of their own length; rows that
-repeat a vec_id are candidates each, but never of that id's own query; repeated equal query
-rows count once; fewer than k candidates give fewer rows; an empty table gives an empty
+repeat a vec_id are candidates each, but never of that id's own query, and those that repeat
+a vector as well lie in one shard; repeated equal query rows count once; fewer than k candidates give fewer rows; an empty table gives an empty
 result; a score beyond the range of long is an error; other columns are left alone.
 """
 
@@ -32,9 +35,13 @@ from quire.llm import _frames
 
 K = 5
 LEAF = 32
-#: Vectors a shard holds on average, while there are at most MAX_SHARDS shards.
+#: Vectors of a cell on average, while there are at most MOST_PIVOTS pivots (shipped to all tasks).
 SHARD_ROWS = 512
-MAX_SHARDS = 2048
+MOST_PIVOTS = 1024
+#: Vectors of a shard on average: larger cells are split.
+SPLIT_ROWS = 1 << 15
+#: The places of a query's cells, by falling bound, at which waves begin.
+WAVES = (0, 1, 8)
 HITS = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -154,6 +161,84 @@ def _search(k: int):
     return run
 
 
+class Cells:
+    """Pivots by the length of vectors, and what is known of each one's cell."""
+
+    def __init__(self, pivots: list[list[int]]):
+        by_length: dict[int, set] = {}
+        for p in pivots:
+            by_length.setdefault(len(p), set()).add(tuple(p))
+        self.pivots = {n: np.array(sorted(own), np.float64) for n, own in by_length.items()}
+        self.radius: dict[int, float] = {}
+        self.split: dict[int, int] = {}
+
+    def centers(self, length: int) -> np.ndarray:
+        return self.pivots.get(length, np.zeros((1, length)))
+
+    @staticmethod
+    def cell(length: int, place: np.ndarray) -> np.ndarray:
+        return length * (MOST_PIVOTS + 1) + place
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the cell of its nearest pivot, and the distance."""
+        centers = self.centers(rows.shape[1])
+        place = np.argmin((centers**2).sum(axis=1) - 2 * (rows @ centers.T), axis=1)
+        return self.cell(rows.shape[1], place), np.sqrt(((rows - centers[place]) ** 2).sum(axis=1))
+
+    def bounds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of this length that hold vectors, and a number that no inner product there passes."""
+        centers = self.centers(rows.shape[1])
+        cells = self.cell(rows.shape[1], np.arange(len(centers)))
+        filled = np.array([int(c) in self.radius for c in cells])
+        cells, centers = cells[filled], centers[filled]
+        radius = np.array([self.radius[int(c)] for c in cells])
+        norm = np.sqrt((rows**2).sum(axis=1))[:, None]
+        slack = 1e-9 * norm * (np.sqrt((centers**2).sum(axis=1)) + radius)[None, :] + 1e-6
+        return cells, np.floor(rows @ centers.T + norm * radius[None, :] + slack)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of a batch with vectors of one length each, and these vectors."""
+    length = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(length):
+        part = batch.take(pa.array(np.flatnonzero(length == n)))
+        yield part, part.column("v").flatten().to_numpy().reshape(-1, n).astype(np.float64)
+
+
+def _assign(cells: Cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, rows in _by_length(batch):
+                cell, distance = cells.nearest(rows)
+                yield part.append_column("cell", pa.array(cell, pa.int64())).append_column("distance", pa.array(distance))
+
+    return run
+
+
+def _copies(cells: Cells, lo: int, hi: int | None):
+    """Queries for the cells from place `lo` to `hi` by falling bound, where it reaches the k-th score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, rows in _by_length(batch):
+                own, bounds = cells.bounds(rows)
+                floor = part.column("floor_score").cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                order = np.argsort(-bounds, axis=1, kind="stable")[:, lo:hi]
+                reached = np.take_along_axis(bounds, order, 1) >= floor[:, None] - 1e-6 * np.abs(np.where(np.isfinite(floor), floor, 0))[:, None]
+                query, place = np.nonzero(reached)
+                cell = own[order[query, place]]
+                n = np.array([cells.split[int(c)] for c in cell], np.int64)
+                salt = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                shard = np.repeat(cell, n) * SALTS + salt
+                yield part.take(pa.array(np.repeat(query, n))).append_column("shard", pa.array(shard, pa.int64()))
+
+    return run
+
+
+SALTS = 1 << 20
+QUERY = "vec_id long, v array<long>, query_key long, floor_score long, floor_id long"
+
+
 def _round(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Vectors first, then queries of each shard, in one task; answers stream out."""
     null = F.lit(None).cast("long")
@@ -174,23 +259,40 @@ def quantized(embeddings: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
 
 
+def indexed(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, Cells]:
+    """(vec_id, v, shard) of every vector, and the cells."""
+    # A bounded sample, MOST_PIVOTS vectors at most, places the pivots; every vector is indexed.
+    most = max(1, min(MOST_PIVOTS, -(-rows.count() // shard_rows)))
+    cells = Cells([r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(most).select("v").collect()])
+    placed = _frames.cut(rows.mapInArrow(_assign(cells), "vec_id long, v array<long>, cell long, distance double"))
+    # One row a cell: as many as there are pivots, and one for each further length of vectors.
+    for r in placed.groupBy("cell").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect():
+        cells.radius[r["cell"]] = r["radius"]
+        cells.split[r["cell"]] = min(SALTS, -(-r["n"] // SPLIT_ROWS))
+    large = {c: n for c, n in cells.split.items() if n > 1}
+    salt = F.lit(0).cast("long")
+    if large:
+        split = F.create_map(*(F.lit(x).cast("long") for pair in large.items() for x in pair))
+        salt = F.pmod(F.xxhash64("vec_id", "v"), F.coalesce(F.try_element_at(split, F.col("cell")), F.lit(1)))
+    return placed.select("vec_id", "v", (F.col("cell") * SALTS + salt).alias("shard")), cells
+
+
 def top_k(embeddings: DataFrame, every: int = 50, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each query row."""
     rows = _frames.cut(quantized(embeddings))
-    shards = max(1, min(MAX_SHARDS, -(-rows.count() // shard_rows)))
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    vectors = rows.withColumn("shard", F.size("v").cast("long") * MAX_SHARDS + place)
-    queries = rows.filter(F.col("vec_id") % every == 0).distinct().withColumn("query_key", F.xxhash64("vec_id", "v")).withColumn("home", place)
-    null = F.lit(None).cast("long")
-    base = F.size("v").cast("long") * MAX_SHARDS
-    at_home = queries.withColumns({"shard": base + F.col("home"), "floor_score": null, "floor_id": null})
-    first = _frames.cut(_best(_round(vectors, at_home, k), k))
-    floors = first.filter(F.col("rank") == k).select("query_id", "query_key", F.col("score").alias("floor_score"), F.col("vec_id").alias("floor_id"))
-    known = queries.withColumn("query_id", F.col("vec_id")).join(floors, ["query_id", "query_key"], "left")
-    others = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("other") != F.col("home")).withColumn("shard", base + F.col("other"))
-    second = _round(vectors, others, k)
-    hits = first.select("query_id", "query_key", "vec_id", "score").unionByName(second)
-    return _best(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    vectors, cells = indexed(rows, shard_rows)
+    queries = _frames.cut(rows.filter(F.col("vec_id") % every == 0).distinct().withColumn("query_key", F.xxhash64("vec_id", "v")))
+    hits = None
+    for lo, hi in zip(WAVES, (*WAVES[1:], None), strict=True):
+        null = F.lit(None).cast("long")
+        known = queries.withColumns({"floor_score": null, "floor_id": null})
+        if hits is not None:
+            floors = hits.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "query_key", F.col("score").alias("floor_score"), F.col("vec_id").alias("floor_id"))
+            known = queries.join(floors, ["vec_id", "query_key"], "left")
+        sent = known.select("vec_id", "v", "query_key", "floor_score", "floor_id").mapInArrow(_copies(cells, lo, hi), f"{QUERY}, shard long")
+        found = _round(vectors, sent, k)
+        hits = _frames.cut(_best(found if hits is None else found.unionByName(hits.drop("rank")), k))
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
