@@ -1,8 +1,11 @@
 """WARC: a deterministic sharded writer and the reader that checks what it wrote.
 
-Method: records are range-sorted by page id, so each task holds one run of the order.  It
-writes gzip members, one a record, and starts a new file when the compressed size reaches a
-limit.  Headers and digests are regenerated from the payload.  Files are written under
+Method: records are range-sorted by page id and digest; each task writes one run of the
+order, a shard.  Where shards begin follows from the records alone: of those whose hash falls
+into a fixed share, sorted, every SAMPLES-th is a bound, so a rerun writes the same files
+however the table is partitioned.  A task writes gzip members, one a record, and starts a new
+file when the compressed size reaches a limit.  Headers and digests are regenerated from the
+payload.  The reader's tasks follow from the bytes of the files.  Files are written under
 temporary names and renamed when whole; the manifest, written by Spark's committer after all
 of them, lists what counts, and the reader opens nothing else.
 
@@ -11,8 +14,8 @@ page_id is a response and the others are revisits of it.  Which page revisits wh
 settled on digests alone; the decisions then travel to the pages' own range partition
 beside the pages, so that payloads are shuffled once.
 
-Defined cases: a null html is an empty payload, always a response; a null page_id counts as
-the smallest; rows that repeat the largest page_id with the same payload are all responses;
+Defined cases: a null html is an empty payload, always a response; a very long one is one
+record, in memory whole; a null page_id counts as the smallest; rows that repeat the largest page_id with the same payload are all responses;
 a null url leaves out its header; an empty table writes no file and reads back empty; other
 columns are left alone.
 """
@@ -26,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +41,11 @@ MIN_REVISIT = 1000
 #: Compressed bytes from which a file is closed.
 ROLL_BYTES = 64 << 20
 LEVEL = 6
+#: Records of a shard on average, and sampled ones between two bounds; shards at most (their
+#: bounds, 73 bytes each, go to every task), beyond which shards grow.
+SHARD_RECORDS, SAMPLES, MOST_SHARDS = 2048, 32, 1 << 16
+#: Compressed bytes that one reading task takes on average.
+TASK_BYTES = 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -90,7 +99,29 @@ def revisits(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     return found.select("page_id", "digest", "keeper").distinct()
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: int = LEVEL) -> DataFrame:
+def _sort_keys(page_id: pa.Array, digest: pa.Array) -> np.ndarray:
+    """Byte strings that sort as (page_id with null first, digest)."""
+    out = np.zeros((len(page_id), 73), np.uint8)
+    out[:, 0] = page_id.is_valid().to_numpy(zero_copy_only=False)
+    ids = page_id.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out[:, 1:9] = ids.astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = np.array(digest.to_pylist(), "S64").view(np.uint8).reshape(-1, 64)
+    return out.reshape(-1).view("S73")
+
+
+def shards(ids: DataFrame, each: int = SHARD_RECORDS) -> np.ndarray:
+    """The sort keys at which the second and further shards of (page_id, digest) rows begin."""
+    rows = ids.count()
+    each = max(each, -(-rows // MOST_SHARDS))
+    if rows <= each:
+        return np.zeros(0, "S73")
+    sample = ids.filter(F.pmod(F.xxhash64("page_id", "digest"), F.lit(max(1, each // SAMPLES))) == 0)
+    ranked = _frames.numbered(sample, F.col("page_id").asc_nulls_first(), F.col("digest"))
+    found = ranked.filter((F.col("rank") > 0) & (F.col("rank") % min(SAMPLES, each) == 0)).toArrow()
+    return np.sort(_sort_keys(found.column("page_id").combine_chunks(), found.column("digest").combine_chunks()))
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: int = LEVEL, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """Writes the archives and their manifest under `folder`; returns the manifest."""
     spark = pages.sparkSession
     null = F.lit(None)
@@ -98,7 +129,14 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, level: in
     records = pages.select("page_id", digest.alias("digest"), F.lit(1).alias("part"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), null.cast("long").alias("keeper"))
     decisions = revisits(pages).select("page_id", "digest", F.lit(0).alias("part"), null.cast("string").alias("url"), null.cast("string").alias("html"), "keeper")
     order = [F.col("page_id").asc_nulls_first(), F.col("digest"), F.col("part"), F.col("url")]
-    run = records.unionByName(decisions).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    bounds = shards(_frames.cut(pages.select(F.col("page_id").cast("long").alias("page_id"), digest.alias("digest"))), shard_records)
+
+    @F.arrow_udf("int")
+    def shard_of(page_id: pa.Array, digest: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, _sort_keys(page_id, digest), "right").astype(np.int32))
+
+    both = records.unionByName(decisions).withColumn("shard", shard_of(F.col("page_id").cast("long"), "digest"))
+    run = both.repartitionById(len(bounds) + 1, F.col("shard")).drop("shard").sortWithinPartitions(*order)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, out, held = TaskContext.get().partitionId(), 0, None, 0
@@ -195,7 +233,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             yield out()
         yield out()
 
-    return manifest.select("file").repartition(F.col("file")).mapInArrow(task, RECORDS)
+    tasks = _frames.tasks(manifest, "bytes", TASK_BYTES)
+    return manifest.select("file").repartition(tasks, "file").mapInArrow(task, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
