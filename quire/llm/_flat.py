@@ -79,18 +79,38 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Bytes of a range that one polynomial covers; longer ranges are hashed by pieces.  Modulo a
+#: power of two, known pairs of different long strings have equal values for every base.
+PIECE = 64
+
+
 class Hasher:
-    """64-bit hashes of any byte ranges of one flat array, each in constant time."""
+    """64-bit hashes of any byte ranges of one flat array, in constant time for short ones."""
 
     def __init__(self, data: np.ndarray):
         self.ahead, self.back = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * self.ahead[: len(data)], out=self.sums[1:])
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _piece(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * _ODD[63])
 
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = self._piece(starts, ends)
+        long = np.flatnonzero(ends - starts > PIECE)
+        if len(long):
+            lo, hi = starts[long].astype(np.int64), ends[long].astype(np.int64)
+            n = -(-(hi - lo) // PIECE)
+            first = np.cumsum(n) - n
+            number = np.arange(n.sum()) - np.repeat(first, n)
+            at = np.repeat(lo, n) + number * PIECE
+            pieces = self._piece(at, np.minimum(at + PIECE, np.repeat(hi, n)))
+            # Mixed with their numbers before they are summed, so that their order tells.
+            pieces = mix(pieces ^ (number.astype(np.uint64) * _ODD[62])) * _ODD[61]
+            out[long] = mix(np.add.reduceat(pieces, first) + (hi - lo).astype(np.uint64))
+        return out
+
 
 def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-word windows, each window's first word, and the bounds of each text's windows."""

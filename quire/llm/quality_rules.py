@@ -7,7 +7,9 @@ batches and kept where the probability of good quality reaches a fixed threshold
 base rules come first: too few words, or too many words in repeated five-word windows.
 
 Defined cases: a null text counts as empty and has no words, so the base rule fails it; a
-null doc_id is passed through; repeated rows are judged one by one and alike; a label row
+very long text is measured and scored whole; a probability at the threshold is kept; a
+null doc_id is passed through; repeated rows are judged one by one and alike, and of rows that
+repeat a labelled id one (the least text by hash) is in the sample; a label row
 counts only if it has a doc_id and quality 0 or 1, and documents whose label rows disagree
 are left out of the sample; without both classes among the labels the learnt verdict
 rejects nothing; an empty table gives an empty result; other columns are left alone.
@@ -107,8 +109,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, targets: DataFrame) -> _hashed.Model:
-    """Fits the scorer on documents with a target; `targets` (doc_id, target) has a bounded size."""
-    sample = docs.select("doc_id", "text").join(F.broadcast(targets.select("doc_id", "target")), "doc_id").select("target", "text")
+    """Fits the scorer on documents with a target; `targets` (doc_id, target) has a bounded size.
+
+    One row an id is taken, so that this bound holds for the rows as well.
+    """
+    found = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(targets.select("doc_id", "target")), "doc_id")
+    sample = found.groupBy("doc_id").agg(F.first("target").alias("target"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("target", "text")
     features = sample.mapInArrow(_featurize, "target double, index binary, value binary")
     # One task, but of SAMPLE_ROWS rows at most; its result is one row of fixed size.
     found = features.repartition(1).mapInArrow(_fit, "model binary").collect()
