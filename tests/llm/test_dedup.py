@@ -143,3 +143,43 @@ def test_hashes_of_ranges_do_not_depend_on_their_place():
     data = np.frombuffer(b"abcabcabc", np.uint8)
     h = _flat.Hasher(data)(np.array([0, 3, 6, 0]), np.array([3, 6, 9, 4]))
     assert h[0] == h[1] == h[2] != h[3]
+
+
+def test_components_of_a_large_family_in_many_parts(make):
+    """More near copies than a group may hold, many of them too far from all others."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = set()
+    while len(texts) < 1300:
+        own = list(base)
+        at = rng.randrange(120)
+        for k in range(rng.choice([0, 1, 2, 3, 4, 5, 9])):
+            own[(at + 11 * k) % 120] = rng.choice(words[:40] if rng.random() < 0.5 else words)
+        texts.add(" ".join(own))
+    rows = [(7 * i + 1, t) for i, t in enumerate(sorted(texts, key=hash))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(make(rows)).collect())
+    assert got == components(rows)
+    assert 20 < len({c for *_, c in got}) < 1200
+
+
+def test_rounds_of_leads_reach_all(make, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEADS", 4)
+    monkeypatch.setattr(jaccard, "MORE_LEADS", 3)
+    rows = corpus()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(make(rows)).collect())
+    assert got == components(rows)
+
+
+def test_a_block_finds_links_as_sets_do():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(30)]
+    block = jaccard.Block(list(range(30)), list(range(30)), sets)
+    for k in range(100, 140):
+        own = np.unique(rng.integers(0, 40, 30).astype(np.uint64))
+        found = block.links(k, k, own)
+        linked = [j for j in range(30) if 100 * len(np.intersect1d(own, sets[j])) >= 80 * len(np.union1d(own, sets[j]))]
+        assert set(found) <= set(linked)
+        assert {block._root(j) for j in linked} <= {block._root(k)}

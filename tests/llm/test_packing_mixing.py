@@ -134,3 +134,62 @@ def test_mixed_rows_keep_columns(make, odd):
     docs = make(odd)
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0
+
+
+def test_ids_of_very_long_runs_equal_the_plain_ones():
+    plain = _tokens._plain("byte_bpe_50k.json")
+    for text in (" " * 1_000_000, "x" + "\n" * 300_000 + "y", "a" * 1_000_000, "7" * 300_000, "#" * 300_000, "é" * 300_000, " \t" * 200_000 + "end", "w " * 200_000):
+        ids = _tokens.encode(text)
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    special = "<|endoftext|>" + " " * 20_000
+    ordinary = _tokens.encode(special, ordinary=True).tolist()
+    assert ordinary[:3] == _tokens.encode("<|endoftext|>", ordinary=True).tolist()[:3] and ordinary != _tokens.encode(special).tolist()
+
+
+def test_a_text_of_a_million_blanks_is_packed(make):
+    rows = packing.pack(make([(1, " " * 1_000_000), (2, "a")])).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == {r.doc_id: r.doc_tokens for r in rows}[1]
+
+
+def test_the_fullest_windows_are_taken_out():
+    levels = packing.Levels(16)
+    for k in range(30):
+        levels.place((k, 0, 9, np.zeros(9, "<u4")), 9)
+    out = levels.fullest(20)
+    assert len(out) == 20 and levels.count.sum() == 10 and sum(map(len, levels.open)) == 10
+
+
+def test_pieces_tile_with_few_open_windows(spark):
+    docs = spark.createDataFrame([(k, "word " * (40 + k % 13)) for k in range(300)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, window=64, most_open=5).collect()
+    ends, lengths = {}, {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == lengths.get(r.sequence_id, 0)
+        lengths[r.sequence_id] = r.offset + r.length
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == ends.get(r.doc_id, 0)
+        ends[r.doc_id] = r.start + r.length
+    assert ends == {r.doc_id: r.doc_tokens for r in rows}
+    assert sum(n < 64 for n in lengths.values()) <= 6 and max(lengths.values()) <= 64
+
+
+def test_document_rates_are_tilted_by_size(spark):
+    import math
+
+    rows = [(f"{s}", float(n * k), n / 20) for s in "ab" for n, k in ((5, 40), (20, 30), (80, 10), (400, 2))]
+    cells = spark.createDataFrame(rows, "source string, tokens double, z double").withColumn("target_source", F.when(F.col("source") == "a", 5000.0).otherwise(900.0))
+    got = mixing.balance(cells, ["source"]).collect()
+    for source, want in (("a", 5000.0), ("b", 900.0)):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.tokens * r.rate for r in own) - want) < 1e-6 * want
+        assert all(abs(r.rate - min(3.0, math.exp(r.lam_source * r.z))) < 1e-9 for r in own)
+        assert len({round(r.rate, 6) for r in own}) > 2
+    full = mixing.balance(cells.withColumn("target_source", 3.0 * F.lit(200 + 600 + 800 + 800)), ["source"]).collect()
+    assert all(r.rate == 3.0 for r in full)
+
+
+def test_mix_does_not_depend_on_ids(spark):
+    rows = [(None if k % 3 else k // 40, "w " * (1 + k % 50), "ab"[k % 2]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [mixing.mixed_rows(docs.repartition(n)).groupBy("doc_id", "text").count().collect() for n in (3, 11)]
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))

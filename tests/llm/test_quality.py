@@ -100,3 +100,83 @@ def test_platt_recovers_a_slope():
     y = (rng.random(5000) < _hashed.sigmoid(2 * z - 1)).astype(float)
     slope, shift = _hashed.platt(z, y)
     assert slope == pytest.approx(2, abs=0.3) and shift == pytest.approx(-1, abs=0.3)
+
+
+_ODD = set(b"#$%&*+/<=>@\\^_`{|}~")
+
+
+def plain_votes(text):
+    raw, words = (text or "").encode(), [w.encode() for w in WORD.findall(text or "")]
+    n, chars, symbols, dup_lines, repeated, _ = base(text)
+    per = max(n, 1)
+    letters = [c for c in raw if chr(c).isalpha() and c < 128]
+    solid = [c for c in raw if c not in b" \t\n\x0b\x0c\r"]
+    capital = sum(65 <= c <= 90 for c in letters) / max(len(letters), 1)
+    sentences = sum(w.endswith(b".") for w in words) / per
+    bad = [
+        n < 3, repeated / per > 0.2, dup_lines / (raw.count(b"\n") + 1) >= 0.3, symbols / per > 0.1, capital > 0.4 and len(letters) >= 20,
+        chars / per < 2.5 or chars / per > 12, raw.count(b"!") / per > 0.2, len(set(words)) / per < 0.2 and n >= 30,
+        sum(w[-1] in _ODD for w in words) / per > 0.2, (len(letters) + sum(c >= 128 for c in solid)) / max(len(solid), 1) < 0.92 and n >= 5,
+    ]
+    return [weak_labels.BAD * b for b in bad] + [weak_labels.GOOD * g for g in (n >= 40, 0.02 < sentences < 0.3)]
+
+
+def plain_em(rows, rounds=200):
+    """The same estimates document by document, without patterns and arrays."""
+    import math
+
+    share, good = weak_labels.SHARE, [weak_labels.SHARE] * len(rows)
+    rates = [[list(c) for c in k] for k in weak_labels.BELIEF.tolist()]
+    for turn in range(rounds):
+        if turn:
+            for c in (0, 1):
+                mass = [p if c else 1 - p for p in good]
+                for k in range(len(rates)):
+                    for v in range(3):
+                        own = sum(m for m, row in zip(mass, rows, strict=True) if row[k] == v)
+                        rates[k][c][v] = (own + weak_labels.PRIOR_DOCS * weak_labels.BELIEF[k][c][v]) / (sum(mass) + weak_labels.PRIOR_DOCS)
+            share = min(max(sum(good) / len(good), 1e-4), 1 - 1e-4)
+        odds = [math.log(share / (1 - share)) + sum(math.log(rates[k][1][v] / rates[k][0][v]) for k, v in enumerate(row)) for row in rows]
+        now = [1 / (1 + math.exp(-max(-40.0, min(40.0, o)))) for o in odds]
+        moved, good = max(abs(a - b) for a, b in zip(now, good, strict=True)), now
+        if turn and moved < 1e-9:
+            break
+    return good
+
+
+def test_votes_and_posteriors_match_a_plain_version(make, odd):
+    rows = [*odd, (300, "WE SHOUT! AND SHOUT! AGAIN! LOUDLY! NOW!"), (301, "a\nb c\na\nb c\na"), (302, "x# y$ z% q& r* s+ t/"), (303, "One two. " * 30)]
+    got = weak_labels.classify(make(rows)).collect()
+    votes = {i: plain_votes(t) for i, t in rows if i not in (None, 105)}
+    for r in got:
+        if r.doc_id in votes:
+            assert r.pattern == sum(v * 3**k for k, v in enumerate(votes[r.doc_id])), r.doc_id
+    post = dict(zip([(i, t) for i, t in rows], plain_em([plain_votes(t) for _, t in rows]), strict=True))
+    want = {i: p for (i, _), p in post.items()}
+    assert all(abs(r.posterior - want[r.doc_id]) < 1e-6 for r in got if r.doc_id in votes)
+    assert all(r.kept == (r.probability >= weak_labels.THRESHOLD) for r in got)
+
+
+def test_the_prior_washes_out_with_the_corpus():
+    import numpy as np
+
+    codes, counts = np.array([0, 1, 3, 4]), np.array([700.0, 150, 100, 50])
+    shares = [weak_labels.posterior(codes, counts * k, 2)[2] for k in (1, 1000, 1_000_000)]
+    assert abs(shares[1] - shares[2]) < 1e-3
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"good words number {k}") for k in range(50)] + [(2, "bad"), (3, None)], "doc_id long, text string")
+    targets = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 0.0)], "doc_id long, target double")
+    one = quality_rules.train(docs, targets)
+    other = quality_rules.train(docs.repartition(5), targets)
+    assert (one.weights == other.weights).all() and one.bias == other.bias
+
+
+def test_long_lines_that_a_polynomial_confuses_are_told_apart(make):
+    word = "a"
+    for _ in range(11):  # a Thue-Morse word and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    r = quality_rules.judge(make([(1, f"{word}\n{other}")]), _hashed.Model(None, 0.0), True).collect()[0]
+    assert (r.n_dup_lines, r.n_words) == (0, 2)

@@ -140,3 +140,58 @@ def test_scan_of_raw_files(spark, tmp_path):
     for block in (2, 4, 6, 1 << 20):
         got = sorted((r.file, r.ordinal, r.start, r.n_tokens, r.open) for r in token_counts.scan(spark, f"file://{tmp_path}", block_bytes=block).collect())
         assert got == [("a.bin", 0, 0, 3, False), ("a.bin", 1, 4, 0, False), ("a.bin", 2, 5, 1, False), ("a.bin", 3, 7, 2, True), ("b.bin", 0, 0, 0, False), ("c.bin", 0, 0, 39, True)]
+
+
+def test_clustered_queries_go_to_few_shards(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 8)) * 20
+    rows = [(i, [float(x) for x in centers[i % 40] + rng.normal(scale=0.05, size=8)]) for i in range(2000)]
+    vectors, cells = topk.indexed(topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), shard_rows=50)
+    shards = vectors.select("shard").distinct().count()
+    q = np.floor(256 * np.array([v for _, v in rows[::50]], np.float32).astype(np.float64))
+    own, bounds = cells.bounds(q)
+    best = np.sort((q @ np.floor(256 * np.array([v for _, v in rows], np.float32).astype(np.float64)).T), axis=1)[:, -6]
+    sent = (bounds >= best[:, None]).sum()
+    assert shards > 20 and sent < 0.3 * len(q) * shards
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=50).collect())
+    assert got == brute(rows)
+
+
+def test_large_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SPLIT_ROWS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, [1.0 + float(x) for x in rng.normal(scale=0.1, size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors, cells = topk.indexed(topk.quantized(df), shard_rows=100)
+    assert max(r["count"] for r in vectors.groupBy("shard").count().collect()) < 100 < max(cells.split.values()) * 40
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, shard_rows=100).collect()) == brute(rows)
+
+
+def test_warc_files_do_not_depend_on_partitions(spark, tmp_path):
+    import hashlib
+    import pathlib
+
+    pages = spark.createDataFrame([(k % 900 if k % 5 else None, f"http://h/{k}", f"<p>{k % 700}</p>" * (1 + k % 90)) for k in range(1500)], "page_id long, url string, html string")
+    seen = []
+    for n in (4, 211):
+        folder = f"file://{tmp_path}/p{n}"
+        manifest = warc.write(pages.repartition(n), folder, shard_records=64)
+        files = sorted(r.file for r in manifest.collect())
+        seen.append([(f, hashlib.sha256(pathlib.Path(tmp_path, f"p{n}", f).read_bytes()).hexdigest()) for f in files])
+        assert warc.read(manifest, folder).count() == 1500
+    assert seen[0] == seen[1] and len(seen[0]) > 10
+
+
+def test_readers_have_tasks_by_the_bytes_of_files(spark):
+    files = spark.createDataFrame([(f"f{k}", 64 << 20) for k in range(100)], "file string, bytes long")
+    n = _frames.tasks(files, "bytes", warc.TASK_BYTES)
+    assert n == 400 and files.repartition(n, "file").rdd.getNumPartitions() == 400
+    assert _frames.tasks(files.limit(0), "bytes", 10) == 1
+
+
+def test_token_counts_of_very_long_texts(spark, make):
+    rows = [(1, " " * 1_000_000), (2, "a b"), (3, "x" * 100_000)]
+    folder = _frames.fresh_dir(spark, "tokens")
+    made = token_counts.write(make(rows), folder)
+    got = token_counts.scan(spark, folder, block_bytes=1000).join(made, ["file", "ordinal"]).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(_tokens.encode(t, ordinary=True))) for i, t in rows]
