@@ -11,10 +11,12 @@ from pyspark.sql.window import Window
 
 from quire.functions import text as T
 
+#: What must follow a date without separators in a file name.
+BEHIND = "(?=[._-]|$)"
 # How dates stand in file names and texts, in the order in which they are tried.
 NAME_DATES = (
     (r"(\d{4})[-_.](\d{2})[-_.](\d{2})", False),
-    (r"_(\d{4})(\d{2})(\d{2})(?=[._-]|$)", False),
+    (r"_(\d{4})(\d{2})(\d{2})" + BEHIND, False),
     (r"(\d{2})(\d{2})(\d{2})_", True),
 )
 TEXT_DATES = (
@@ -36,11 +38,17 @@ def stem(path: Column) -> Column:
 
 def _date(text: Column, pattern: str, short: bool = False) -> Column:
     """The first match of a pattern as a date; null if it is none in the calendar."""
-    y, m, d = (F.regexp_extract(text, f"(?U){pattern}", k) for k in (1, 2, 3))
-    if short:
-        y = F.concat(F.when(y.try_cast("int") < 50, "20").otherwise("19"), y)
-    found = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    return F.when(F.year(found) > 0, found)
+    whole = F.regexp_extract(text, f"(?U){pattern}", 0)
+
+    def as_date(match: Column) -> Column:
+        # The three numbers are looked for in the short match only, not thrice in the text.
+        y, m, d = (F.regexp_extract(match, f"(?U){pattern.removesuffix(BEHIND)}", k) for k in (1, 2, 3))
+        if short:
+            y = F.concat(F.when(y.try_cast("int") < 50, "20").otherwise("19"), y)
+        found = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        return F.when(F.year(found) > 0, found)
+
+    return F.get(F.transform(F.filter(F.array(whole), lambda x: x != ""), as_date), F.lit(0))
 
 
 def date_in_name(path: Column) -> Column:
@@ -58,16 +66,21 @@ def date_in_text(text: Column) -> Column:
     return F.coalesce(*windows, first(text))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: no filter or join condition is moved below a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def dated(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Files (path, …) with issued_date and issued_source: the name first, then the text.
 
     Only files without a date in their name are joined to texts (path, text).
     """
-    df = files.withColumn("issued_date", date_in_name(F.col("path")))
+    df = _once(files, issued_date=date_in_name(F.col("path")))
     sure = df.filter("issued_date is not null").withColumn("issued_source", F.lit("filename"))
     open_ = df.filter("issued_date is null")
     if texts is None:
-        return sure.unionByName(open_.withColumn("issued_source", F.lit("unknown")))
+        return df.withColumn("issued_source", F.when(F.col("issued_date").isNotNull(), "filename").otherwise("unknown"))
     read = open_.drop("issued_date").join(texts.select("path", "text"), "path", "left").withColumn("issued_date", date_in_text(F.col("text"))).drop("text")
     return sure.unionByName(read.withColumn("issued_source", F.when(F.col("issued_date").isNotNull(), "text").otherwise("unknown")))
 
@@ -78,8 +91,11 @@ def _plain(text: Column) -> Column:
 
 def has_keyword(path: Column, hints: Column) -> Column:
     """Whether a name holds one of the hints, without regard to case, blanks, hyphens and underscores."""
-    name = _plain(stem(path))
-    return F.exists(hints, lambda h: (_plain(h) != "") & F.contains(name, _plain(h)))
+    return _holds(_plain(stem(path)), F.transform(hints, _plain))
+
+
+def _holds(name: Column, hints: Column) -> Column:
+    return F.exists(hints, lambda h: (h != "") & F.contains(name, h))
 
 
 def matches(required: DataFrame, files: DataFrame) -> DataFrame:
@@ -89,16 +105,22 @@ def matches(required: DataFrame, files: DataFrame) -> DataFrame:
     list of more than MOST_SHIPPED rows is not, and the engine picks its own way.
     """
     few = required.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
-    hits = files.join(F.broadcast(required) if few else required, has_keyword(F.col("path"), F.col("hints")))
+    named = _once(files, _name=_plain(stem(F.col("path"))))
+    asked = required.select("seq", F.transform("hints", _plain).alias("_hints"))
+    hits = named.join(F.broadcast(asked) if few else asked, _holds(F.col("_name"), F.col("_hints")))
     hits = hits.select("seq", "path", *(c for c in files.columns if c != "path"))
     return required.join(hits, "seq", "left")
 
 
 def best(found: DataFrame) -> DataFrame:
-    """One row a required document: the latest dated file, else the first by path."""
-    order = Window.partitionBy("seq").orderBy(F.col("issued_date").desc_nulls_last(), "path")
-    df = found.withColumn("_n", F.row_number().over(order)).withColumn("n_matches", F.count("path").over(Window.partitionBy("seq")))
-    return df.filter("_n = 1").drop("_n")
+    """One row a required document: the latest dated file, else the first by path.
+
+    An aggregation, so that the files of a document are reduced where they are read.
+    """
+    first = F.struct(F.col("issued_date").isNull(), -F.unix_date("issued_date"), "path")
+    rest = [c for c in found.columns if c != "seq"]
+    df = found.groupBy("seq").agg(F.min_by(F.struct(*rest), first).alias("_best"), F.count("path").alias("n_matches"))
+    return df.select("seq", *(F.col("_best")[c].alias(c) for c in rest), "n_matches")
 
 
 def status(df: DataFrame, today: Column) -> DataFrame:
@@ -119,8 +141,10 @@ def plan(df: DataFrame, template: Column | None = None) -> DataFrame:
     """(seq, number, source, target) of the files to hand in.
 
     Numbers run over all documents, so missing ones leave gaps; equal targets get _1, _2, … .
+    The list is one tender's: more than MOST_SHIPPED documents are an error, not one slow task.
     """
-    numbers = df.withColumn("number", F.row_number().over(Window.orderBy("seq")))  # a tender's list
+    rows = F.row_number().over(Window.orderBy("seq"))
+    numbers = df.withColumn("number", F.when(rows > MOST_SHIPPED, F.raise_error(F.lit("more documents than a tender lists")).cast("int")).otherwise(rows))
     ext = F.regexp_extract("path", r"(?<=[^/\\])(\.[^./\\]+)$", 1)
     name = template if template is not None else F.concat(F.format_string("%02d_", "number"), T.safe_file_name(F.col("name")), ext)
     there = numbers.filter("path is not null").withColumn("_target", T.safe_file_name(name))

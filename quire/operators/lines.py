@@ -32,16 +32,10 @@ RULES = (
     (9, rf"^{_B}*·{_B}*.+$"),
     (10, rf"^{_B}*[*※]{_B}*.+$"),
 )
-SYMBOLS = (
-    rf"^(#{{1,5}}){_B}+(.*)$",
-    rf"^{_B}*(\(\d+\)){_B}+(.*)$",
-    rf"^{_B}*([①-⑳]){_B}*(.*)$",
-    rf"^{_B}*(□){_B}*(.*)$",
-    rf"^{_B}*([❍○◯]){_B}*(.*)$",
-    rf"^{_B}*(-){_B}+(.*)$",
-    rf"^{_B}*(·){_B}*(.*)$",
-    rf"^{_B}*([*※]){_B}*(.*)$",
-)
+#: What stands before the text of a line, and the text.
+SYMBOL = rf"^(?:(?=#)|{_B}*(?!#))(#{{1,5}}(?={_B})|\(\d+\)(?={_B})|[①-⑳]|□|[❍○◯]|-(?={_B})|·|[*※]){_B}*(.*)$"
+#: Signs with which a line that any rule may fit begins, behind blanks or (the first) at once.
+MARKS = "#(①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳□❍○◯-·*※"
 TITLE_PATTERN = rf"^#{_B}+(?![{_ROMAN}]).+$"
 SKIPPED = (rf"^{_B}*$", "^---+$", "^```", rf"^{_B}*>{_B}")
 SENTENCE_ENDINGS = ("임", "음", "함", "됨", ".", "다", "요")
@@ -70,20 +64,23 @@ def skipped(raw: Column) -> Column:
 
 
 def level_of(raw: Column) -> Column:
-    """The level of the first rule that fits, else body."""
-    out = F
+    """The level of the first rule that fits, else body.  Rules are tried on lines with their mark only."""
+    mark = F.regexp_extract(raw, rf"(?U)^{_B}*(.)", 1)
+    hashes = marked = F
     for level, pattern in RULES:
-        out = out.when(_has(raw, pattern), level)
-    return out.otherwise(BODY)
+        if pattern.startswith("^#"):
+            hashes = hashes.when(_has(raw, pattern), level)
+        else:
+            marked = marked.when(_has(raw, pattern), level)
+    by_mark = F.when(F.startswith(raw, F.lit("#")), hashes.otherwise(BODY)).when(mark.isin(*MARKS[1:]), marked.otherwise(BODY))
+    return by_mark.otherwise(BODY)
 
 
 def parts_of(raw: Column, level: Column) -> Column:
     """struct(symbol, text): what stands before the text of a line with a level, and the stripped text."""
-    out = F.when(level == BODY, F.struct(F.lit("").alias("symbol"), T.strip(raw).alias("text")))
-    for pattern in SYMBOLS:
-        pattern = f"(?U){pattern}"
-        out = out.when(raw.rlike(pattern), F.struct(F.regexp_extract(raw, pattern, 1).alias("symbol"), T.strip(F.regexp_extract(raw, pattern, 2)).alias("text")))
-    return out.otherwise(F.struct(F.lit("").alias("symbol"), T.strip(raw).alias("text")))
+    symbol, text = (F.regexp_extract(raw, f"(?U){SYMBOL}", k) for k in (1, 2))
+    none = F.struct(F.lit("").alias("symbol"), T.strip(raw).alias("text"))
+    return F.when(level == BODY, none).when(symbol != "", F.struct(symbol.alias("symbol"), T.strip(text).alias("text"))).otherwise(none)
 
 
 def title_candidate(text: Column) -> Column:

@@ -78,18 +78,19 @@ def call_cap(spark, sf_dir):
 
 def _decided(blocks):
     """Made-up decisions for some lines, two for every tenth."""
-    some = blocks.filter("line_no % 5 = 0").select("doc_id", "line_no", F.lit(0).alias("at"), ((F.col("level") + F.col("line_no")) % 12 - 1).cast("int").alias("decided"))
-    again = blocks.filter("line_no % 10 = 0").select("doc_id", "line_no", F.lit(1).alias("at"), F.col("level").alias("decided"))
-    return resolve.last_decision(some.unionByName(again))
+    first = F.struct(F.lit(0).alias("at"), ((F.col("level") + F.col("line_no")) % 12 - 1).cast("int").alias("decided"))
+    again = F.struct(F.lit(1).alias("at"), F.col("level").alias("decided"))
+    made = F.when(F.col("line_no") % 10 == 0, F.array(first, again)).otherwise(F.array(first))
+    return resolve.last_decision(blocks.filter("line_no % 5 = 0").select("doc_id", "line_no", F.inline(made)))
 
 
 def decision_merge(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
+    blocks = _blocks(spark, sf_dir).persist()  # read for the decisions and for the merge
     return resolve.outcomes(resolve.merge(blocks, _decided(blocks)), most=40)
 
 
 def merged_levels(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir)
+    blocks = _blocks(spark, sf_dir).persist()
     return resolve.merge(blocks, _decided(blocks)).groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "changed").alias("changed"))
 
 
