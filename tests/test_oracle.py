@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import lines
-from quire.plans import manuscript, oracle, queries
+from quire.plans import further, manuscript, oracle, queries
+
+QUERIES, SQL = queries.QUERIES | further.QUERIES, oracle.SQL | further.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -24,12 +26,12 @@ def plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, small, con, name):
-    df = queries.QUERIES[name](spark, small)
+    df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
     got = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
-    res = con.execute(oracle.SQL[name])
+    res = con.execute(SQL[name])
     names = [c[0] for c in res.description]
     assert sorted(names) == columns
     want = sorted(([plain(r[names.index(c)]) for c in columns] for r in res.fetchall()), key=repr)
@@ -37,7 +39,7 @@ def test_query_equals_sql(spark, small, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(oracle.SQL) == set(queries.QUERIES)
+    assert set(SQL) == set(QUERIES)
 
 
 def test_the_manuscript_reaches_all_branches(spark, small):
