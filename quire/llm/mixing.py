@@ -119,14 +119,13 @@ def round_copies(rates: Sequence[float], sizes: Sequence[int], carry: float = 0.
     return copies, carry
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams buckets; nothing of one but its error so far is held."""
+@F.arrow_udf(T.LongType())
+def _dealt(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Copies of rows that stream by bucket; nothing of a bucket but its error so far is held."""
     bucket, carry = None, 0.0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = list(zip(batch.column("source").to_pylist(), batch.column("_bucket").to_pylist(), strict=True))
-        rates, sizes = batch.column("rate").to_pylist(), batch.column("size").to_pylist()
+    for source, number, rate, size in columns:
+        own = list(zip(source.to_pylist(), number.to_pylist(), strict=True))
+        rates, sizes = rate.to_pylist(), size.to_pylist()
         copies: list[int] = []
         at = 0
         while at < len(own):
@@ -136,7 +135,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made, carry = round_copies(rates[at:end], sizes[at:end], carry if own[at] == bucket else 0.0)
             copies += made
             bucket, at = own[at], end
-        yield batch.drop_columns(["rate", "_bucket", "_tie"]).append_column("copies", pa.array(copies, pa.int64()))
+        yield pa.array(copies, pa.int64())
 
 
 def mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -159,9 +158,11 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, cap: fl
     rate = F.when(F.col("size") > 0, F.least(F.lit(cap), F.exp(F.col("tilt") * F.col("size") / mean))).otherwise(F.lit(1.0))
     bucket = F.pmod(F.xxhash64("doc_id", "_tie"), F.ceil(F.col("n_docs") / BUCKET_DOCS))
     rows = rows.withColumns({"rate": rate, "_bucket": bucket}).drop("n_docs", "tilt")
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name not in ("rate", "_bucket", "_tie")), T.StructField("copies", T.LongType())])
     order = ["source", "_bucket", F.col("size").desc(), "doc_id", "_tie"]
-    return rows.repartition("source", "_bucket").sortWithinPartitions(*order).mapInArrow(_dealt, schema)
+    rows = rows.repartition("source", "_bucket").sortWithinPartitions(*order)
+    # Only what is dealt goes to Python; it goes in this order, so the function must not be moved.
+    copies = _dealt.asNondeterministic()("source", "_bucket", "rate", "size")
+    return rows.withColumn("copies", copies).drop("rate", "_bucket", "_tie")
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: float = CAP) -> DataFrame:
