@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step takes at most (a longer text is a step of its own).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 SEP = np.zeros(256, bool)
 SEP[[32, 9, 10, 11, 12, 13]] = True
