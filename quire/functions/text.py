@@ -116,7 +116,7 @@ def escape_html(text: Column) -> Column:
 
 
 def mask_email(text: Column) -> Column:
-    """Addresses keep the first letter of the user and the domain."""
+    """Addresses keep the first letter of the user and the domain (the pattern is a fixed value)."""
     return F.regexp_replace(text, r"([A-Za-z0-9._+-])[A-Za-z0-9._+-]*@([A-Za-z0-9.-]+)", "$1***@$2")
 
 

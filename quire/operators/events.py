@@ -53,6 +53,21 @@ def ordered(report: DataFrame) -> DataFrame:
     return report.orderBy(F.col("channel").isNull(), F.col("revenue_krw").desc(), "channel")
 
 
+def _slot_event(name: str, channel: Column, ts: Column, partner: Column | str, slot: Column | str) -> Column:
+    word = lambda c: F.coalesce((F.lit(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+    return F.struct(ts.alias("ts"), F.lit(name).alias("event"), channel.alias("channel"), word(partner).alias("partner_id"), word(slot).alias("ad_slot"))
+
+
+def impression(channel: Column, ts: Column, partner: Column | str = "", slot: Column | str = "") -> Column:
+    """An impression for the log."""
+    return _slot_event(IMPRESSION, channel, ts, partner, slot)
+
+
+def click(channel: Column, ts: Column, partner: Column | str = "", slot: Column | str = "") -> Column:
+    """A click for the log."""
+    return _slot_event(CLICK, channel, ts, partner, slot)
+
+
 def load_failure(channel: Column, reason: Column, ts: Column, most: int = 120) -> Column:
     """A failure event for the log; the reason is cut."""
     return F.struct(ts.alias("ts"), F.lit(FAILED).alias("event"), channel.alias("channel"), F.substring(reason, 1, most).alias("reason"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text as T
 
+# Fixed value: how a form's header begins.
 HEADER = r"(?U)^\s*\[\s*서식\s*(\d+)\s*\]"
 
 # Label patterns with the field type and unit they suggest, in order.

@@ -62,6 +62,7 @@ def resolve(asked: DataFrame, resolver: Callable[[DataFrame], DataFrame]) -> Dat
     return resolver(asked.filter(F.col("prompt").isNotNull()))
 
 
+# Fixed value: the fence that a response may stand in.
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```$", re.IGNORECASE | re.MULTILINE)
 
 
@@ -129,9 +130,24 @@ def parse_response(text: pd.Series) -> pd.Series:
     return text.map(recover)
 
 
+def parsed_responses(responses: DataFrame) -> DataFrame:
+    """(doc_id, parsed) of responses (doc_id, response): sound JSON is read in place, the rest recovered.
+
+    Sound is one plain array, all of whose objects have a line and a level within bounds.
+    """
+    text = F.trim("response")
+    native = F.from_json(text, "array<struct<line_no:long,level:int,reason:string>>")
+    whole = lambda d: d["line_no"].isNotNull() & d["level"].between(-1, 10) & d["reason"].isNotNull()
+    df = responses.select("doc_id", "response", F.inline(F.array(F.struct(native.alias("parsed"), (F.regexp_count(text, F.lit(r"[\[\]]")) == 2).alias("_plain")))))
+    sound = F.coalesce(F.col("_plain") & text.startswith("[") & text.endswith("]") & F.forall("parsed", whole), F.lit(False))
+    easy = df.filter(sound).select("doc_id", "parsed")
+    hard = df.filter(~sound).select("doc_id", parse_response("response").alias("parsed"))
+    return easy.unionByName(hard.select("doc_id", F.col("parsed").cast("array<struct<line_no:long,level:int,reason:string>>").alias("parsed")))
+
+
 def decisions(responses: DataFrame) -> DataFrame:
     """(doc_id, line_no, decided, reason): of several for a line the last."""
-    parsed = responses.select("doc_id", F.posexplode(parse_response("response")).alias("at", "d"))
+    parsed = parsed_responses(responses).select("doc_id", F.posexplode("parsed").alias("at", "d"))
     return last_decision(parsed.select("doc_id", "at", "d.line_no", F.col("d.level").alias("decided"), "d.reason"))
 
 
@@ -161,6 +177,21 @@ def outcomes(merged: DataFrame, most: int = MOST_PER_CALL) -> DataFrame:
     return df.groupBy("doc_id").agg(F.count("*").alias("total_ambiguous"), count("changed"), count("confirmed"), count("no_decision"), F.count_if("over").alias("over_cap"))
 
 
+def with_failures(counted: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """Outcome counts with failed_parse: the lines that were sent, of documents (doc_id) whose
+    response held no decision; these lines count as nothing else."""
+    gone = unreadable.select("doc_id").distinct().withColumn("_failed", F.lit(True))
+    df = counted.join(gone, "doc_id", "left")
+    failed = F.coalesce("_failed", F.lit(False))
+    df = df.withColumn("failed_parse", F.when(failed, F.col("total_ambiguous") - F.col("over_cap")).otherwise(F.lit(0)))
+    return df.withColumn("no_decision", F.when(failed, F.lit(0)).otherwise(F.col("no_decision"))).drop("_failed")
+
+
+def unreadable(responses: DataFrame) -> DataFrame:
+    """(doc_id) of responses without any decision."""
+    return parsed_responses(responses).filter(F.size("parsed") < 1).select("doc_id")
+
+
 def priced(calls: DataFrame, prices: Mapping[str, tuple[float, float]] | None = None, default: str = "gemini-2.5-flash") -> DataFrame:
     """Adds price_in and price_out by model; an unknown model costs what `default` does."""
     table = dict(prices or PRICES)

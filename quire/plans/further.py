@@ -166,6 +166,20 @@ def content_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", releases.digest(F.col("text")).alias("sha256"))
 
 
+def failed_parses(spark, sf_dir):
+    blocks = queries._blocks(spark, sf_dir).persist()
+    counted = resolve.outcomes(resolve.merge(blocks, queries._decided(blocks).filter("doc_id % 5 <> 2")), most=40)
+    answer = F.when(F.col("doc_id") % 5 == 2, _pick(("no array", "", "[]"), F.col("doc_id") % 3)).otherwise('[{"line_no": 0, "level": 1, "reason": "r"}]')
+    return resolve.with_failures(counted, resolve.unreadable(blocks.select("doc_id").distinct().select("doc_id", answer.alias("response"))))
+
+
+def log_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    channel, slot = _pick(("coupang", "adsense"), F.col("event_id") % 2), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string"))
+    rows = e.select("event_id", events.impression(channel, F.col("event_id") / 2, slot=slot).alias("i"), events.click(channel, F.col("event_id") / 2, partner=slot).alias("c"))
+    return rows.select("event_id", F.inline(F.array("i", "c")))
+
+
 def dry_run_levels(spark, sf_dir):
     blocks = queries._blocks(spark, sf_dir).persist()
     merged = resolve.merge(blocks, queries._decided(blocks), dry_run=True)
@@ -217,6 +231,11 @@ select k as p_partkey, case when fits then patch else coalesce(whole, patch) end
 select doc_id, md5(replace(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(9), '&nbsp;&nbsp;&nbsp;&nbsp;')) as escaped from t""",
     "notices": "select doc_id, lang || ': ' || n_chars || ' characters from ' || case when doc_id % 3 <> 0 then source else '' end as notice, doc_id % 5 in (2, 4) as generated from documents",
     "content_digests": "select doc_id, sha256(text) as sha256 from documents",
+    "failed_parses": f"""with {oracle.BLOCKS}, d as (select *, case when doc_id % 5 = 2 then null when line_no % 10 = 0 then level when line_no % 5 = 0 then (level + line_no) % 12 - 1 end as decided, row_number() over (partition by doc_id order by line_no) > 40 as over from blocks where ambiguous)
+select doc_id, count(*) as total_ambiguous, count(*) filter (decided <> level and not over) as changed, count(*) filter (decided = level and not over) as confirmed,
+  case when doc_id % 5 = 2 then 0 else count(*) filter (decided is null and not over) end as no_decision, count(*) filter (over) as over_cap, case when doc_id % 5 = 2 then count(*) filter (not over) else 0 end as failed_parse from d group by doc_id""",
+    "log_events": """with e as (select event_id, event_id / 2 as ts, (['coupang', 'adsense'])[event_id % 2 + 1] as channel, case when event_id % 3 <> 0 then user_id::varchar else '' end as s from events)
+select event_id, ts, 'ad_impression' as event, channel, '' as partner_id, s as ad_slot from e union all select event_id, ts, 'ad_click', channel, s, '' from e""",
     "dry_run_levels": f"""with {oracle.BLOCKS}, d as (select *, case when line_no % 10 = 0 then level when line_no % 5 = 0 then (level + line_no) % 12 - 1 end as decided from blocks)
 select level, count(*) as n, count(*) filter (ambiguous and decided <> level) as changed from d group by level""",
     "round_trip_types": f"""with {oracle.manuscript.SQL}, l as (select ((r + line_no) % 14 - 2)::int as level, count(*) as n from raw_lines group by 1), t as (select *, case level when -1 then 'H1' when 0 then 'body' when 1 then 'H1' when 2 then 'H2' when 3 then 'H3' when 4 then 'H4' when 5 then 'H5' when 6 then 'L1' when 7 then 'L2' when 8 then 'L3' when 9 then 'L4' when 10 then 'note' else 'body' end as type from l)

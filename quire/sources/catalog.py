@@ -44,11 +44,15 @@ class Catalog:
         rows = self.rows()
         if rows.filter((F.col("id") == id) | (F.col("name") == name)).limit(1).count():
             raise ValueError(f"id {id!r} or name {name!r} is there already")
-        taken = {r["file"] for r in rows.filter(F.col("file").startswith(file.rpartition(".")[0] or file)).select("file").collect()}
         base, dot, ext = file.rpartition(".")
-        base, n, unique = base or ext, 1, file
-        while unique in taken:
-            unique, n = f"{base}_{n}{dot}{ext if dot else ''}", n + 1
+        base, tail, unique = base or ext, dot + (ext if dot else ""), file
+        if rows.filter(F.col("file") == file).limit(1).count():
+            # The least free number: one behind a taken one, or 1; only that comes back.
+            number = F.substr("file", F.lit(len(base) + 2), F.length("file") - len(base) - 1 - len(tail))
+            named = F.col("file").startswith(f"{base}_") & F.col("file").endswith(tail) & number.rlike("^[1-9][0-9]{0,17}$")
+            taken = rows.filter(named).select(number.cast("long").alias("n"))
+            free = taken.select((F.col("n") + 1).alias("n")).unionByName(self.spark.range(1, 2).select(F.col("id").alias("n"))).join(taken, "n", "left_anti")
+            unique = f"{base}_{free.agg(F.min('n')).first()[0]}{tail}"
         first = not rows.limit(1).count()
         new = self.spark.createDataFrame([(id, name, unique, default or first)], "id string, name string, file string, is_default boolean").withColumn("added_at", F.lit(added_at).cast("date"))
         if default:

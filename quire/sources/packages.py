@@ -29,8 +29,8 @@ SPACES = {
     "hh": "http://www.hancom.co.kr/hwpml/2011/head",
     "hc": "http://www.hancom.co.kr/hwpml/2011/core",
 }
-#: Bytes of a part that is read at most; a larger one is an error of its own, not a crash.
-MOST_PART = 512 << 20
+#: Bytes of a part that a row can hold (Arrow's 32-bit offsets); see `failed` for larger ones.
+MOST_PART = (1 << 31) - 1
 
 PARTS = "path string, part string, data binary, error string"
 
@@ -75,6 +75,11 @@ def parts(spark: SparkSession, folder: str, wanted: str = ".*", pattern: str = "
     return files.select("path", "content").mapInArrow(unzip, PARTS)
 
 
+def failed(df: DataFrame) -> DataFrame:
+    """(path, part, error): packages and parts that could not be read."""
+    return df.filter("error is not null").select("path", "part", "error")
+
+
 def as_xml(df: DataFrame) -> DataFrame:
     """Parts with their data as text in `xml`."""
     return df.filter("data is not null").withColumn("xml", F.decode("data", "UTF-8")).drop("data")
@@ -216,13 +221,21 @@ def thumbnails(df: DataFrame) -> DataFrame:
     return df.filter(F.lower("part").rlike(r"^preview/prvimage\.(png|jpg|gif)$")).select("path", F.col("data").alias("image"))
 
 
+# What is replaced in a part's XML, one after the other.
+PREFIXES = ((r"<ns\d+:", "<"), (r"</ns\d+:", "</"), (r"\bns\d+:", ""), (r'\s+xmlns:ns\d+="[^"]*"', ""))
+ENTITIES = ("amp", "lt", "gt", "quot", "apos")
+FLOWING = (('treatAsChar="1"', 'treatAsChar="0"'), ('horzRelTo="COLUMN"', 'horzRelTo="PARA"'), (r'vertsize="\d{5,}"', 'vertsize="1200"'))
+
+
 def repair(xml: Column, tables: bool = False) -> Column:
     """XML as the reader expects it: a declaration, no numbered prefixes, entities escaped once;
     for tables also the attributes that let them break across pages."""
-    for pattern, to in ((r"<ns\d+:", "<"), (r"</ns\d+:", "</"), (r"\bns\d+:", ""), (r'\s+xmlns:ns\d+="[^"]*"', ""), ("&amp;(amp|lt|gt|quot|apos);", "&$1;")):
+    for pattern, to in PREFIXES:
         xml = F.regexp_replace(xml, pattern, to)
+    for name in ENTITIES:
+        xml = F.replace(xml, F.lit(f"&amp;{name};"), F.lit(f"&{name};"))
     if tables:
-        for pattern, to in (('treatAsChar="1"', 'treatAsChar="0"'), ('horzRelTo="COLUMN"', 'horzRelTo="PARA"'), (r'vertsize="\d{5,}"', 'vertsize="1200"')):
+        for pattern, to in FLOWING:
             xml = F.regexp_replace(xml, pattern, to)
     return F.when(X.strip(xml).startswith("<?xml"), xml).otherwise(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), xml))
 
@@ -316,15 +329,62 @@ def write(df: DataFrame, folder: str) -> DataFrame:
     return df.filter("data is not null").groupBy("path").applyInPandas(run, "path string, file string, n_parts int")
 
 
-def section_xml(paragraphs_: DataFrame) -> DataFrame:
-    """(path, part, data): a section from paragraphs (path, seq, type, text, para, char, style)."""
+def table_paragraphs(cells_: DataFrame) -> DataFrame:
+    """(path, seq, p): paragraphs with a table each, from (path, seq, row, col, text, width, height).
+
+    The first row tells how many columns there are; longer rows are cut, shorter ones filled.
+    Width and height are the table's, in package units, or null.
+    """
+    wide = cells_.groupBy("path", "seq").agg(F.max(F.when(F.col("row") == 0, F.col("col"))).alias("_last"), F.max("row").alias("_rows"), F.max("width").alias("_width"), F.max("height").alias("_height"))
+    rows = cells_.groupBy("path", "seq", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))).alias("_texts"))
+    rows = rows.join(wide, ["path", "seq"]).filter("_last is not null")
+    text = lambda c: X.escape_html(F.coalesce(F.try_element_at("_texts", c), F.lit("")))
+    cell = lambda c: F.concat(F.lit("<hp:tc><hp:subList><hp:p><hp:run><hp:t>"), F.replace(text(c), F.lit("&nbsp;"), F.lit(" ")), F.lit('</hp:t></hp:run></hp:p></hp:subList><hp:cellAddr colAddr="'), c, F.lit('" rowAddr="'), F.col("row"), F.lit('"/><hp:cellSpan colSpan="1" rowSpan="1"/></hp:tc>'))
+    tr = F.concat(F.lit("<hp:tr>"), F.array_join(F.transform(F.sequence(F.lit(0), F.col("_last")), cell), ""), F.lit("</hp:tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", tr.alias("tr")))), lambda r: r["tr"]), "")
+    size = F.when(F.first("_width").isNotNull() | F.first("_height").isNotNull(), F.concat(F.lit('<hp:sz width="'), F.coalesce(F.first("_width"), F.lit(0)), F.lit('" height="'), F.coalesce(F.first("_height"), F.lit(0)), F.lit('"/>'))).otherwise("")
+    p = F.concat(F.lit('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0"><hp:tbl treatAsChar="0" rowCnt="'), F.first("_rows") + 1, F.lit('" colCnt="'), F.first("_last") + 1, F.lit('">'), size, body, F.lit("</hp:tbl></hp:run></hp:p>"))
+    return rows.groupBy("path", "seq").agg(p.alias("p"))
+
+
+def with_front(paragraphs_: DataFrame, cover: DataFrame) -> DataFrame:
+    """Paragraphs led by those of a cover (the same columns) and a list of the headings H1 to H3."""
+    before = F.lit(1 << 40)
+    front = cover.withColumn("seq", F.col("seq") - 2 * before)
+    listed = paragraphs_.filter(F.col("type").isin("H1", "H2", "H3")).withColumn("seq", F.col("seq") - before).withColumn("type", F.lit("contents"))
+    return front.unionByName(listed).unionByName(paragraphs_)
+
+
+def added(paragraphs_: DataFrame, tables: DataFrame, cells_: DataFrame) -> DataFrame:
+    """(path, paragraphs_added, tables_added, errors): `tables` (path, seq) without a first row are errors."""
+    first = cells_.filter("row = 0").select("path", "seq").distinct().withColumn("_fine", F.lit(True))
+    asked = tables.select("path", "seq").join(first, ["path", "seq"], "left")
+    error = F.when(F.col("_fine").isNull(), F.concat(F.lit("table at "), F.col("seq"), F.lit(" has no rows")))
+    asked = asked.groupBy("path").agg(F.count("_fine").alias("tables_added"), F.array_sort(F.collect_list(error)).alias("errors"))
+    own = paragraphs_.groupBy("path").agg(F.count("*").alias("paragraphs_added"))
+    none = F.array().cast("array<string>")
+    return own.join(asked, "path", "full").select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("paragraphs_added", "tables_added")), F.coalesce("errors", none).alias("errors"))
+
+
+def section_xml(paragraphs_: DataFrame, tables: DataFrame | None = None, properties: DataFrame | None = None) -> DataFrame:
+    """(path, part, data): a section from paragraphs (path, seq, type, text, para, char, style).
+
+    `tables` are cells as `table_paragraphs` takes them; `properties` (path, xml) are a template's
+    section properties, which stay before everything else.
+    """
     text = X.escape_html(F.col("text"))
     ref = lambda name, c: F.concat(F.lit(f' {name}="'), F.coalesce(F.col(c).cast("string"), F.lit("0")), F.lit('"'))
     p = F.concat(F.lit("<hp:p"), ref("paraPrIDRef", "para"), ref("styleIDRef", "style"), F.lit("><hp:run"), ref("charPrIDRef", "char"), F.lit("><hp:t>"), F.replace(text, F.lit("&nbsp;"), F.lit(" ")), F.lit("</hp:t></hp:run></hp:p>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", p.alias("p")))), lambda r: r["p"]), "")
+    rows = paragraphs_.select("path", F.col("seq").cast("long").alias("seq"), p.alias("p"))
+    if tables is not None:
+        rows = rows.unionByName(table_paragraphs(tables).withColumn("seq", F.col("seq").cast("long")))
+    if properties is not None:
+        kept = F.concat(F.lit('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), "xml", F.lit("</hp:run></hp:p>"))
+        rows = rows.unionByName(properties.select("path", F.lit(-1 << 62).alias("seq"), kept.alias("p")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda r: r["p"]), "")
     head = f'<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="{SPACES["hs"]}" xmlns:hp="{SPACES["hp"]}">'
     xml = F.concat(F.lit(head), body, F.lit("</hs:sec>"))
-    return paragraphs_.groupBy("path").agg(F.encode(xml, "UTF-8").alias("data")).select("path", F.lit("Contents/section0.xml").alias("part"), "data")
+    return rows.groupBy("path").agg(F.encode(xml, "UTF-8").alias("data")).select("path", F.lit("Contents/section0.xml").alias("part"), "data")
 
 
 def render_html(found: DataFrame, cells_: DataFrame, most: int = 500_000) -> DataFrame:

@@ -29,8 +29,8 @@ def _inflated(data: bytes, bits: int, most: int) -> bytes | None:
         return None
 
 
-def inflate(data: bytes, most: int = 256 << 20) -> bytes:
-    """Raw deflate or a zlib stream if it is that, else the data itself."""
+def inflate(data: bytes, most: int = 0) -> bytes:
+    """Raw deflate or a zlib stream if it is that, whole (`most` bytes, if given), else the data itself."""
     for bits in (-15, 15):
         found = _inflated(data, bits, most)
         if found is not None:

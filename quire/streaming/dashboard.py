@@ -15,9 +15,19 @@ def stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def start(spark: SparkSession, folder: str, since: Column, table: str, checkpoint: str):
-    """Starts the query over what is there now; its final state equals the batch dashboard's."""
+    """Starts the query over what is there now; its final state equals the batch dashboard's.
+
+    Each batch is written to a folder of its own beside the checkpoint, and the view `table` then
+    shows that; nothing is held on the driver.
+    """
     rows = events.by_channel(stream(spark, folder), since)
-    return rows.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def show(batch: DataFrame, number: int) -> None:
+        folder_ = f"{checkpoint.rstrip('/')}-{table}/batch-{number}"
+        batch.write.mode("overwrite").parquet(folder_)
+        spark.read.parquet(folder_).createOrReplaceTempView(table)
+
+    return rows.writeStream.outputMode("complete").foreachBatch(show).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(rows: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:

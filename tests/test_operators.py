@@ -292,3 +292,27 @@ def test_form_segments_returns_every_segmented_paragraph(spark, small):
         at = places.setdefault((r.doc_id, r.segment), [])
         assert r.form_table_ordinal == (len(at) if r.is_table else None)
         at += [1] * r.is_table
+
+
+def test_responses_read_in_place_equal_recovered_ones(spark):
+    texts = [
+        '[{"line_no": 1, "level": 2, "reason": "r"}, {"line_no": 4, "level": -1, "reason": ""}]', ' [{"line_no": 1, "level": 2, "reason": "r"}]\n', '[{"line_no": 1, "level": 2}]', '[{"line_no": 1, "level": 99, "reason": "r"}]',
+        '[{"line_no": "7", "level": 7.9, "reason": "r"}]', '[{"line_no": 1, "level": 2, "reason": "a [x] b"}]', '[{"line_no": 1, "level": 2, "reason": "r"}] [{"line_no": 2, "level": 2, "reason": "r"}]',
+        '[{"line_no": 1, "level": 2, "reason": "r"}, {"li', '[]', '{"items": [{"line_no": 1, "level": 3, "reason": "x"}]}', None, "", '[{"line_no": 1, "level": 2, "reason": 5}]', '[{"line_no": 1, "level": 2, "reason": "r"},]',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, response string")
+    got = {r.doc_id: [(d.line_no, d.level, d.reason) for d in r.parsed] for r in resolve.parsed_responses(df).collect()}
+    assert got == {i: [(d["line_no"], d["level"], d["reason"]) for d in resolve.recover(t)] for i, t in enumerate(texts)}
+    assert sorted(r.doc_id for r in resolve.unreadable(df).collect()) == [i for i, t in enumerate(texts) if not resolve.recover(t)]
+
+
+def test_unreadable_responses_are_counted(spark):
+    counted = spark.createDataFrame([(1, 5, 1, 1, 2, 1), (2, 4, 0, 0, 3, 1)], "doc_id int, total_ambiguous long, changed long, confirmed long, no_decision long, over_cap long")
+    got = sorted(map(tuple, resolve.with_failures(counted, spark.createDataFrame([(2,), (9,)], "doc_id int")).collect()))
+    assert got == [(1, 5, 1, 1, 2, 1, 0), (2, 4, 0, 0, 0, 1, 3)]
+
+
+def test_events_for_the_log(spark):
+    row = spark.range(1).select(events.impression(F.lit("adsense"), F.lit(1.5), slot="top").alias("i"), events.click(F.lit("coupang"), F.lit(2.0), partner=F.lit("p9")).alias("c"), events.load_failure(F.lit("x"), F.lit("r" * 300), F.lit(3.0)).alias("f")).first()
+    assert tuple(row.i) == (1.5, "ad_impression", "adsense", "", "top") and tuple(row.c) == (2.0, "ad_click", "coupang", "p9", "")
+    assert len(row.f.reason) == 120

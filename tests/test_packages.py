@@ -177,3 +177,77 @@ def test_windowed_counts(spark):
     assert sorted((r.window.start.hour, r.event, r.n) for r in dashboard.windowed(df).collect()) == [(0, "a", 2), (1, "?", 1)]
 
 
+
+
+CELLS = "path string, seq int, row int, col int, text string, width long, height long"
+
+
+def test_tables_between_paragraphs(spark, tmp_path):
+    paras = spark.createDataFrame([("a", 0, "H1", "above", "1", "2", "3"), ("a", 2, "body", "below <&>", None, None, None)], "path string, seq int, type string, text string, para string, char string, style string")
+    cells = [("a", 1, r, c, t, 5000, None) for r, row in enumerate((["item", "state"], ["licence", "OK", "too long"], ["sheet"])) for c, t in enumerate(row)]
+    cells = spark.createDataFrame(cells, CELLS)
+    properties = spark.createDataFrame([("a", "<hp:secPr id='0'/>")], "path string, xml string")
+    section = packages.section_xml(paras, cells, properties)
+    data = bytes(section.first().data)
+    assert data.index(b"secPr") < data.index(b"above") < data.index(b"<hp:tbl") < data.index(b"below")
+    parts = section.withColumn("error", F.lit(None).cast("string"))
+    back = sorted((r.para_index, r.row, r.col, r.text) for r in packages.cells(parts).collect())
+    assert back == [(2, 0, 0, "item"), (2, 0, 1, "state"), (2, 1, 0, "licence"), (2, 1, 1, "OK"), (2, 2, 0, "sheet"), (2, 2, 1, "")]
+    assert [r.text for r in packages.paragraphs(parts).orderBy("para_index").collect()] == ["", "above", "", "below <&>"]
+    packages.write(parts, f"file://{tmp_path}/out").collect()
+
+
+def test_a_table_without_rows_is_an_error_of_its_own(spark):
+    paras = spark.createDataFrame([("a", 0), ("b", 0)], "path string, seq int")
+    tables = spark.createDataFrame([("a", 1), ("a", 2)], "path string, seq int")
+    cells = spark.createDataFrame([("a", 1, 0, 0, "x", None, None), ("a", 2, 3, 0, "no first row", None, None)], CELLS)
+    got = {r.path: (r.paragraphs_added, r.tables_added, r.errors) for r in packages.added(paras, tables, cells).collect()}
+    assert got == {"a": (1, 1, ["table at 2 has no rows"]), "b": (1, 0, [])}
+    assert packages.table_paragraphs(cells).count() == 1
+
+
+def test_cover_and_contents_lead(spark):
+    columns = "path string, seq long, type string, text string"
+    paras = spark.createDataFrame([("a", 0, "H1", "one"), ("a", 1, "body", "x"), ("a", 2, "H3", "two")], columns)
+    got = packages.with_front(paras, spark.createDataFrame([("a", 0, "cover", "title")], columns)).orderBy("seq").collect()
+    assert [(r.type, r.text) for r in got] == [("cover", "title"), ("contents", "one"), ("contents", "two"), ("H1", "one"), ("body", "x"), ("H3", "two")]
+
+
+def test_entities_are_replaced_one_after_the_other(spark):
+    df = spark.createDataFrame([("<?xml?>&amp;amp;lt; &amp;lt; &amp; &amp;quot;",)], "x string")
+    assert df.select(packages.repair(F.col("x"))).first()[0] == "<?xml?>&lt; &lt; &amp; &quot;"
+
+
+def test_streams_are_inflated_whole():
+    data = bytes(257 << 20)
+    assert len(records.inflate(zlib.compress(data, 1))) == len(data)
+
+
+def test_files_are_routed_by_extension(spark, tmp_path):
+    import zipfile
+
+    from quire.sources import router
+
+    (tmp_path / "a.txt").write_text("plain")
+    (tmp_path / "B.TXT").write_text("loud")
+    (tmp_path / "e.md").write_text(" ")
+    (tmp_path / "c.exe").write_bytes(b"MZ")
+    (tmp_path / "d.hwpx").write_bytes(b"not a zip")
+    (tmp_path / "p.pdf").write_bytes(b"%PDF")
+    (tmp_path / "q.pdf").write_bytes(b"%PDF")
+    with zipfile.ZipFile(tmp_path / "g.hwpx", "w") as z:
+        z.writestr("Contents/section0.xml", f'<hs:sec xmlns:hs="{packages.SPACES["hs"]}" xmlns:hp="{packages.SPACES["hp"]}"><hp:p><hp:run><hp:t>inside</hp:t></hp:run></hp:p></hs:sec>')
+    converted = packages.listing(spark, str(tmp_path), pattern="p.pdf").select("path", F.lit("from pdf").alias("text"))
+    got = {r.path.rpartition("/")[2]: (r.text, r.error) for r in router.documents(spark, str(tmp_path), converted).collect()}
+    assert got["a.txt"] == ("plain", None) and got["B.TXT"] == ("loud", None) and got["g.hwpx"] == ("inside", None) and got["p.pdf"] == ("from pdf", None)
+    assert got["e.md"][1] == "no text" and got["q.pdf"][1] == "no text" and got["c.exe"][1] == "cannot read files of kind: exe" and "zip" in got["d.hwpx"][1]
+
+
+def test_catalog_takes_the_least_free_number(spark, tmp_path):
+    from quire.sources.catalog import Catalog
+
+    catalog = Catalog(spark, str(tmp_path / "cat"))
+    names = [catalog.add(str(k), f"n{k}", "form.hwpx", "2024-01-01") for k in range(3)]
+    assert names == ["form.hwpx", "form_1.hwpx", "form_2.hwpx"]
+    catalog.remove("1")
+    assert catalog.add("9", "n9", "form.hwpx", "2024-01-01") == "form_1.hwpx"
