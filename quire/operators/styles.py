@@ -91,3 +91,28 @@ def rewrite_ids(content: DataFrame, ids: DataFrame) -> DataFrame:
     """Content (group, id, …) with its ids replaced where there is a new one."""
     df = content.join(ids.withColumnRenamed("old_id", "id"), ["group", "id"], "left")
     return df.withColumn("id", F.coalesce("new_id", "id")).drop("new_id").select(*content.columns)
+
+
+def font_ids(own: DataFrame, other: DataFrame) -> DataFrame:
+    """(group, old_id, new_id) of fonts (group, id, name): one of `own` with the same name is taken,
+    a new name gets one id behind the largest, in the order in which its first font stands."""
+    mine = own.groupBy("group", "name").agg(F.max("id").alias("_same"))
+    top = own.groupBy("group").agg(F.max("id").alias("_top"))
+    df = other.select("group", "id", "name").distinct().join(mine.select(F.col("group").alias("_g"), F.col("name").alias("_name"), "_same"), (F.col("group") == F.col("_g")) & F.col("name").eqNullSafe(F.col("_name")), "left")
+    fresh = df.filter("_same is null").groupBy("group", "name").agg(F.min("id").alias("_first")).join(top, "group", "left")
+    fresh = fresh.withColumn("_new", F.coalesce("_top", F.lit(0)) + F.row_number().over(Window.partitionBy("group").orderBy("_first")))
+    df = df.join(fresh.select(F.col("group").alias("_h"), F.col("name").alias("_other"), "_new"), (F.col("group") == F.col("_h")) & F.col("name").eqNullSafe(F.col("_other")), "left")
+    return df.select("group", F.col("id").alias("old_id"), F.coalesce("_same", "_new").alias("new_id"))
+
+
+def char_css(font: str, height_pt: str, bold: str, italic: str, underline: str) -> Column:
+    """A character style as CSS; a font that the reader lacks falls back."""
+    mark = lambda c, css: F.when(F.col(c), css)
+    family = F.when(F.coalesce(font, F.lit("")) != "", F.concat(F.lit("font-family: '"), F.col(font), F.lit("', '맑은 고딕', sans-serif")))
+    size = F.when(F.coalesce(height_pt, F.lit(0.0)) != 0, F.concat(F.lit("font-size: "), F.format_string("%.1f", height_pt), F.lit("pt")))
+    return F.concat_ws("; ", family, size, mark(bold, "font-weight: bold"), mark(italic, "font-style: italic"), mark(underline, "text-decoration: underline"))
+
+
+def para_css(indent_em: str) -> Column:
+    """A paragraph style as CSS: its indent, if it has one."""
+    return F.when(F.col(indent_em) > 0, F.concat(F.lit("margin-left: "), F.format_string("%.1f", indent_em), F.lit("em"))).otherwise("")

@@ -180,6 +180,20 @@ def log_events(spark, sf_dir):
     return rows.select("event_id", F.inline(F.array("i", "c")))
 
 
+def font_remap(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    own = p.filter("p_size < 25").select(F.col("p_brand").alias("group"), (F.col("p_partkey") % 40).alias("id"), (F.col("p_partkey") % 40).cast("string").alias("name"))
+    other = p.filter("p_size >= 25").select(F.col("p_brand").alias("group"), (F.col("p_partkey") % 90).alias("id"), F.expr("string(p_partkey % 90 div 2)").alias("name"))
+    return styles.font_ids(own, other)
+
+
+def character_css(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    made = p.select(k, F.when(k % 3 != 0, F.col("p_brand")).alias("font"), ((k % 7) * 2.5).alias("pt"), (k % 2 == 0).alias("b"), (k % 5 == 0).alias("i"), F.when(k % 4 != 1, k % 11 == 0).alias("u"), ((k % 4) / 2 - 0.5).alias("em"))
+    return made.select("p_partkey", styles.char_css("font", "pt", "b", "i", "u").alias("char_css"), styles.para_css("em").alias("para_css"))
+
+
 def dry_run_levels(spark, sf_dir):
     blocks = queries._blocks(spark, sf_dir).persist()
     merged = resolve.merge(blocks, queries._decided(blocks), dry_run=True)
@@ -236,6 +250,13 @@ select doc_id, count(*) as total_ambiguous, count(*) filter (decided <> level an
   case when doc_id % 5 = 2 then 0 else count(*) filter (decided is null and not over) end as no_decision, count(*) filter (over) as over_cap, case when doc_id % 5 = 2 then count(*) filter (not over) else 0 end as failed_parse from d group by doc_id""",
     "log_events": """with e as (select event_id, event_id / 2 as ts, (['coupang', 'adsense'])[event_id % 2 + 1] as channel, case when event_id % 3 <> 0 then user_id::varchar else '' end as s from events)
 select event_id, ts, 'ad_impression' as event, channel, '' as partner_id, s as ad_slot from e union all select event_id, ts, 'ad_click', channel, s, '' from e""",
+    "font_remap": """with o as (select distinct p_brand as g, p_partkey % 40 as id, (p_partkey % 40)::varchar as name from part where p_size < 25), t as (select g, max(id) as top from o group by g),
+f as (select distinct p_brand as g, p_partkey % 90 as id, (p_partkey % 90 // 2)::varchar as name from part where p_size >= 25),
+n as (select f.g, f.name, min(f.id) as first from f left join o on o.g = f.g and o.name = f.name where o.id is null group by all), r as (select n.g, name, coalesce(top, 0) + row_number() over (partition by n.g order by first) as new_id from n left join t on t.g = n.g)
+select f.g as "group", f.id as old_id, coalesce(o.id, r.new_id) as new_id from f left join o on o.g = f.g and o.name = f.name left join r on r.g = f.g and r.name = f.name""",
+    "character_css": """with p as (select p_partkey, p_partkey as k, p_brand from part) select p_partkey, array_to_string(list_filter([
+  case when k % 3 <> 0 then 'font-family: ''' || p_brand || ''', ''맑은 고딕'', sans-serif' end, case when k % 7 <> 0 then 'font-size: ' || printf('%.1f', k % 7 * 2.5) || 'pt' end, case when k % 2 = 0 then 'font-weight: bold' end,
+  case when k % 5 = 0 then 'font-style: italic' end, case when k % 4 <> 1 and k % 11 = 0 then 'text-decoration: underline' end], lambda x: x is not null), '; ') as char_css, case when k % 4 = 2 then 'margin-left: 0.5em' when k % 4 = 3 then 'margin-left: 1.0em' else '' end as para_css from p""",
     "dry_run_levels": f"""with {oracle.BLOCKS}, d as (select *, case when line_no % 10 = 0 then level when line_no % 5 = 0 then (level + line_no) % 12 - 1 end as decided from blocks)
 select level, count(*) as n, count(*) filter (ambiguous and decided <> level) as changed from d group by level""",
     "round_trip_types": f"""with {oracle.manuscript.SQL}, l as (select ((r + line_no) % 14 - 2)::int as level, count(*) as n from raw_lines group by 1), t as (select *, case level when -1 then 'H1' when 0 then 'body' when 1 then 'H1' when 2 then 'H2' when 3 then 'H3' when 4 then 'H4' when 5 then 'H5' when 6 then 'L1' when 7 then 'L2' when 8 then 'L3' when 9 then 'L4' when 10 then 'note' else 'body' end as type from l)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.operators import styles
 
 SECTION = r"^Contents/section\d+\.xml$"
 # The name spaces that must keep their prefixes on output.
@@ -175,6 +176,10 @@ def cells(df: DataFrame) -> DataFrame:
     return _rows_of(df, _cell_rows, "para_index int, table_idx int, row int, col int, text string, row_span int, col_span int")
 
 
+#: Package units of an indent that make one em on screen, about.
+UNITS_PER_EM = 2000.0
+
+
 def _header_rows(tree: ET.Element) -> Iterator[tuple]:
     fonts = {f.get("id"): f.get("name", "") for f in tree.iter() if _local(f.tag) == "fontface"}
     for seq, node in enumerate(tree.iter()):
@@ -184,12 +189,28 @@ def _header_rows(tree: ET.Element) -> Iterator[tuple]:
         height = node.get("height", "0")
         points = int(height) / 100 if height.lstrip("-").isdigit() else 0.0
         font = next((fonts.get(c.get("hangul", ""), "") for c in _children(node, "fontRef")), None)
-        yield kind, seq, node.get("id"), node.get("name"), node.get("charPrIDRef"), node.get("paraPrIDRef"), points if kind == "charPr" else None, font
+        held = {_local(c.tag): c for c in node.iter()}
+        marks = [name in held if kind == "charPr" else None for name in ("bold", "italic", "underline")]
+        indent = (held["indent"].get("value") or "0") if kind == "paraPr" and "indent" in held else "0"
+        em = int(indent) / UNITS_PER_EM if kind == "paraPr" and indent.lstrip("-").isdigit() else None
+        yield kind, seq, node.get("id"), node.get("name"), node.get("charPrIDRef"), node.get("paraPrIDRef"), points if kind == "charPr" else None, font, *marks, em
 
 
 def header(df: DataFrame) -> DataFrame:
-    """(path, part, kind, seq, id, name, char, para, height_pt, font): fonts, character, paragraph and named styles."""
-    return _rows_of(df, _header_rows, "kind string, seq int, id string, name string, char string, para string, height_pt double, font string")
+    """(path, part, kind, seq, id, name, char, para, height_pt, font, bold, italic, underline, indent_em):
+    fonts, character, paragraph and named styles."""
+    return _rows_of(df, _header_rows, "kind string, seq int, id string, name string, char string, para string, height_pt double, font string, bold boolean, italic boolean, underline boolean, indent_em double")
+
+
+def _run_rows(tree: ET.Element) -> Iterator[tuple]:
+    for i, p in enumerate(_children(tree, "p")):
+        for k, run in enumerate(_children(p, "run")):
+            yield i, k, p.get("paraPrIDRef"), run.get("charPrIDRef"), _texts(run)
+
+
+def runs(df: DataFrame) -> DataFrame:
+    """(path, part, para_index, run, para, char, text): the runs of each paragraph and their style ids."""
+    return _rows_of(df, _run_rows, "para_index int, run int, para string, char string, text string")
 
 
 def _page_rows(tree: ET.Element) -> Iterator[tuple]:
@@ -396,11 +417,28 @@ def render_html(found: DataFrame, cells_: DataFrame, most: int = 500_000) -> Dat
     table = table.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("table_idx", F.concat(F.lit("<table>"), F.array_join(F.transform("trs", lambda r: r["tr"]), ""), F.lit("</table>")).alias("t")))).alias("ts"))
     table = table.select(*key, F.array_join(F.transform("ts", lambda t: t["t"]), "").alias("_tables"))
     plain = F.when(F.col("all_text") == "", F.lit('<p style="margin:0">&nbsp;</p>')).otherwise(F.concat(F.lit('<p style="margin:0">'), X.escape_html(F.col("all_text")), F.lit("</p>")))
+    if "_styled" in found.columns:
+        plain = F.coalesce("_styled", plain)
     df = found.join(table, key, "left").select("path", section_number(F.col("part")).alias("section"), "para_index", F.coalesce("_tables", plain).alias("html"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "para_index", "html"))), lambda r: r["html"]), "\n")
     return df.groupBy("path").agg(F.substring(body, 1, most).alias("html"))
 
 
+def render_styled(found: DataFrame, cells_: DataFrame, runs_: DataFrame, header_: DataFrame, most: int = 500_000) -> DataFrame:
+    """(path, html) as `render_html`, with runs as spans of their character style and indented paragraphs."""
+    chars = header_.filter("kind = 'charPr'").select("path", F.col("id").alias("char"), styles.char_css("font", "height_pt", "bold", "italic", "underline").alias("_css")).dropDuplicates(["path", "char"])
+    indents = header_.filter("kind = 'paraPr'").select("path", F.col("id").alias("para"), "indent_em").dropDuplicates(["path", "para"])
+    text = X.escape_html(F.col("text"))
+    span = F.when(F.coalesce("_css", F.lit("")) == "", text).otherwise(F.concat(F.lit('<span style="'), "_css", F.lit('">'), text, F.lit("</span>")))
+    pieces = runs_.filter("text <> ''").join(chars, ["path", "char"], "left").withColumn("span", span)
+    pieces = pieces.groupBy("path", "part", "para_index").agg(F.first("para").alias("para"), F.array_sort(F.collect_list(F.struct("run", "span"))).alias("spans"))
+    pieces = pieces.join(indents, ["path", "para"], "left")
+    style = F.concat(F.lit("margin:0"), F.coalesce(F.concat(F.lit("; "), F.nullif(styles.para_css("indent_em"), F.lit(""))), F.lit("")))
+    whole = F.concat(F.lit('<p style="'), style, F.lit('">'), F.array_join(F.transform("spans", lambda s: s["span"]), ""), F.lit("</p>"))
+    shown = pieces.select("path", "part", "para_index", whole.alias("_styled"))
+    return render_html(found.join(shown, ["path", "part", "para_index"], "left"), cells_, most)
+
+
 def any_of(names: Sequence[str]) -> str:
     """A pattern for `parts` that takes just these parts: no other is decompressed."""
     return "^(" + "|".join(re.escape(n) for n in names) + ")$"

@@ -251,3 +251,15 @@ def test_catalog_takes_the_least_free_number(spark, tmp_path):
     assert names == ["form.hwpx", "form_1.hwpx", "form_2.hwpx"]
     catalog.remove("1")
     assert catalog.add("9", "n9", "form.hwpx", "2024-01-01") == "form_1.hwpx"
+
+
+def test_styles_reach_the_rendered_text(spark):
+    hh, hp, hs = (packages.SPACES[k] for k in ("hh", "hp", "hs"))
+    head = f'<hh:head xmlns:hh="{hh}"><hh:fontface id="1" name="Batang"/><hh:charPr id="5" height="1250"><hh:fontRef hangul="1"/><hh:bold/></hh:charPr><hh:charPr id="6" height="0"/><hh:paraPr id="3"><hh:margin><hh:indent value="5000"/></hh:margin></hh:paraPr></hh:head>'
+    body = f'<hs:sec xmlns:hs="{hs}" xmlns:hp="{hp}"><hp:p paraPrIDRef="3"><hp:run charPrIDRef="5"><hp:t>big &lt;</hp:t></hp:run><hp:run charPrIDRef="6"><hp:t> plain</hp:t></hp:run></hp:p><hp:p/></hs:sec>'
+    parts = spark.createDataFrame([("a", "Contents/header.xml", bytearray(head.encode()), None), ("a", "Contents/section0.xml", bytearray(body.encode()), None)], packages.PARTS)
+    section, header = parts.filter("part like '%section%'"), packages.header(parts.filter("part like '%header%'"))
+    row = header.filter("id = '5'").first()
+    assert (row.bold, row.italic, row.underline, row.font) == (True, False, False, "Batang") and header.filter("id = '3'").first().indent_em == 2.5
+    html = packages.render_styled(packages.paragraphs(section), packages.cells(section), packages.runs(section), header).first().html
+    assert html == '<p style="margin:0; margin-left: 2.5em"><span style="font-family: \'Batang\', \'맑은 고딕\', sans-serif; font-size: 12.5pt; font-weight: bold">big &lt;</span> plain</p>\n<p style="margin:0">&nbsp;</p>'
