@@ -11,7 +11,7 @@ has exactly one), which leaves a position in 16.
 * Second rank, at a greater offset: the hash of all bytes of the windows that chose the
   anchor.  Of rows equal in both, all but the first document's are removed whole.
 * Only first rows whose second ranks differ under one first rank are ranked on, to the
-  threshold: their bytes are fetched and the 50-byte strings themselves are compared.
+  threshold: their bytes are fetched and the 64-bit hashes of their 50-byte strings compared.
 
 Nothing is paired: a rank's group is streamed in sorted order, and equal rows of one task are
 settled before the shuffle.  Texts travel by document twice, for the bytes of the open rows and
