@@ -18,6 +18,8 @@ DIMS = 1 << 16
 WORDS, PAIRS, CHARS = DIMS // 4, DIMS // 4, DIMS // 2
 #: A feature's value is its share within its family times this, so that weights are of order one.
 SCALE = 8.0
+#: Rows that the fit works on at a time.
+FIT_ROWS = 256
 
 
 def occurrences(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, hasher: _flat.Hasher) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -95,28 +97,38 @@ def fit(rows: list[tuple[bytes, bytes]], target: np.ndarray, rounds: int = 150,
     weights, bias = np.zeros(DIMS), float(np.log(rate0 / (1 - rate0)))
     if len(rows) < 8 or target.max() - target.min() < 0.5:
         return Model(weights.astype(np.float32), bias)
-    index = [np.frombuffer(a, np.int32) for a, _ in rows]
-    value = [np.frombuffer(b, np.float32).astype(np.float64) for _, b in rows]
 
-    def stacked(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.flatnonzero(which)
-        return np.concatenate([index[i] for i in at]), np.concatenate([value[i] for i in at]), np.repeat(np.arange(len(at)), [len(index[i]) for i in at])
-
-    cols, vals, owner = stacked(~held)
+    def stacked(which: np.ndarray) -> list[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some rows at a time, so that what a step computes stays small beside the rows."""
+        at, parts = np.flatnonzero(which), []
+        for lo in range(0, len(at), FIT_ROWS):
+            own = at[lo : lo + FIT_ROWS]
+            index = [np.frombuffer(rows[i][0], np.int32) for i in own]
+            value = [np.frombuffer(rows[i][1], np.float32) for i in own]
+            parts.append((slice(lo, lo + len(own)), np.concatenate(index), np.concatenate(value), np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in index])))
+        return parts
+
+    def scores(parts: list, n: int) -> np.ndarray:
+        z = np.empty(n)
+        for place, cols, vals, owner in parts:
+            z[place] = np.bincount(owner, weights[cols] * vals, minlength=place.stop - place.start) + bias
+        return z
+
+    parts = stacked(~held)
     y = target[~held].astype(np.float64)
     seen, seen_bias = np.zeros(DIMS), 0.0
     for _ in range(rounds):
-        z = np.bincount(owner, weights[cols] * vals, minlength=len(y)) + bias
-        residual = (sigmoid(z) - y) / len(y)
-        grad = np.bincount(cols, residual[owner] * vals, minlength=DIMS) + ridge * weights
+        residual = (sigmoid(scores(parts, len(y))) - y) / len(y)
+        grad = ridge * weights
+        for place, cols, vals, owner in parts:
+            grad += np.bincount(cols, residual[place][owner] * vals, minlength=DIMS)
         grad_bias = residual.sum()
         seen += grad * grad
         seen_bias += grad_bias * grad_bias
         weights -= rate * grad / (np.sqrt(seen) + 1e-8)
         bias -= rate * grad_bias / (np.sqrt(seen_bias) + 1e-8)
-    cols, vals, owner = stacked(held)
     y = target[held].astype(np.float64)
-    z = np.bincount(owner, weights[cols] * vals, minlength=len(y)) + bias
+    z = scores(stacked(held), len(y))
     slope, shift = platt(z, y)
     return Model(weights.astype(np.float32), bias, slope, shift)
 
