@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
+from quire.functions.frames import once
 
 #: What must follow a date without separators in a file name.
 BEHIND = "(?=[._-]|$)"
@@ -66,17 +67,12 @@ def date_in_text(text: Column) -> Column:
     return F.coalesce(*windows, first(text))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once a row: no filter or join condition is moved below a generator."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
-
-
 def dated(files: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Files (path, …) with issued_date and issued_source: the name first, then the text.
 
     Only files without a date in their name are joined to texts (path, text).
     """
-    df = _once(files, issued_date=date_in_name(F.col("path")))
+    df = once(files, issued_date=date_in_name(F.col("path")))
     sure = df.filter("issued_date is not null").withColumn("issued_source", F.lit("filename"))
     open_ = df.filter("issued_date is null")
     if texts is None:
@@ -105,7 +101,7 @@ def matches(required: DataFrame, files: DataFrame) -> DataFrame:
     list of more than MOST_SHIPPED rows is not, and the engine picks its own way.
     """
     few = required.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
-    named = _once(files, _name=_plain(stem(F.col("path"))))
+    named = once(files, _name=_plain(stem(F.col("path"))))
     asked = required.select("seq", F.transform("hints", _plain).alias("_hints"))
     hits = named.join(F.broadcast(asked) if few else asked, _holds(F.col("_name"), F.col("_hints")))
     hits = hits.select("seq", "path", *(c for c in files.columns if c != "path"))

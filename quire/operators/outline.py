@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
+from quire.functions.frames import once
 
 _B = T.BLANK
 
@@ -34,9 +35,16 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def classified(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, type, text, auto): lines outside tables; `auto` heads are yet to be numbered."""
     s = F.col("s")
-    hashes = F.length(F.regexp_extract(s, "^(#+)", 1))
-    head = T.strip(F.regexp_replace(s, "^#+", ""))
-    plain = F.regexp_replace(s, r"\*\*(.*?)\*\*", "$1")
+    left_out = (s == "") | s.startswith("---") | s.startswith("```") | s.startswith("> ") | _is_row(s)
+    is_head = s.startswith("#")
+    bare = F.regexp_replace(s, "^#+", "")
+    df = once(
+        rows.filter(~left_out),
+        _hashes=F.when(is_head, F.length(s) - F.length(bare)).otherwise(0),
+        _head=F.when(is_head, T.strip(bare)),
+        _plain=F.when(F.contains(s, F.lit("**")), F.regexp_replace(s, r"\*\*(.*?)\*\*", "$1")).otherwise(s),
+    )
+    hashes, head, plain = F.col("_hashes"), F.col("_head"), F.col("_plain")
     marked = F.when(plain.rlike(_u(rf"^\(\d+\){_B}+.+")), "H4").when(plain.rlike("^[①-⑳]."), "H5").when(plain.startswith("□"), "L1")
     marked = marked.when(plain.startswith("○") | plain.startswith("❍"), "L2").when(plain.startswith("·"), "L4").when(plain.startswith("※"), "note")
     marked = marked.when(s.startswith("- "), "L3").when(s.startswith("* "), "note").otherwise("L1")
@@ -45,9 +53,8 @@ def classified(rows: DataFrame) -> DataFrame:
     heads = heads.when(hashes == 4, F.regexp_replace(head, _u(rf"^\(\d+\){_B}*"), "")).when(hashes == 5, F.regexp_replace(head, rf"^[①-⑳]{_B}*", "")).otherwise(head)
     bullets = (s.startswith("- ") | s.startswith("* ")) & ~plain.rlike("^[①-⑳□○❍·※]")
     value = F.when(s.startswith("#"), heads).when(bullets & marked.isin("L3", "note"), T.strip(F.substr(s, F.lit(3)))).otherwise(plain)
-    left_out = (s == "") | s.startswith("---") | s.startswith("```") | s.startswith("> ") | _is_row(s)
-    df = rows.filter(~left_out).select("doc_id", "line_no", kind.alias("type"), value.alias("text"), (s.startswith("#") & hashes.between(3, 5)).alias("auto"))
-    return df.filter(F.col("type").isNotNull())
+    df = once(df, type=kind, text=value, auto=is_head & hashes.between(3, 5))
+    return df.select("doc_id", "line_no", "type", "text", "auto").filter(F.col("type").isNotNull())
 
 
 def _is_row(s: Column) -> Column:
