@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
+from quire.functions.frames import once
 
 TITLE, BODY = -1, 0
 _B = T.BLANK
@@ -98,8 +99,8 @@ def blocks(rows: DataFrame, long: int = LONG) -> DataFrame:
     document = Window.partitionBy("doc_id")
     earlier = document.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     raw = F.col("raw")
-    df = rows.withColumn("_titled", _has(raw, TITLE_PATTERN)).filter(F.col("_titled") | ~skipped(raw))
-    df = df.withColumn("level", level_of(raw)).withColumn("_parts", parts_of(raw, F.col("level")))
+    df = once(rows, _titled=_has(raw, TITLE_PATTERN), _skipped=skipped(raw)).filter("_titled or not _skipped")
+    df = once(once(df, level=level_of(raw)), _parts=parts_of(raw, F.col("level")))
     df = df.withColumn("_counts", (F.col("level") != BODY) & (F.col("_parts.text") != ""))
     df = df.withColumn("_first_title", F.min(F.when(F.col("_titled"), F.col("line_no"))).over(document))
     df = df.withColumn("_first_other", F.min(F.when(F.col("_counts") & ~(F.col("_titled") & (F.col("line_no") == F.col("_first_title"))), F.col("line_no"))).over(document))
@@ -107,7 +108,7 @@ def blocks(rows: DataFrame, long: int = LONG) -> DataFrame:
     df = df.withColumn("_is_title", F.coalesce(is_title, F.lit(False)))
     df = df.withColumn("_parts", F.when(F.col("_is_title"), parts_of(raw, F.lit(1))).otherwise(F.col("_parts")))
     df = df.withColumn("level", F.when(F.col("_is_title"), TITLE).otherwise(F.col("level"))).select("*", "_parts.symbol", "_parts.text")
-    df = df.filter(F.col("_is_title") | ((F.col("text") != "") & ~skipped(raw)))
+    df = df.filter(F.col("_is_title") | ((F.col("text") != "") & ~F.col("_skipped")))
     df = df.withColumn("_heading", F.last(F.when(F.col("level").between(1, 5), F.col("level")), ignorenulls=True).over(earlier))
     level = F.col("level")
     jumps = level.between(1, 5) & (level - F.col("_heading") > JUMP)
