@@ -66,10 +66,10 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
             at = end
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the n + 1 bounds of each text's words among them."""
     n = len(data)
-    inside = ~SEP[data]
+    inside = ~sep[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[off[:-1][off[:-1] < n]] = False

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quire.llm.audit import OP12_SQL, op12_filter_audit
+from quire.llm.decontaminate import OP13_SQL, op13_decontamination
+from quire.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quire.llm.jaccard import OP8_SQL, op8_jaccard
 from quire.llm.mixing import op3_mixing
 from quire.llm.packing import op9_packing
@@ -24,6 +27,17 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_decontamination": op13_decontamination,
 }
 
-ORACLE: dict[str, str] = {"op5_topk": OP5_SQL, "op6_suffix": OP6_SQL, "op7_warc": OP7_SQL, "op8_jaccard": OP8_SQL}
+ORACLE: dict[str, str] = {
+    "op5_topk": OP5_SQL,
+    "op6_suffix": OP6_SQL,
+    "op7_warc": OP7_SQL,
+    "op8_jaccard": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
+    "op13_decontamination": OP13_SQL,
+}

@@ -252,11 +252,11 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
-def quantized(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): whole components of the vectors that take part."""
+def quantized(embeddings: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, v) and further columns: whole components of the vectors that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = embeddings.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(fine)
-    return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
+    rows = embeddings.select("vec_id", "embedding", *more).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(fine)
+    return rows.select("vec_id", *more, F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
 
 
 def indexed(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, Cells]:
