@@ -168,7 +168,9 @@ def hits(places: DataFrame, prefix: DataFrame) -> DataFrame:
     on = (own["token"] == prefix["token"]) & (own["at"] >= prefix["offset"]) & (own["at"] - prefix["offset"] + prefix["n"] <= own["n_words"])
     near = _frames.join_small(own, prefix, on, most=MOST_WINDOWS)
     start = F.col("at") - F.col("offset")
-    words = F.array_join(F.slice(F.split("around", " "), (start - F.col("first") + 1).cast("int"), F.col("n")), " ")
+    # The bounds and this may be looked at in any order: a place must be valid by itself.
+    place = F.greatest(F.lit(1), start - F.col("first") + 1).cast("int")
+    words = F.array_join(F.slice(F.split("around", " "), place, F.col("n")), " ")
     return near.filter(words == F.col("window")).select("row", start.alias("start"), (start + F.col("n")).alias("end"), "window").distinct()
 
 
