@@ -12,12 +12,13 @@ of its prefix's shingles, and a pair is verified only if it shares corresponding
 
 A shingle's group of documents is paired directly while it is small.  A large group, such as
 that of a widely copied passage or of a family of near copies, is never paired: its members
-are first compared with the group's most typical one.  What that links is one component, and
-only members of other components than the group's largest (minor ones) are then compared
+are first compared with the group's most typical one.  The largest component that this makes
+stands for the group from then on, and only members outside it (minor ones) are compared
 further.  Minor members that share groups are gathered into blocks of bounded size; a block
 holds their shingles as one inverted index, the group's members stream past it, a bounded
-number of them (leads) a round, and only links that join what was apart come out.  Rounds go
-on with more leads, without what has been linked, until all have been leads.  Documents
+number of them (leads) a round and dealt among several copies of the block, and only links that
+join what was apart come out.  Rounds go on with more leads until all have been leads; members
+that the group's component has taken in leave the blocks.  Documents
 without a common light shingle share heavy ones only, so rows that hold too few of those
 leave such a group.  So no link between different texts is lost, and no cap decides one.
 
@@ -55,6 +56,8 @@ BLOCK = 64
 BLOCK_SHINGLES = 1 << 18
 #: Members of a large group that stream past its blocks in the first round, and growth by round.
 LEADS, MORE_LEADS = 2048, 32
+#: Leads of a block that one task compares on average, and parts that a block's leads are dealt into at most.
+SLICE, MOST_SLICES = 256, 32
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -362,11 +365,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, held, block = None, [], None
     for step, sets in _sets(batches):
         found = []
-        for home, salt, part, key, comp, own in zip(*(step.column(k).to_pylist() for k in ("home", "salt", "part", "key", "comp")), sets, strict=True):
+        for home, salt, cut, part, key, comp, own in zip(*(step.column(k).to_pylist() for k in ("home", "salt", "slice", "part", "key", "comp")), sets, strict=True):
             if key_of(own) != key:
                 continue  # another row with that document's id
-            if (home, salt) != place:
-                place, held, block = (home, salt), [], None
+            if (home, salt, cut) != place:
+                place, held, block = (home, salt, cut), [], None
             if part == 0:
                 held.append((key, comp, own))
                 continue
@@ -377,16 +380,27 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
+def _majors(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of large groups with several components, and `major`: a key of the component that
+    is the group's largest now and stands for it in all rounds, however components grow."""
+    rows = large.join(labels, F.col("a") == F.col("key"), "left").select("token", "a", "a_n", F.coalesce("comp", "a").alias("comp"))
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("major"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    return _frames.cut(rows.drop("comp").join(_frames.cut(mixed), "token"))
+
+
 def _rest(docs: DataFrame, nodes: DataFrame, large: DataFrame, labels: DataFrame, least: int, most: int) -> tuple[DataFrame, bool]:
     """Links between different components of large groups, and whether groups have further leads.
 
-    Leads are members by a hash of their set, some `most` of each group; those that the round
-    before took (`least`) are left out.
+    `large`: rows with their group's `major`.  Leads are members by a hash of their set, some
+    `most` of each group; those that the round before took (`least`) are left out.  Minor members
+    are those outside the component of `major`.  Components only grow, so of two members that end
+    apart at least one is minor in every round, also in that whose lead is the other.
     """
-    rows = large.join(labels, F.col("a") == F.col("key"), "left").select("token", "a", "a_n", F.coalesce("comp", "a").alias("comp"))
-    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("size", "comp"))["comp"].alias("most"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    rows = _frames.cut(rows.join(_frames.cut(mixed), "token"))
+    now = labels.select(F.col("key").alias("_key"), F.col("comp").alias("_comp"))
+    rows = large.join(now, F.col("a") == F.col("_key"), "left").withColumn("comp", F.coalesce("_comp", "a")).drop("_key", "_comp")
+    rows = rows.join(now, F.col("major") == F.col("_key"), "left").withColumn("most", F.coalesce("_comp", "major")).drop("_key", "_comp", "major")
+    rows = _frames.cut(rows)
     # Minor members meet in blocks by the largest of their groups.
     minor = rows.filter("comp <> most").groupBy("a").agg(F.max(F.struct("size", "token"))["token"].alias("home"), F.first("a_n").alias("a_n"), F.first("comp").alias("comp"))
     minor = _frames.cut(minor)
@@ -395,13 +409,31 @@ def _rest(docs: DataFrame, nodes: DataFrame, large: DataFrame, labels: DataFrame
     asked = rows.filter("comp <> most").select("token", "a").join(minor.select("a", "home", "salt"), "a").select("token", "home", "salt").distinct()
     share = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("size")
     leads = rows.filter((share >= least) & (share < most)).select("token", "a", "comp")
-    targets = leads.join(asked, "token").select("home", "salt", F.lit(1).alias("part"), F.col("a").alias("key"), "comp").distinct()
-    places = targets.unionByName(minor.select("home", "salt", F.lit(0).alias("part"), F.col("a").alias("key"), "comp"))
-    sorted_rows = _with_texts(docs, nodes, places).repartition("home", "salt").sortWithinPartitions("home", "salt", "part", "key")
+    targets = _frames.cut(leads.join(asked, "token").select("home", "salt", F.lit(1).alias("part"), F.col("a").alias("key"), "comp").distinct())
+    # A block's leads are dealt among several tasks, each with a copy of the block.
+    slices = _frames.cut(targets.groupBy("home", "salt").agg(F.least(F.lit(MOST_SLICES), F.ceil(F.count("*") / SLICE)).cast("int").alias("slices")))
+    dealt = targets.join(slices, ["home", "salt"]).withColumn("slice", F.pmod(F.xxhash64("key", F.lit(3)), F.col("slices")).cast("int")).drop("slices")
+    copied = minor.join(slices, ["home", "salt"]).select("home", "salt", F.lit(0).alias("part"), F.col("a").alias("key"), "comp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    places = dealt.unionByName(copied)
+    sorted_rows = _with_texts(docs, nodes, places).repartition("home", "salt", "slice").sortWithinPartitions("home", "salt", "slice", "part", "key")
     edges = _frames.cut(sorted_rows.mapInArrow(_compare, "a long, b long").distinct())
     return edges, rows.filter(F.col("size") > most).limit(1).count() > 0
 
 
+def _joined(docs: DataFrame, nodes: DataFrame, large: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and labels with all links within large groups that join components: rounds of leads."""
+    labels = components(edges)
+    large = _majors(large, labels)
+    least, most, further = 0, LEADS, True
+    while further:
+        more, further = _rest(docs, nodes, large, labels, least, most)
+        if more.limit(1).count():
+            edges = edges.unionByName(more)
+            labels = components(edges)
+        least, most = most, most * MORE_LEADS
+    return edges, labels
+
+
 def _heavy(docs: DataFrame, marked: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles counted more than `least` times, the MOST_HEAVY most frequent at most, and their counts."""
     counts = docs.mapInArrow(_counted(marked), "token long").groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > least)
@@ -435,14 +467,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     likely = ends.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
     first = _frames.cut(likely.unionByName(star).distinct())
     edges = _verify(docs, nodes, first)
-    labels = components(edges)
-    least, most, further = 0, LEADS, True
-    while further:
-        more, further = _rest(docs, nodes, large, labels, least, most)
-        if more.limit(1).count():
-            edges = edges.unionByName(more)
-            labels = components(edges)
-        least, most = most, most * MORE_LEADS
+    edges, labels = _joined(docs, nodes, large, edges)
     again = _frames.cut(_across(pairs.select("a", "b"), labels).join(first, ["a", "b"], "left_anti"))
     if again.limit(1).count():
         edges = edges.unionByName(_verify(docs, nodes, again))

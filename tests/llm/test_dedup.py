@@ -183,3 +183,72 @@ def test_a_block_finds_links_as_sets_do():
         linked = [j for j in range(30) if 100 * len(np.intersect1d(own, sets[j])) >= 80 * len(np.union1d(own, sets[j]))]
         assert set(found) <= set(linked)
         assert {block._root(j) for j in linked} <= {block._root(k)}
+
+
+def edited(rng, words, text, n):
+    """A text with n words changed that share no shingle."""
+    own = text.split()
+    for at in rng.sample(range(5, len(own) - 5, 11), n):
+        own[at] = rng.choice(words) + "x"
+    return " ".join(own)
+
+
+def test_a_link_is_found_though_its_group_changes_its_largest_component(spark, make, monkeypatch):
+    """Components of 10, 9 and 9 members; y, a lead of the first round, links the second with the
+    third then, and with x of the first, which was not compared in that round."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(jaccard, "LEADS", 1)
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+
+    def key(text):
+        return jaccard.key_of(jaccard.shingles(*_flat.flat(pa.array([text])))[0])
+
+    def leads(texts):
+        keys = spark.createDataFrame([(key(t),) for t in texts], "a long")
+        share = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)) * 28
+        return [r[0] < 1 for r in keys.select("a", share.alias("s")).select("s").collect()]
+
+    x = " ".join(rng.choice(words) for _ in range(201))
+    near = [edited(rng, words, x, 4) for _ in range(300)]
+    y = near[leads(near).index(True)]
+    far = [edited(rng, words, y, 4) for _ in range(50)]
+    z = far[leads(far).index(False)]
+    rest = [" ".join(rng.choice(words) for _ in range(201)) for _ in range(100)]
+    rest = [t for t, lead in zip(rest, leads(rest), strict=True) if not lead][:25]
+    members = [[x, *rest[:9]], [y, *rest[9:17]], [z, *rest[17:25]]]
+    assert [len(m) for m in members] == [10, 9, 9]
+    texts = [t for m in members for t in m]
+    docs = make(list(enumerate(texts))).select("doc_id", "text")
+    nodes = spark.createDataFrame([(key(t), i) for i, t in enumerate(texts)], "key long, doc_id long")
+    large = spark.createDataFrame([(5, key(t), 197, 197) for t in texts], "token long, a long, a_n int, a_light int")
+    edges = spark.createDataFrame([(key(m[0]), key(t)) for m in members for t in m[1:]], "a long, b long")
+    for parts in (1, 64):
+        monkeypatch.setattr(jaccard, "SLICE", parts)
+        _, labels = jaccard._joined(docs, nodes, large, edges)
+        assert labels.select("comp").distinct().count() == 1
+    assert np.array_equal(np.unique([r.key for r in labels.collect()]), np.unique([key(t) for t in texts]))
+
+
+def test_many_families_in_rounds_of_few_leads(make, monkeypatch):
+    """Twenty families with groups larger than their leads; links join their components in every order."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    monkeypatch.setattr(jaccard, "LEADS", 2)
+    monkeypatch.setattr(jaccard, "MORE_LEADS", 4)
+    monkeypatch.setattr(jaccard, "SLICE", 3)
+    rng = random.Random(31)
+    texts = []
+    for f in range(20):
+        words = [f"{f}{''.join(rng.choice('abcdefgh') for _ in range(5))}" for _ in range(2000)]
+        base = [" ".join(rng.choice(words) for _ in range(140))]
+        for _ in range(40):
+            base.append(edited(rng, words, rng.choice(base), rng.choice([3, 4, 5, 5])))
+        texts += base
+    rows = [(3 * i + 1, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(make(rows)).collect())
+    assert got == components(rows)
+    assert len({c for *_, c in got}) > 20
