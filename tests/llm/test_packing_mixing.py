@@ -80,6 +80,46 @@ def test_sum_of_squares_rule_by_brute_force():
         assert [len(x) for x in levels.open] == levels.count.tolist()
 
 
+def test_rule_among_open_windows_by_brute_force():
+    rng = np.random.default_rng(5)
+    levels = packing.Levels(20)
+    for size in rng.integers(1, 20, 30):
+        levels.place(("x",), int(size), 0)
+    for size in rng.integers(1, 20, 300):
+        before, best = levels.count.copy(), None
+        for h in np.flatnonzero(before[:20]):
+            after = before.copy()
+            after[h] -= 1
+            after[(h + size) % 20] += 1  # what a cut leaves over stands in a window of its own
+            rank = ((after[1:20] ** 2).sum(), h + size > 20, -h)
+            best = min(best, rank) if best else rank
+        assert levels.choose_open(int(size)) == -best[2]
+        levels.place_rest(0, 0, int(size), np.arange(size))
+    assert [len(x) for x in levels.open] == levels.count.tolist() and levels.held == levels.count.sum()
+
+
+def test_nearly_all_tokens_stay_where_the_rule_put_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(8)
+    pieces = packing.pack(docs)
+    by_sequence = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces"), F.sum(F.when(F.col("placed"), F.col("length")).otherwise(0)).alias("placed"))
+    got = by_sequence.agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when((F.col("n") < 1024) | (F.col("pieces") > 1), F.col("n"))).alias("shared"),
+        F.sum(F.when((F.col("n") < 1024) | (F.col("pieces") > 1), F.col("placed"))).alias("placed"),
+        F.sum(F.expr("case when bit_count(n) = 1 then n else 1024 end")).alias("padded"),
+    ).first()
+    assert got.placed >= 0.95 * got.shared > 0.1 * got.n
+    assert got.padded == got.n
+
+
+def test_few_open_windows_are_enough(spark, make):
+    rows = [(i, "word " * (1 + 37 * i % 900)) for i in range(300)]
+    for most in (0, 1, 2, 4096):
+        sizes = packing.pack(make(rows, 1), most_open=most).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+        assert sum(r.n for r in sizes) == sum(r.doc_tokens for r in packing.pack(make(rows, 1)).select("doc_id", "doc_tokens").distinct().collect())
+        assert sum(r.n < packing.WINDOW for r in sizes) <= 10
+
+
 def water(sizes, weights):
     """Targets by repeated sharing of the excess."""
     total, target, done = sum(sizes), [0.0] * len(sizes), set()
