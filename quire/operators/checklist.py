@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
 from quire.functions.frames import once
 
-#: What must follow a date without separators in a file name.
+# How dates stand in file names and texts, in the order in which they are tried; what
+# follows one without separators; the words before a date of issue, and how far behind them it may be.
 BEHIND = "(?=[._-]|$)"
-# How dates stand in file names and texts, in the order in which they are tried.
 NAME_DATES = (
     (r"(\d{4})[-_.](\d{2})[-_.](\d{2})", False),
     (r"_(\d{4})(\d{2})(\d{2})" + BEHIND, False),
@@ -28,7 +31,8 @@ TEXT_DATES = (
 )
 ISSUE_KEYWORDS = ("발행일", "발급일", "등록일", "작성일", "조회일")
 NEAR = 80
-MOST_SHIPPED = 10_000
+#: Characters of hints, with one for each, that one automaton holds on average.
+MOST_HINT_CHARS = 1 << 24
 
 
 def stem(path: Column) -> Column:
@@ -94,17 +98,72 @@ def _holds(name: Column, hints: Column) -> Column:
     return F.exists(hints, lambda h: (h != "") & F.contains(name, h))
 
 
+def _automaton(hints: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    asked: dict[str, list[int]] = {}
+    for hint, seq in hints:
+        asked.setdefault(hint, []).append(seq)
+    found = ahocorasick.Automaton()
+    for hint, seqs in asked.items():
+        found.add_word(hint, seqs)
+    found.make_automaton()
+    return found
+
+
+def _asked(automaton: ahocorasick.Automaton, names: list[str | None]) -> pa.Array:
+    """For each name the documents one of whose hints stands in it."""
+    return pa.array([sorted({seq for _, seqs in automaton.iter(n) for seq in seqs}) if n and len(automaton) else [] for n in names], pa.list_(pa.int64()))
+
+
+def _shipped(hints: list[tuple[str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(hints)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_file"), _asked(automaton, batch.column("_name").to_pylist())], ["_file", "_seqs"])
+
+    return run
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams groups of hints, each before the names that run through it."""
+    place, hints, automaton = None, [], None
+    for batch in batches:
+        key = list(zip(batch.column("_group").to_pylist(), batch.column("_salt").to_pylist(), batch.column("_late").to_pylist(), strict=True))
+        cuts = [k for k in range(1, len(key)) if key[k] != key[k - 1]]
+        for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True) if key else ():
+            part = batch.slice(lo, hi - lo)
+            if key[lo][:2] != place:
+                place, hints, automaton = key[lo][:2], [], None
+            if not key[lo][2]:
+                hints += zip(part.column("_name").to_pylist(), part.column("_seq").to_pylist(), strict=True)
+                continue
+            if automaton is None:
+                automaton, hints = _automaton(hints), []
+            yield pa.RecordBatch.from_arrays([part.column("_file"), _asked(automaton, part.column("_name").to_pylist())], ["_file", "_seqs"])
+
+
 def matches(required: DataFrame, files: DataFrame) -> DataFrame:
     """Required documents (seq, id, name, is_required, max_age_days, hints) with each file that matches; outer.
 
-    `required` is a short list read from one tender, so it is shipped to the files' tasks; a
-    list of more than MOST_SHIPPED rows is not, and the engine picks its own way.
+    Names run through an automaton of all hints, so the number of hints does not multiply the work.
+    Hints of at most MOST_HINT_CHARS characters are shipped to the names; more of them are dealt
+    into groups of that size by document, and names run through each group.
     """
-    few = required.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
-    named = once(files, _name=_plain(stem(F.col("path"))))
-    asked = required.select("seq", F.transform("hints", _plain).alias("_hints"))
-    hits = named.join(F.broadcast(asked) if few else asked, _holds(F.col("_name"), F.col("_hints")))
-    hits = hits.select("seq", "path", *(c for c in files.columns if c != "path"))
+    hint = F.explode(F.array_distinct(F.filter(F.transform("hints", _plain), lambda h: h != ""))).alias("_name")
+    hints = required.select(F.col("seq").cast("long").alias("_seq"), hint)
+    named = files.select(F.struct(*files.columns).alias("_file"), _plain(stem(F.col("path"))).alias("_name"))
+    schema = T_.StructType([named.schema["_file"], T_.StructField("_seqs", T_.ArrayType(T_.LongType()))])
+    total = hints.agg(F.sum(F.length("_name") + 1)).first()[0] or 0
+    if total <= MOST_HINT_CHARS:
+        hits = named.mapInArrow(_shipped([(r["_name"], r["_seq"]) for r in hints.collect()]), schema)
+    else:
+        groups, salts = -(-total // MOST_HINT_CHARS), files.sparkSession.sparkContext.defaultParallelism
+        each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+        right = named.select(each.alias("_group"), F.pmod(F.xxhash64("_file.path"), F.lit(salts)).cast("int").alias("_salt"), F.lit(True).alias("_late"), "_name", F.lit(None).cast("long").alias("_seq"), "_file")
+        left = hints.withColumn("_group", F.pmod(F.xxhash64("_seq"), F.lit(groups)).cast("int")).select("_group", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.lit(False).alias("_late"), "_name", "_seq", F.lit(None).cast(named.schema["_file"].dataType).alias("_file"))
+        both = right.unionByName(left).repartition("_group", "_salt").sortWithinPartitions("_group", "_salt", "_late")
+        hits = both.mapInArrow(_streamed, schema)
+    hits = hits.select(F.explode("_seqs").alias("_at"), "_file.*")
+    hits = hits.select(F.col("_at").cast(required.schema["seq"].dataType).alias("seq"), "path", *(c for c in files.columns if c != "path"))
     return required.join(hits, "seq", "left")
 
 
@@ -133,22 +192,21 @@ def rollup(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(*map(count, ("ok", "warning", "missing", "unknown")), F.coalesce(F.bool_and(~blocked), F.lit(True)).alias("submittable"))
 
 
-def plan(df: DataFrame, template: Column | None = None) -> DataFrame:
-    """(seq, number, source, target) of the files to hand in.
+def plan(df: DataFrame, template: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(seq, number, source, target) of the files to hand in, led by the columns `by` that name a tender.
 
-    Numbers run over all documents, so missing ones leave gaps; equal targets get _1, _2, … .
-    The list is one tender's: more than MOST_SHIPPED documents are an error, not one slow task.
+    Numbers run over all documents of a tender, so missing ones leave gaps; equal targets get
+    _1, _2, … .  Without `by` the list is one tender's.
     """
-    rows = F.row_number().over(Window.orderBy("seq"))
-    numbers = df.withColumn("number", F.when(rows > MOST_SHIPPED, F.raise_error(F.lit("more documents than a tender lists")).cast("int")).otherwise(rows))
+    numbers = df.withColumn("number", F.row_number().over(Window.partitionBy(*by).orderBy("seq")))
     ext = F.regexp_extract("path", r"(?<=[^/\\])(\.[^./\\]+)$", 1)
     name = template if template is not None else F.concat(F.format_string("%02d_", "number"), T.safe_file_name(F.col("name")), ext)
     there = numbers.filter("path is not null").withColumn("_target", T.safe_file_name(name))
-    again = F.row_number().over(Window.partitionBy("_target").orderBy("seq")) - 1
+    again = F.row_number().over(Window.partitionBy(*by, "_target").orderBy("seq")) - 1
     bare, tail = F.regexp_replace("_target", r"(?<=.)\.[^.]+$", ""), F.regexp_extract("_target", r"(?<=.)(\.[^.]+)$", 1)
     there = there.withColumn("_again", again)
     target = F.when(F.col("_again") == 0, F.col("_target")).otherwise(F.concat(bare, F.lit("_"), F.col("_again"), tail))
-    return there.select("seq", "number", F.col("path").alias("source"), target.alias("target"))
+    return there.select(*by, "seq", "number", F.col("path").alias("source"), target.alias("target"))
 
 
 def unmatched(files: DataFrame, planned: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 IMPRESSION, CLICK, FAILED = "ad_impression", "ad_click", "ad_load_failed"
 # Won a click and a thousand impressions by channel.
@@ -17,15 +18,20 @@ def counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.coalesce("event", F.lit("?")).alias("event")).agg(F.count("*").alias("n"))
 
 
-def by_channel(events: DataFrame, since: Column) -> DataFrame:
-    """(channel, impressions, clicks, load_failures) of events (ts, event, channel).
+def counted(events: DataFrame, since: Column) -> DataFrame:
+    """(channel, event) of the events (ts, event, channel) that count.
 
     `ts` are seconds; rows without a time and those before `since` go, later ones all count.
     """
     channel = F.coalesce(F.nullif("channel", F.lit("")), F.lit("unknown"))
     rows = events.filter(F.col("event").isin(IMPRESSION, CLICK, FAILED) & (F.col("ts") > 0) & (F.timestamp_seconds("ts") >= since))
+    return rows.select(channel.alias("channel"), "event")
+
+
+def by_channel(events: DataFrame, since: Column) -> DataFrame:
+    """(channel, impressions, clicks, load_failures) of events (ts, event, channel), as `counted` takes them."""
     count = lambda e: F.count_if(F.col("event") == e)
-    return rows.groupBy(channel.alias("channel")).agg(count(IMPRESSION).alias("impressions"), count(CLICK).alias("clicks"), count(FAILED).alias("load_failures"))
+    return counted(events, since).groupBy("channel").agg(count(IMPRESSION).alias("impressions"), count(CLICK).alias("clicks"), count(FAILED).alias("load_failures"))
 
 
 def with_revenue(stats: DataFrame, rates: Mapping[str, tuple[float, float]] = RATES) -> DataFrame:
@@ -41,16 +47,24 @@ def click_rate() -> Column:
 
 
 def dashboard(events: DataFrame, since: Column, rates: Mapping[str, tuple[float, float]] = RATES) -> DataFrame:
-    """Channels and a total row (channel null), whose rate is that of the totals."""
-    rows = with_revenue(by_channel(events, since), rates)
-    total = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("impressions", "clicks", "load_failures")), F.round(F.coalesce(F.sum("revenue_krw"), F.lit(0.0)), 6).alias("revenue_krw"))
-    total = total.withColumn("ctr", click_rate()).withColumn("channel", F.lit(None).cast("string"))
-    return rows.unionByName(total.select(*rows.columns))
+    """Channels and a total row (channel null), whose rate is that of the totals.
+
+    Each channel's row counts for itself and for the total, so the events are read once; a row of
+    zeros lets the total of no events stand too.
+    """
+    rows = with_revenue(by_channel(events, since), rates).drop("ctr")
+    numbers = [c for c in rows.columns if c != "channel"]
+    zero = rows.sparkSession.createDataFrame([(None, *[0] * len(numbers))], "channel string, " + ", ".join(f"{c} long" for c in numbers))
+    both = rows.select(F.explode(F.array("channel", F.lit(None))).alias("channel"), *numbers).unionByName(zero)
+    sums = both.groupBy("channel").agg(*(F.sum(c).alias(c) for c in numbers))
+    return sums.select("channel", *(c for c in numbers if c != "revenue_krw"), click_rate().alias("ctr"), F.round("revenue_krw", 6).alias("revenue_krw"))
 
 
 def ordered(report: DataFrame) -> DataFrame:
-    """By revenue, then channel; the total last."""
-    return report.orderBy(F.col("channel").isNull(), F.col("revenue_krw").desc(), "channel")
+    """All rows with their `rank` by revenue, then channel; the total last.  A report has a row a channel."""
+    last, order = F.col("channel").isNull(), [F.col("revenue_krw").desc(), "channel"]
+    ranked = report.withColumn("rank", F.row_number().over(Window.orderBy(last, *order)))
+    return ranked.orderBy("rank")
 
 
 def _slot_event(name: str, channel: Column, ts: Column, partner: Column | str, slot: Column | str) -> Column:

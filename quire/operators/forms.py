@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from quire.functions import text as T
@@ -91,45 +93,89 @@ def update_cells(cells: DataFrame, edits: DataFrame) -> DataFrame:
     return cells.join(edits, key, "left").withColumn("text", F.coalesce("new_text", "text")).drop("new_text").select(*cells.columns)
 
 
+class Rows:
+    """Rows of a table under edits, as runs (first source row, length, copied) in chunks of bounded
+    length: an edit looks through the chunks' sizes and one chunk, and memory follows the edits."""
+
+    CHUNK = 256
+
+    def __init__(self, n: int):
+        self.chunks: list[list] = [[n, [(0, n, False)] if n else []]]
+
+    def _find(self, at: int) -> tuple[list, int, int] | None:
+        """(chunk, place of the run, row within it), or nothing."""
+        if at < 0:
+            return None
+        for chunk in self.chunks:
+            if at < chunk[0]:
+                for k, (_, length, _) in enumerate(chunk[1]):
+                    if at < length:
+                        return chunk, k, at
+                    at -= length
+            at -= chunk[0]
+        return None
+
+    def edit(self, at: int, op: str) -> None:
+        if op not in ("delete", "duplicate") or (found := self._find(at)) is None:
+            return
+        chunk, k, row = found
+        first, length, copied = chunk[1][k]
+        source = first + row  # a copy is a run of one row
+        own = [(first, row, copied)] if row else []
+        rest = [] if row + 1 == length else [(source + 1, length - row - 1, copied)]
+        middle = [] if op == "delete" else [(source, 1, copied), (source, 1, True)]
+        chunk[1][k : k + 1] = own + middle + rest
+        chunk[0] += -1 if op == "delete" else 1
+        if len(chunk[1]) > self.CHUNK:
+            half = chunk[1][: self.CHUNK // 2]
+            size = sum(n for _, n, _ in half)
+            here = next(i for i, c in enumerate(self.chunks) if c is chunk)
+            self.chunks[here : here + 1] = [[size, half], [chunk[0] - size, chunk[1][self.CHUNK // 2 :]]]
+
+    def runs(self) -> Iterator[tuple[int, int, int, bool]]:
+        """(first row now, first source row, length, copied)."""
+        at = 0
+        for _, runs in self.chunks:
+            for first, length, copied in runs:
+                yield at, first, length, copied
+                at += length
+
+
+def _origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[list[dict]] = []
+        for n, ops in zip(batch.column("_n").to_pylist(), batch.column("_ops").to_pylist(), strict=True):
+            rows = Rows(n)
+            for op in ops:
+                rows.edit(op["source_row"], op["op"])
+            out.append([{"now": a, "first": f, "length": m, "copied": c} for a, f, m, c in rows.runs()])
+        runs = pa.array(out, pa.list_(pa.struct([("now", pa.int64()), ("first", pa.int64()), ("length", pa.int64()), ("copied", pa.bool_())])))
+        yield batch.drop_columns(["_n", "_ops"]).append_column("_runs", runs)
+
+
 def apply_row_ops(cells: DataFrame, ops: DataFrame) -> DataFrame:
     """Cells after ordered row edits (doc_id, para_index, table_idx, seq, source_row, op).
 
     Each edit sees what the one before left: `duplicate` puts an empty copy behind its row,
     `delete` takes the row out, anything else or a row that is not there changes nothing.
-    `was_row` is the row before all edits, null for copies.  Tables are folded one at a time,
-    each in one task.
+    `was_row` is the row before all edits, null for copies.  A table's edits become origins of
+    rows in one task; the cells follow by a join.
     """
     key = ["doc_id", "para_index", "table_idx"]
-    touched = cells.join(ops.select(*key).distinct(), key, "left_semi")
-    rest = cells.join(ops.select(*key).distinct(), key, "left_anti").withColumn("was_row", F.col("row"))
-    schema = rest.schema
-
-    def fold(table: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-        rows: list[int | None] = []
-        source: list[int] = []
-        for r in range(int(table["row"].max()) + 1 if len(table) else 0):
-            rows.append(r)
-            source.append(r)
-        for at, op in zip(edits.sort_values("seq")["source_row"], edits.sort_values("seq")["op"], strict=True):
-            if not 0 <= at < len(rows):
-                continue
-            if op == "delete":
-                del rows[at], source[at]
-            elif op == "duplicate":
-                rows.insert(at + 1, None)
-                source.insert(at + 1, source[at])
-        out = []
-        for new, (old, of) in enumerate(zip(rows, source, strict=True)):
-            part = table[table["row"] == of].copy()
-            part["row"], part["was_row"] = new, old
-            if old is None:
-                part["text"] = ""
-            out.append(part)
-        done = pd.concat(out) if out else table.head(0).assign(was_row=None)
-        done["was_row"] = done["was_row"].astype("Int64")
-        return done[[f.name for f in schema]]
-
-    return rest.unionByName(touched.groupBy(*key).cogroup(ops.groupBy(*key)).applyInPandas(fold, schema))
+    listed = ops.filter("source_row is not null").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("source_row").cast("long").alias("source_row"), "op"))), lambda o: F.struct(o["source_row"], o["op"])).alias("_ops"))
+    tables = cells.groupBy(*key).agg((F.max("row") + 1).cast("long").alias("_n"))
+    edited = tables.join(listed, key).select(*key, "_n", "_ops")
+    run = T_.StructType([T_.StructField("now", T_.LongType()), T_.StructField("first", T_.LongType()), T_.StructField("length", T_.LongType()), T_.StructField("copied", T_.BooleanType())])
+    schema = T_.StructType([*(edited.schema[k] for k in key), T_.StructField("_runs", T_.ArrayType(run))])
+    runs = edited.mapInArrow(_origins, schema).select(*key, F.inline("_runs"))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("_k")
+    kind = cells.schema["row"].dataType
+    origins = runs.select(*key, "now", "first", "copied", step).select(*key, (F.col("first") + F.col("_k")).cast(kind).alias("row"), (F.col("now") + F.col("_k")).cast(kind).alias("_now"), "copied")
+    untouched = cells.join(listed.select(*key), key, "left_anti").withColumn("was_row", F.col("row"))
+    moved = cells.join(origins, [*key, "row"])
+    was, text = F.when(~F.col("copied"), F.col("row")), F.when(F.col("copied"), F.lit("")).otherwise(F.col("text"))
+    moved = moved.withColumn("was_row", was).withColumn("text", text).withColumn("row", F.col("_now"))
+    return untouched.unionByName(moved.select(*untouched.columns))
 
 
 def remap_edits(edits: DataFrame, moved: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import scans
 from quire.functions import text as T
 from quire.functions.frames import once
 
@@ -90,43 +91,48 @@ def title_candidate(text: Column) -> Column:
     return (F.length(text).between(1, SHORT)) & (bare != "") & ~F.right(bare, F.lit(1)).isin(*SENTENCE_ENDINGS)
 
 
-def blocks(rows: DataFrame, long: int = LONG) -> DataFrame:
+def blocks(rows: DataFrame, long: int = LONG, segment: int | None = None) -> DataFrame:
     """Classified lines: (doc_id, line_no, level, symbol, text, raw, ambiguous, parent_level).
 
     A document has one title at most: its first line that looks like one, if nothing but body
     precedes it; later ones stay body with their mark.  Other lines without text are dropped.
+    With `segment`, documents are cut into so many lines, for those that no task can hold.
     """
-    document = Window.partitionBy("doc_id")
-    earlier = document.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     raw = F.col("raw")
     df = once(rows, _titled=_has(raw, TITLE_PATTERN), _skipped=skipped(raw)).filter("_titled or not _skipped")
     df = once(once(df, level=level_of(raw)), _parts=parts_of(raw, F.col("level")))
     df = df.withColumn("_counts", (F.col("level") != BODY) & (F.col("_parts.text") != ""))
-    df = df.withColumn("_first_title", F.min(F.when(F.col("_titled"), F.col("line_no"))).over(document))
-    df = df.withColumn("_first_other", F.min(F.when(F.col("_counts") & ~(F.col("_titled") & (F.col("line_no") == F.col("_first_title"))), F.col("line_no"))).over(document))
+    df = scans.least(df, {"_first_title": F.when(F.col("_titled"), F.col("line_no"))}, segment)
+    df = scans.least(df, {"_first_other": F.when(F.col("_counts") & ~(F.col("_titled") & (F.col("line_no") == F.col("_first_title"))), F.col("line_no"))}, segment)
     is_title = (F.col("line_no") == F.col("_first_title")) & (F.col("_first_other").isNull() | (F.col("_first_title") < F.col("_first_other")))
     df = df.withColumn("_is_title", F.coalesce(is_title, F.lit(False)))
     df = df.withColumn("_parts", F.when(F.col("_is_title"), parts_of(raw, F.lit(1))).otherwise(F.col("_parts")))
     df = df.withColumn("level", F.when(F.col("_is_title"), TITLE).otherwise(F.col("level"))).select("*", "_parts.symbol", "_parts.text")
     df = df.filter(F.col("_is_title") | ((F.col("text") != "") & ~F.col("_skipped")))
-    df = df.withColumn("_heading", F.last(F.when(F.col("level").between(1, 5), F.col("level")), ignorenulls=True).over(earlier))
+    df = scans.last(df, {"_heading": F.when(F.col("level").between(1, 5), F.col("level"))}, segment)
     level = F.col("level")
     jumps = level.between(1, 5) & (level - F.col("_heading") > JUMP)
     ambiguous = (level.between(1, 10) & (F.length("text") >= long)) | jumps | ((level == BODY) & title_candidate(F.col("text")))
     df = df.withColumn("ambiguous", F.coalesce(ambiguous, F.lit(False)))
-    return with_parents(df).select("doc_id", "line_no", "level", "symbol", "text", "raw", "ambiguous", "parent_level")
+    return with_parents(df, segment).select("doc_id", "line_no", "level", "symbol", "text", "raw", "ambiguous", "parent_level")
 
 
-def with_parents(df: DataFrame) -> DataFrame:
+def blocks_of(docs: DataFrame, text: str = "text", most: int = 1 << 24, segment: int = 1 << 17) -> DataFrame:
+    """Blocks of documents; those of more than `most` characters are scanned by segments."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    large = blocks(lines(docs.filter(size > most), text), segment=segment)
+    return blocks(lines(docs.filter(size <= most), text)).unionByName(large)
+
+
+def with_parents(df: DataFrame, segment: int | None = None) -> DataFrame:
     """Adds parent_level: of a body line that of the last other block, else the nearest lower level before."""
-    earlier = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     level = F.col("level")
     lowers = [k for k in range(TITLE, 10) if k != BODY]
-    last = F.array(*(F.struct(F.max(F.when(level == k, F.col("line_no"))).over(earlier).alias("at"), F.lit(k).alias("level")) for k in lowers))
-    df = df.withColumn("_last", last).withColumn("_other", F.last(F.when(level != BODY, level), ignorenulls=True).over(earlier))
+    df = scans.last(df, {**{f"_at{k}": F.when(level == k, F.col("line_no")) for k in lowers}, "_other": F.when(level != BODY, level)}, segment)
+    df = df.withColumn("_last", F.array(*(F.struct(F.col(f"_at{k}").alias("at"), F.lit(k).alias("level")) for k in lowers)))
     nearest = F.array_max(F.filter("_last", lambda x: x["at"].isNotNull() & (x["level"] < level)))["level"]
     parent = F.when(level == TITLE, F.lit(None)).when(level == BODY, F.col("_other")).otherwise(nearest)
-    return df.withColumn("parent_level", parent.cast("int")).drop("_last", "_other")
+    return df.withColumn("parent_level", parent.cast("int")).drop("_last", "_other", *(f"_at{k}" for k in lowers))
 
 
 def type_of(level: Column) -> Column:

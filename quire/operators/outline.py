@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions import scans
 from quire.functions import text as T
 from quire.functions.frames import once
 
@@ -80,16 +81,13 @@ def tables(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no", F.lit("L1").alias("type"), F.when(details != "", F.concat(first, F.lit(" — "), details)).otherwise(first).alias("text"), F.lit(False).alias("auto"))
 
 
-def numbered(df: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, segment: int | None = None) -> DataFrame:
     """Numbers heads of levels 3 to 5.  A head of a higher level, written number included,
-    begins anew; a written number does not count on."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    out = df
-    for level, resets in (("H3", ("H1", "H2")), ("H4", ("H1", "H2", "H3")), ("H5", ("H1", "H2", "H3", "H4"))):
-        group = f"_g{level}"
-        out = out.withColumn(group, F.sum(F.when(F.col("type").isin(*resets), 1).otherwise(0)).over(order))
-        out = out.withColumn(f"_n{level}", F.sum(F.when((F.col("type") == level) & F.col("auto"), 1).otherwise(0)).over(Window.partitionBy("doc_id", group).orderBy("line_no")))
-    mark = F.when(F.col("type") == "H3", F.concat(F.col("_nH3"), F.lit(")"))).when(F.col("type") == "H4", F.concat(F.lit("("), F.col("_nH4"), F.lit(")"))).otherwise(T.circled_number(F.col("_nH5")))
+    begins anew; a written number does not count on.  `segment` as in `lines.blocks`."""
+    resets = {"H3": ("H1", "H2"), "H4": ("H1", "H2", "H3"), "H5": ("H1", "H2", "H3", "H4")}
+    kind = F.col("type")
+    out = scans.since(df, {f"_{level}": (kind.isin(*above), (kind == level) & F.col("auto")) for level, above in resets.items()}, segment)
+    mark = F.when(kind == "H3", F.concat(F.col("_H3"), F.lit(")"))).when(kind == "H4", F.concat(F.lit("("), F.col("_H4"), F.lit(")"))).otherwise(T.circled_number(F.col("_H5")))
     value = F.when(F.col("auto"), F.concat(mark, F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     return out.select("doc_id", F.col("line_no").alias("seq"), "type", value.alias("text"))
 
@@ -102,12 +100,9 @@ def strip_prefixes(kind: Column, text: Column) -> Column:
     return out.otherwise(text)
 
 
-def page_breaks(df: DataFrame) -> DataFrame:
+def page_breaks(df: DataFrame, segment: int | None = None) -> DataFrame:
     """Adds h2_number within the last H1 and page_break: before every H1 and from the second H2 on."""
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    df = df.withColumn("_chapter", F.sum(F.when(F.col("type") == "H1", 1).otherwise(0)).over(order))
-    n = F.sum(F.when(F.col("type") == "H2", 1).otherwise(0)).over(Window.partitionBy("doc_id", "_chapter").orderBy("seq"))
-    df = df.withColumn("h2_number", n).drop("_chapter")
+    df = scans.since(df, {"h2_number": (F.col("type") == "H1", F.col("type") == "H2")}, segment, order="seq")
     return df.withColumn("page_break", (F.col("type") == "H1") | ((F.col("type") == "H2") & (F.col("h2_number") >= 2)))
 
 

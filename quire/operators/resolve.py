@@ -66,6 +66,10 @@ def resolve(asked: DataFrame, resolver: Callable[[DataFrame], DataFrame]) -> Dat
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```$", re.IGNORECASE | re.MULTILINE)
 
 
+#: What tells depth: braces, and what hides them: strings, whole or cut off, and escaped characters.
+_MARKS = re.compile(r'[{}]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|\\.', re.DOTALL)
+
+
 def _objects(text: str) -> list:
     """Whole objects after the first bracket of an array that may be cut off."""
     found, at, decoder = [], text.find("["), json.JSONDecoder()
@@ -75,18 +79,12 @@ def _objects(text: str) -> list:
             found.append(value)
         except ValueError:
             # Not an object from here on: either damaged, so look behind its end, or cut off.
-            depth, quoted, end, escaped = 0, False, -1, False
-            for i in range(at, len(text)):
-                c = text[i]
-                if escaped or c == "\\":
-                    escaped = not escaped
-                elif c == '"':
-                    quoted = not quoted
-                elif not quoted and c in "{}":
-                    depth += 1 if c == "{" else -1
-                    if not depth:
-                        end = i + 1
-                        break
+            depth, end = 0, -1
+            for mark in _MARKS.finditer(text, at):
+                depth += {"{": 1, "}": -1}.get(mark.group(), 0)
+                if not depth:
+                    end = mark.end()
+                    break
             if end < 0:
                 break
             at = end

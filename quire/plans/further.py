@@ -16,7 +16,7 @@ def _pick(values, k):
 
 
 def dashboard_top(spark, sf_dir):
-    return events.ordered(queries.channel_dashboard(spark, sf_dir)).limit(2).select("channel", "clicks", "revenue_krw")
+    return events.ordered(queries.channel_dashboard(spark, sf_dir)).select("rank", "channel", "clicks", "revenue_krw")
 
 
 def _calls(spark, sf_dir):
@@ -215,7 +215,8 @@ f as (select doc_id, s0 or s1 as has_section, h as has_header, m as has_manifest
 _CONTROLS = r"regexp_replace(regexp_replace(text || chr(13) || chr(1) || 'x  y' || chr(9) || chr(9) || doc_id, '[\n\r]', chr(10), 'g'), '[\x00-\x09\x0b\x0c\x0e-\x1f]', ' ', 'g')"
 
 SQL = {
-    "dashboard_top": f"with {oracle.DASH} select channel, clicks, round(revenue, 6) as revenue_krw from earned order by revenue desc, channel limit 2",
+    "dashboard_top": f"""with {oracle.DASH}, t as (select channel, clicks, round(revenue, 6) as revenue_krw from earned union all select null, coalesce(sum(clicks), 0), round(coalesce(sum(revenue), 0), 6) from earned)
+select row_number() over (order by channel is null, revenue_krw desc, channel)::int as rank, channel, clicks::bigint as clicks, revenue_krw from t""",
     "tool_calls": f"with {_CURRENT} select conv_id as session_id, (['Bash', 'Read', 'unknown'])[turn % 3 + 1] as tool, count(*) as n from s group by all",
     "touched_files": f"with {_CURRENT} select conv_id as session_id, string_agg(distinct '/src/' || (turn % 7) || '.py', ',' order by '/src/' || (turn % 7) || '.py') as files from s group by 1",
     "commit_ids": f"with {_CURRENT} select distinct conv_id as session_id, substr(sha1(conv_id::varchar), 1, 10) as ids from s",

@@ -1,13 +1,11 @@
 """DuckDB SQL for the queries of this folder.
 
-The logic is written anew; lists of fixed values (hints, prices, style names, bullets, required
-documents) are those of the operators, so a wrong value there would not show.  The SQL of
-`further` states its own.
+The logic is written anew and states its own fixed values (hints, prices, style names, bullets);
+only what makes the queries' inputs is shared with them.
 """
 
 from __future__ import annotations
 
-from quire.operators import checklist, forms, resolve, styles, verify
 from quire.plans import manuscript, queries
 
 R = "ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"
@@ -111,10 +109,12 @@ def _count(text: str, parts) -> str:
 TEXTS = f"""{manuscript.SQL},
 texts as (select doc_id, count(*) as paragraphs, string_agg(raw, chr(10) order by line_no) as text from raw_lines group by doc_id),
 cells as (select doc_id, line_no // 20 as table_no, case when r % 3 = 0 then '' when r = 4 then '-' else raw end as text from raw_lines),
-tables as (select doc_id, table_no, count(*) as n, count(*) filter (text not in {verify.EMPTY_CELLS}) as f from cells group by all),
+tables as (select doc_id, table_no, count(*) as n, count(*) filter (text not in ('', '-', '(빈칸)')) as f from cells group by all),
 fills as (select doc_id, sum(n)::bigint as total_cells, sum(f)::bigint as filled_cells, string_agg('Table' || (table_no + 1) || ': ' || f || '/' || n, ', ' order by table_no) filter (table_no < 5) as table_stats from tables group by doc_id)"""
 
-_PRICES = [(m, *p) for m, p in resolve.PRICES.items()]
+_STYLE_LEVELS = [("제목1", 1), ("제목 1", 1), ("Heading 1", 1), ("제목2", 2), ("제목 2", 2), ("Heading 2", 2), ("제목3", 3), ("제목 3", 3), ("Heading 3", 3), ("본문1", 4), ("제목4", 4), ("본문2", 5), ("제목5", 5), ("□ 4칸", 6), ("❍ 5칸", 7), ("- 6칸", 8), ("· 7칸", 9), ("* 9칸", 10), ("바탕글", 0)]
+_SIZE_LEVELS = [(20.0, 0, 1), (18.0, 0, 2), (18.0, 1, 3), (16.0, 0, 4), (15.0, 0, 5), (15.0, 1, 6), (15.0, 2, 7), (15.0, 3, 8), (15.0, 4, 9), (13.0, 0, 10)]
+_PRICES = [("gemini-2.5-flash", 0.075, 0.30), ("gpt-4o", 2.50, 10.00), ("claude-haiku-4-5-20251001", 1.00, 5.00)]
 _SINCE = "timestamp '2024-01-10 00:00:00'"
 DASH = f"""log as (select case when event_id % 41 = 0 then 0 else epoch_us(ts) end as us, ts,
   case event_type when 'view' then 'i' when 'click' then 'c' when 'error' then 'f' end as e, (['coupang', 'adsense', 'unknown'])[event_id % 3 + 1] as channel from events),
@@ -133,7 +133,13 @@ def _redacted(text: str) -> str:
 
 
 _DRAW = "case when (line_no + draw) % 3 = 0 then (line_no + draw) % 11 else level end"
-_HINTS = "case " + " ".join(f"when regexp_matches(clean, '{p}') then {{'t': '{t}', 'u': '{u}'}}" for p, t, u in forms.HINTS) + " else {'t': 'text', 'u': ''} end"
+_LABEL_KINDS = (
+    (r"(년도|연도|설립\s*년|설립\s*연도|year)", "number", "년"), (r"(발행일|발급일|등록일|작성일|계약일|승인일|일자|년월일|년\s*월\s*일)", "date", ""),
+    ("(?i)(전화|연락처|휴대\\s*폰|팩스|tel|fax)", "text", ""), ("(?i)(이메일|email|e-mail)", "text", ""), ("(?i)(주소|소재지|address)", "multiline", ""),
+    (r"총\s*원|인원|직원|명\s*수|수\s*료|사원", "number", "명"), ("(금액|단가|예산|가격|amount|price)", "number", "원"), (r"(번호|no\.?|ID|id)", "number", ""),
+    (r"(건수|횟수|회\s*수)", "number", "건"), ("(?i)(성명|이름|대표자|담당자|name)", "text", ""), ("(?i)(비고|특이사항|설명|메모|참고|remark|description)", "multiline", ""),
+)
+_HINTS = "case " + " ".join(f"when regexp_matches(clean, '{p}') then {{'t': '{t}', 'u': '{u}'}}" for p, t, u in _LABEL_KINDS) + " else {'t': 'text', 'u': ''} end"
 _ISSUE = ("발행일", "발급일", "등록일", "작성일", "조회일")
 _DATES = [r"20[0-9]{2}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일", r"20[0-9]{2}\s*[.\-]\s*[0-9]{1,2}\s*[.\-]\s*[0-9]{1,2}"]
 
@@ -146,7 +152,7 @@ def _first_date(text: str) -> str:
     return "coalesce(" + ", ".join(one(p) for p in (*_DATES, "20[0-9]{2}-[0-9]{2}-[0-9]{2}")) + f", try_strptime(nullif(regexp_extract({text}, '20[0-9]{{6}}'), ''), '%Y%m%d'))"
 
 
-_NEAR = ", ".join(f"case when contains(text, '{k}') then {_first_date(f'substr(text, instr(text, {chr(39)}{k}{chr(39)}), {len(k) + checklist.NEAR})')} end" for k in _ISSUE)
+_NEAR = ", ".join(f"case when contains(text, '{k}') then {_first_date(f'substr(text, instr(text, {chr(39)}{k}{chr(39)}), {len(k) + 80})')} end" for k in _ISSUE)
 
 _PAD = "list_resize(list_transform(regexp_extract_all(split_part(ltrim(trim({0}), 'v'), '-', 1), '[0-9]+'), lambda x: x::int), greatest(3, len(regexp_extract_all(split_part(ltrim(trim({0}), 'v'), '-', 1), '[0-9]+'))), 0)[1:3]"
 
@@ -188,13 +194,15 @@ select *, round(usd * 1350, 4) as krw, round(usd * 0.5, 8) as batch_usd from g""
     "ensemble_vote": f"""with {BLOCKS}, d as (select doc_id, line_no, parent_level as near, ({_DRAW})::int as level from blocks, range(5) t(draw) where ambiguous),
 v as (select doc_id, line_no, level, count(*) as votes, max(near) as near from d group by all)
 select doc_id, line_no, level, votes from v qualify row_number() over (partition by doc_id, line_no order by votes desc, abs(level - coalesce(near, 0)), level) = 1""",
-    "style_fallback": f"""with st as (select * from {_values(queries.STYLES)} t(template, seq, id, name, char, para)), ch as (select * from {_values(queries.CHARS)} t(template, seq, id, pt)),
-nm as (select * from {_values(styles.NAMES.items())} t(n, level)), sz as (select * from {_values([(s, i, lv) for s, ls in styles.SIZES.items() for i, lv in enumerate(ls)])} t(pt, o, level)),
+    "style_fallback": f"""with pt as (select p_brand || '-' || (p_size % 20) as template, p_partkey as k, p_name from part),
+st as (select template, k as seq, 's' || k as id, case when k % 5 < 3 then (['바탕글', '제목 1', ' 제목1 ', '본문1', 'Heading 2', '□ 4칸', '* 9칸'])[k // 3 % 7 + 1] else p_name end as name, 'c' || (k // 2 * 2) as char, 'p' || (k % 9) as para from pt where k % 3 = 0),
+ch as (select template, k as seq, 'c' || k as id, ([20.0, 18.0, 16.0, 15.0, 13.0, 10.0])[k // 2 % 6 + 1] as pt from pt where k % 2 = 0),
+nm as (select * from {_values(_STYLE_LEVELS)} t(n, level)), sz as (select * from {_values(_SIZE_LEVELS)} t(pt, o, level)),
 named as (select template, level, para, char, id as style, name from st join nm on trim(st.name) = n qualify row_number() over (partition by template, level order by seq) = 1),
 free as (select t.template, sz.*, row_number() over (partition by t.template, pt order by o) as k from (select distinct template from ch) t, sz where not exists (select 1 from named n where n.template = t.template and n.level = sz.level)),
 ids as (select *, row_number() over (partition by template, pt order by seq) as k from ch),
 sized as (select f.template, f.level, i.id from free f join ids i on i.template = f.template and i.pt = f.pt and i.k = f.k),
-spine as (select template, level from (values ('t1'), ('t2'), ('t3')) t(template), range(11) r(level)),
+spine as (select template, level from (select distinct template from pt) t, range(11) r(level)),
 j as (select s.*, n.para, n.char, n.style, n.name, z.id as zid from spine s left join named n using (template, level) left join sized z using (template, level)),
 k as (select template, level, coalesce(para, 'dp' || level) as para, coalesce(char, zid, 'dc' || level) as char, coalesce(style, 'ds' || level) as style, name, style is null and level > 0 as is_fallback, case when char is null and zid is null then 10.0 + level end as own from j)
 select k.template, k.level::int as level, k.para, k.char, k.style, k.name, coalesce(own, ch.pt)::double as font_pt, is_fallback from k left join ch on ch.template = k.template and ch.id = k.char""",
@@ -202,11 +210,12 @@ select k.template, k.level::int as level, k.para, k.char, k.style, k.name, coale
 h as (select *, nullif(regexp_extract(text, '^\s*\[\s*서식\s*([0-9]+)\s*\]', 1), '') as no from p),
 s as (select *, count(no) over w as segment, last_value(case when no is not null then {{'i': 'form_' || no, 'l': trim(text)}} end ignore nulls) over w as o, count(no) over (partition by doc_id) as c from h window w as (partition by doc_id order by para_index rows unbounded preceding))
 select doc_id, para_index, coalesce(o.i, 'form_0') as form_id, coalesce(o.l, '(단일 문서)') as form_label, segment, r % 4 = 1 as is_table, case when r % 4 = 1 then dense_rank() over (partition by doc_id, segment, r % 4 = 1 order by para_index) - 1 end as form_table_ordinal from s where c = 0 or o is not null""",
-    "label_hints": f"""with c as (select r::int as row, c::int as col, k::int as doc_id, ({_values([tuple(queries.LABELS)])[8:-1].replace('(', '[', 1)[::-1].replace(')', ']', 1)[::-1]})[(k * 3 + r * 2 + c) % {len(queries.LABELS)} + 1] as text from range(5) a(k), range(3) b(r), range(4) d(c)),
+    "label_hints": f"""with c as (select p_partkey // 60 as doc_id, (p_partkey // 12 % 5)::bigint as table_idx, (p_partkey // 4 % 3)::bigint as row, p_partkey % 4 as col,
+  case when p_partkey % 11 = 10 then p_type else (['설립년도', '총 원', '발행일', '전화번호', '회사 주소', '금액', 'E-MAIL', '건수', '담당자', '비고', '그 밖', '', '등록  번호', '회 수', 'amount'])[(p_partkey * 3 + p_size) % 15 + 1] end as text from part),
 h as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as clean from c),
 g as (select *, {_HINTS} as hh from h),
-f as (select *, lag(case when (col = 0 or col % 2 = 0) and length(text) between 1 and 20 and (hh.t <> 'text' or hh.u <> '') then hh end) over (partition by doc_id, row order by col) as l from g)
-select doc_id, row, col, text, l.t as hint_type, l.u as hint_unit from f where l is not null""",
+f as (select *, lag(case when (col = 0 or col % 2 = 0) and length(text) between 1 and 20 and (hh.t <> 'text' or hh.u <> '') then hh end) over (partition by doc_id, table_idx, row order by col) as l, lag(col) over (partition by doc_id, table_idx, row order by col) as lc from g)
+select doc_id, table_idx, row, col, text, l.t as hint_type, l.u as hint_unit from f where l is not null and lc = col - 1""",
     "missing_required": """with m as (select o_orderkey % 50 as doc_id, o_orderkey % 7 as form_id, o_orderkey as id from orders where o_custkey % 3 <> 0 and not (o_orderkey % 9 <> 0 and o_orderkey % 4 = 2 and coalesce(o_orderstatus, '') not in ('', '0')))
 select doc_id, form_id, count(*) as n, min(id) as first_field from m group by doc_id, form_id""",
     "id_remap": """with o as (select p_brand as g, max(p_partkey % 40) as top from part where p_size < 10 group by p_brand),
@@ -222,9 +231,9 @@ select p_brand as "group", coalesce(new_id, p_partkey % 80) as id, p_partkey fro
     "issued_date_text": f"""with t as (select o_orderkey, '접수 2010-01-02 ' || repeat('x', o_orderkey % 97) || case when o_orderkey % 3 = 0 then '발급일: ' else '작성일 ' end || repeat('y', o_orderkey % 89) ||
   case o_orderkey % 4 when 0 then (year(o_orderdate) + 10) || '년 ' || month(o_orderdate) || '월 ' || day(o_orderdate) || '일' when 1 then (year(o_orderdate) + 10) || '. ' || month(o_orderdate) || '. ' || day(o_orderdate) || '.' when 2 then (year(o_orderdate) + 10) || '-13-45' else 'none' end as text from orders)
 select o_orderkey, strftime(coalesce({_NEAR}, {_first_date('text')}), '%Y-%m-%d') as issued_date from t""",
-    "verify_scores": f"""with {TEXTS}, c as (select doc_id, [not (contains(text, '0.  0.') or contains(text, '월    일')), ({_count('text', verify.DOUBLE_BULLETS)}) = 0,
-  {" + ".join(f"contains(text, '{x}')::int" for x in verify.CHAPTERS)} >= 3, {" + ".join(f"contains(text, '{x}')::int" for x in verify.SYMBOLS)} = 4,
-  ({_count('text', verify.FORMAL)}) > 20 and ({_count('text', verify.VAGUE)}) < 5, paragraphs * 4 / 35 between 10 and 55, filled_cells / total_cells >= 0.5] as checks from texts join fills using (doc_id)),
+    "verify_scores": f"""with {TEXTS}, c as (select doc_id, [not (contains(text, '0.  0.') or contains(text, '월    일')), ({_count('text', ('□ □', '○ ○', '❍ ❍', '― ―', '- - '))}) = 0,
+  {" + ".join(f"contains(text, '{x}')::int" for x in 'ⅠⅡⅢⅣ')} >= 3, {" + ".join(f"contains(text, '{x}')::int" for x in '□○―※')} = 4,
+  ({_count('text', '임음함됨')}) > 20 and ({_count('text', ('할 수 있', '가능하다', '것이다'))}) < 5, paragraphs * 4 / 35 between 10 and 55, filled_cells / total_cells >= 0.5] as checks from texts join fills using (doc_id)),
 g as (select doc_id, len(list_filter(checks, lambda x: x)) as passed, 7::bigint as total from c)
 select doc_id, passed, total, round(passed / total * 100, 4) as rate, case when passed / total >= 0.9 then 'Excellent' when passed / total >= 0.7 then 'Good' when passed / total >= 0.5 then 'Fair' else 'Poor' end as grade, passed / total >= 0.7 as ok from g""",
     "table_fill": f"with {TEXTS} select * from fills",
@@ -244,12 +253,14 @@ select *, substr(regexp_replace(trim(regexp_replace(topic, '[^A-Za-z0-9가-힯_\
     "text_likeness": """with d as (select doc_id, text from documents union all values (-1, '捤獥ab汤捯捤獥汤捯'), (-2, ''), (-3, '우편번호'), (-4, '捤獥汤捯a')), r as (select doc_id, text, len(regexp_extract_all(text, '[가-힣 -~]')) as g from d)
 select doc_id, text <> '' and g / length(text) >= 0.2 as looks, text <> '' and g / length(text) >= 0.95 as looks_well from r""",
     "truncate_notice": f"select doc_id, md5({_MD5_TRUNC}) as cut, length({_MD5_TRUNC})::int as n from documents",
-    "semver_choice": f"""with v as (select * from {_values(list(enumerate(queries.VERSIONS)))} t(i, s)), p as (select i, {_PAD.format('s')} as v from v)
-select a.i, b.i as j, array_to_string(a.v, '.') as va, case when b.v > a.v then 'update' when b.v = a.v then 'same' else 'none' end as choice from p a join p b on a.i <> b.i""",
+    "semver_choice": f"""with p as (select p_partkey as i, p_size // 20 || '.' || p_size % 12 || '.' || p_size % 7 as t, (p_size // 20)::varchar as major, p_size // 20 || '.' || p_size % 12 as two from part),
+s as (select i, case i % 7 when 0 then t when 1 then 'v' || t when 2 then t || '-rc' || (i % 10) when 3 then two when 4 then major when 5 then '' else ' v' || t || '.9-beta' end as s from p),
+v as (select i, {_PAD.format('s')} as v from s)
+select a.i, array_to_string(a.v, '.') as va, case when b.v > a.v then 'update' when b.v = a.v then 'same' else 'none' end as choice from v a join v b on b.i = a.i + 1""",
     "search_page": "with h as (select o_orderkey, o_orderdate::date as day, row_number() over (order by o_orderdate::date desc, o_orderkey) as n from orders where contains(o_orderpriority, 'URGENT') and o_orderdate::date between date '1995-01-01' and date '1997-12-31') select n::int as n, o_orderkey, strftime(day, '%Y-%m-%d') as day from h where n between 21 and 40",
-    "json_items": f"""with p as (select i as page, b::json as j from {_values(list(enumerate(queries.PAGES)))} t(i, b)),
-q as (select page, j, j->'$.response.body.items' as it, j->>'$.response.header.resultCode' as code from p),
-u as (select page, unnest(case when json_type(it) = 'ARRAY' then it::json[] when json_type(it->'$.item') = 'ARRAY' then (it->'$.item')::json[] else [it->'$.item'] end) as r from q where code = '00')
-select page::int as page, null::varchar as error, coalesce(r->>'$.bidNtceNo', '') as bid_no, coalesce(r->>'$.dminsttNm', '') as agency, coalesce(trunc(try_cast(replace(r->>'$.asignBdgtAmt', ',', '') as double))::bigint, 0) as amount_krw, coalesce(r->>'$.ntceSpecFileDwldUrl1', '') as urls from u
-union all select page::int, j->>'$.response.header.resultMsg', '', '', 0, '' from q where code <> '00'""",
+    "json_items": """with o as (select *, o_orderkey // 40 as page, row_number() over (partition by o_orderkey // 40 order by o_orderkey) as n from orders)
+select page, null::varchar as error, 'A' || o_orderkey as bid_no, o_orderpriority as title, case when o_orderkey % 5 = 0 then '' else 'org ' || (o_orderkey % 5) end as agency,
+  case o_orderkey % 4 when 0 then floor(o_totalprice)::bigint when 1 then o_orderkey else 0 end as amount_krw, case when o_orderkey % 3 = 0 then 'https://x.org/' || o_orderkey || '.pdf' else '' end as urls
+from o where page % 4 in (0, 2) or (page % 4 = 1 and n = 1)
+union all select distinct page, 'no key ' || page, '', '', '', 0, '' from o where page % 4 = 3""",
 }

@@ -107,22 +107,29 @@ def ensemble_vote(spark, sf_dir):
     return resolve.vote(draws)
 
 
-STYLES = (
-    ("t1", 0, "s0", "바탕글", "c0", "p0"), ("t1", 1, "s1", "제목 1", "c1", "p1"), ("t1", 2, "s2", " 제목1 ", "c2", "p2"), ("t1", 3, "s3", "본문1", "c3", "p3"), ("t1", 4, "s4", "other", "c4", "p4"),
-    ("t2", 0, "s0", "Heading 2", "c9", "p0"),
-)
-CHARS = (
-    ("t1", 0, "c0", 10.0), ("t1", 1, "c1", 20.0), ("t1", 2, "c2", 18.0), ("t1", 3, "c3", 16.0), ("t1", 4, "c4", 15.0), ("t1", 5, "c5", 15.0), ("t1", 6, "c6", 18.0),
-    ("t2", 0, "c9", 18.0), ("t2", 1, "c8", 18.0), ("t2", 2, "c7", 13.0),
-)
+#: Names that some of a template's styles have, in turn with other ones.
+STYLE_NAMES = ("바탕글", "제목 1", " 제목1 ", "본문1", "Heading 2", "□ 4칸", "* 9칸")
+FONT_POINTS = (20.0, 18.0, 16.0, 15.0, 13.0, 10.0)
+
+
+def _template():
+    return F.concat("p_brand", F.lit("-"), F.col("p_size") % 20)
+
+
+def _styles(spark, sf_dir):
+    """(styles, characters) of templates: parts of a brand and size."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    own = part.filter("p_partkey % 3 = 0")
+    style = own.select(_template().alias("template"), k.alias("seq"), F.concat(F.lit("s"), k).alias("id"), F.when(k % 5 < 3, pick(STYLE_NAMES, F.expr("p_partkey div 3") % 7)).otherwise(F.col("p_name")).alias("name"), F.concat(F.lit("c"), F.expr("p_partkey div 2 * 2")).alias("char"), F.concat(F.lit("p"), k % 9).alias("para"))
+    chars = part.filter("p_partkey % 2 = 0").select(_template().alias("template"), k.alias("seq"), F.concat(F.lit("c"), k).alias("id"), pick(FONT_POINTS, F.expr("p_partkey div 2") % 6).alias("height_pt"))
+    return style, chars
 
 
 def style_fallback(spark, sf_dir):
-    style = spark.createDataFrame(list(STYLES), "template string, seq int, id string, name string, char string, para string")
-    chars = spark.createDataFrame(list(CHARS), "template string, seq int, id string, height_pt double")
+    style, chars = _styles(spark, sf_dir)
     defaults = spark.createDataFrame([(k, f"dp{k}", f"dc{k}", f"ds{k}", float(10 + k)) for k in range(11)], "level int, para string, char string, style string, font_pt double")
-    templates = spark.createDataFrame([("t1",), ("t2",), ("t3",)], "template string")
-    return styles.style_map(templates, style, chars, defaults)
+    return styles.style_map(table(spark, sf_dir, "part").select(_template().alias("template")), style, chars, defaults)
 
 
 def _paragraphs(spark, sf_dir):
@@ -143,8 +150,11 @@ LABELS = ("설립년도", "총 원", "발행일", "전화번호", "회사 주소
 
 
 def label_hints(spark, sf_dir):
-    cells = spark.createDataFrame([(k, 0, 0, r, c, LABELS[(k * 3 + r * 2 + c) % len(LABELS)]) for k in range(5) for r in range(3) for c in range(4)], "doc_id int, para_index int, table_idx int, row int, col int, text string")
-    return forms.hinted(cells).select("doc_id", "row", "col", "text", "hint_type", "hint_unit")
+    k = F.col("p_partkey")
+    text = F.when(k % 11 == 10, F.col("p_type")).otherwise(F.get(F.array(*map(F.lit, LABELS)), ((k * 3 + F.col("p_size")) % len(LABELS)).cast("int")))
+    place = {"doc_id": F.expr("p_partkey div 60"), "para_index": F.lit(0), "table_idx": F.expr("p_partkey div 12 % 5"), "row": F.expr("p_partkey div 4 % 3"), "col": k % 4}
+    cells = table(spark, sf_dir, "part").select(*(c.alias(n) for n, c in place.items()), text.alias("text"))
+    return forms.hinted(cells).select("doc_id", "table_idx", "row", "col", "text", "hint_type", "hint_unit")
 
 
 def missing_required(spark, sf_dir):
@@ -316,16 +326,17 @@ def truncate_notice(spark, sf_dir):
     return docs.select("doc_id", F.md5(X.truncate(F.col("text"), 500)).alias("cut"), F.length(X.truncate(F.col("text"), 500)).alias("n"))
 
 
-VERSIONS = ("0.15.0", "v0.16.0", "0.16.0-rc1", "1.2", "2", "", "v1.10.3-beta", "1.9.9.9")
-
-
 def semver_choice(spark, sf_dir):
-    a = spark.createDataFrame([(i, v) for i, v in enumerate(VERSIONS)], "i int, a string")
-    b = spark.createDataFrame([(j, v) for j, v in enumerate(VERSIONS)], "j int, b string")
-    df = a.join(F.broadcast(b), F.col("i") != F.col("j"))
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    major, minor, fix = (F.expr(f"cast(p_size {how} as string)") for how in ("div 20", "% 12", "% 7"))
+    plain = F.concat_ws(".", major, minor, fix)
+    text = F.when(k % 7 == 0, plain).when(k % 7 == 1, F.concat(F.lit("v"), plain)).when(k % 7 == 2, F.concat(plain, F.lit("-rc"), k % 10)).when(k % 7 == 3, F.concat_ws(".", major, minor))
+    text = text.when(k % 7 == 4, major).when(k % 7 == 5, "").otherwise(F.concat(F.lit(" v"), plain, F.lit(".9-beta")))
+    mine = part.select(k.alias("i"), text.alias("a"))
+    other = part.select((k - 1).alias("i"), text.alias("b"))
     va, vb = X.semver(F.col("a")), X.semver(F.col("b"))
     newer = F.when(vb > va, "update").when(vb == va, "same").otherwise("none")
-    return df.select("i", "j", F.array_join(va.cast("array<string>"), ".").alias("va"), newer.alias("choice"))
+    return mine.join(other, "i").select("i", F.array_join(va.cast("array<string>"), ".").alias("va"), newer.alias("choice"))
 
 
 def search_page(spark, sf_dir):
@@ -334,17 +345,25 @@ def search_page(spark, sf_dir):
     return found.select("n", "o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
-PAGES = (
-    '{"response":{"header":{"resultCode":"00"},"body":{"totalCount":2,"items":[{"bidNtceNo":"A1","bidNtceNm":"one","asignBdgtAmt":"1,200","ntceSpecFileDwldUrl1":"https://x.org/a.pdf"},{"bidNtceNo":"A2","asignBdgtAmt":"x"}]}}}',
-    '{"response":{"header":{"resultCode":"00"},"body":{"items":{"item":{"bidNtceNo":"B1","dminsttNm":"org","asignBdgtAmt":12.9}}}}}',
-    '{"response":{"header":{"resultCode":"00"},"body":{"items":{"item":[{"bidNtceNo":"C1"},{"bidNtceNo":"C2"}]}}}}',
-    '{"response":{"header":{"resultCode":"99","resultMsg":"no key"}}}',
-)
+def _pages(spark, sf_dir):
+    """(page, body): responses of a tender service, forty orders a page, in the shapes that it sends."""
+    k = F.col("o_orderkey")
+    amount = F.when(k % 4 == 0, F.format_number(F.floor("o_totalprice"), 0)).when(k % 4 == 1, F.concat(k, F.lit(".9"))).when(k % 4 == 2, "x")
+    url = F.when(k % 3 == 0, F.concat(F.lit("https://x.org/"), k, F.lit(".pdf"))).when(k % 3 == 1, "ftp://x.org/a")
+    fields = {"bidNtceNo": F.concat(F.lit("A"), k), "bidNtceNm": F.col("o_orderpriority"), "dminsttNm": F.nullif(F.concat(F.lit("org "), k % 5), F.lit("org 0")), "asignBdgtAmt": amount, "ntceSpecFileDwldUrl1": url, "note": F.lit("http://no")}
+    page = F.expr("o_orderkey div 40").alias("page")
+    rows = table(spark, sf_dir, "orders").groupBy(page).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), F.to_json(F.struct(*(v.alias(n) for n, v in fields.items()))).alias("j")))).alias("all"))
+    items = F.transform("all", lambda r: r["j"])
+    many = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    shape = F.when(F.col("page") % 4 == 0, many).when(F.col("page") % 4 == 1, F.concat(F.lit('{"item":'), F.get(items, F.lit(0)), F.lit("}"))).otherwise(F.concat(F.lit('{"item":'), many, F.lit("}")))
+    good = F.concat(F.lit('{"response":{"header":{"resultCode":"00"},"body":{"items":'), shape, F.lit("}}}"))
+    failed = F.concat(F.lit('{"response":{"header":{"resultCode":"99","resultMsg":"no key '), F.col("page"), F.lit('"}}}'))
+    return rows.select("page", F.when(F.col("page") % 4 == 3, failed).otherwise(good).alias("body"))
 
 
 def json_items(spark, sf_dir):
-    pages = spark.createDataFrame([(i, p) for i, p in enumerate(PAGES)], "page int, body string")
-    return jsonio.tenders(pages).select("page", "error", F.coalesce("bid_no", F.lit("")).alias("bid_no"), "agency", "amount_krw", F.coalesce(F.array_join(jsonio.attachment_urls(F.col("raw")), ","), F.lit("")).alias("urls"))
+    rows = jsonio.tenders(_pages(spark, sf_dir))
+    return rows.select("page", "error", F.coalesce("bid_no", F.lit("")).alias("bid_no"), "title", "agency", "amount_krw", F.coalesce(F.array_join(jsonio.attachment_urls(F.col("raw")), ","), F.lit("")).alias("urls"))
 
 
 QUERIES = {

@@ -50,7 +50,9 @@ def listing(spark: SparkSession, folder: str, recursive: bool = False, pattern:
 def texts(spark: SparkSession, folder: str, pattern: str = "*.txt", recursive: bool = True) -> DataFrame:
     """(path, text) of text files, one row a file, without byte order marks."""
     df = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), X.drop_byte_order_marks(F.col("value")).alias("text"))
+    # The reader's own column is encoded as in addresses, other listings are not.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.select(path.alias("path"), X.drop_byte_order_marks(F.col("value")).alias("text"))
 
 
 def parts(spark: SparkSession, folder: str, wanted: str = ".*", pattern: str = "*.hwpx") -> DataFrame:
@@ -82,8 +84,9 @@ def failed(df: DataFrame) -> DataFrame:
 
 
 def as_xml(df: DataFrame) -> DataFrame:
-    """Parts with their data as text in `xml`."""
-    return df.filter("data is not null").withColumn("xml", F.decode("data", "UTF-8")).drop("data")
+    """Parts with their data as text in `xml`; what is no text, such as an image, has signs in the
+    place of its broken ones."""
+    return df.filter("data is not null").withColumn("xml", F.make_valid_utf8(F.col("data").cast("string"))).drop("data")
 
 
 def section_number(part: Column) -> Column:
@@ -225,12 +228,40 @@ def page_setup(df: DataFrame) -> DataFrame:
     return _rows_of(df, _page_rows, "width string, top string, bottom string, left string, right string, header string, footer string")
 
 
-def full_text(found: DataFrame, most: int = 500_000) -> DataFrame:
-    """(path, text): paragraphs with text joined by line ends, sections, in the order of their numbers, by blank lines."""
+def full_text(found: DataFrame, most: int | None = 500_000) -> DataFrame:
+    """(path, text): paragraphs with text joined by line ends, sections, in the order of their
+    numbers, by blank lines; whole without `most`."""
     rows = found.filter("all_text <> ''").groupBy("path", section_number(F.col("part")).alias("section")).agg(F.array_sort(F.collect_list(F.struct("para_index", "all_text"))).alias("rows"))
     sections = rows.select("path", "section", F.array_join(F.transform("rows", lambda r: r["all_text"]), "\n").alias("body"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda s: s["body"]), "\n\n")
-    return sections.groupBy("path").agg(X.truncate(text, most).alias("text"))
+    return sections.groupBy("path").agg((text if most is None else X.truncate(text, most)).alias("text"))
+
+
+def read_texts(df: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, text, error) of packages from their section parts, in one pass over them.
+
+    Sections that are no XML count as errors where no other gives text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, part, data, error in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), batch.column("error").to_pylist(), strict=True):
+                text = None
+                if error is None and data.is_valid:
+                    try:
+                        text = "\n".join(t for _, _, t, _ in _paragraph_rows(ET.fromstring(data.as_buffer())) if t)
+                    except ET.ParseError as e:
+                        error = f"{part}: {e}"
+                out.append((path, int(part.rpartition("section")[2].removesuffix(".xml")) if part else -1, text, error))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], ["path", "section", "text", "error"])
+
+    rows = df.select("path", "part", "data", "error").mapInArrow(run, "path string, section long, text string, error string")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("section", "text")))), lambda s: s["text"]), "\n\n")
+    body = F.nullif(body, F.lit(""))
+    whole = rows.groupBy("path").agg((body if most is None else X.truncate(body, most)).alias("text"), F.max("error").alias("_error"))
+    return whole.select("path", "text", F.when(F.col("text").isNull(), F.col("_error")).alias("error"))
 
 
 def counts(found: DataFrame) -> DataFrame:
@@ -387,16 +418,22 @@ def added(paragraphs_: DataFrame, tables: DataFrame, cells_: DataFrame) -> DataF
     return own.join(asked, "path", "full").select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("paragraphs_added", "tables_added")), F.coalesce("errors", none).alias("errors"))
 
 
-def section_xml(paragraphs_: DataFrame, tables: DataFrame | None = None, properties: DataFrame | None = None) -> DataFrame:
-    """(path, part, data): a section from paragraphs (path, seq, type, text, para, char, style).
+def section_xml(paragraphs_: DataFrame, tables: DataFrame | None = None, properties: DataFrame | None = None, lead: DataFrame | None = None) -> DataFrame:
+    """(path, part, data): a section from paragraphs (path, seq, type, text, para, char, style),
+    which may have `xml` of their own.
 
     `tables` are cells as `table_paragraphs` takes them; `properties` (path, xml) are a template's
-    section properties, which stay before everything else.
+    section properties, which stay before everything else; `lead` (path, seq, p) are paragraphs
+    as XML that come next.
     """
     text = X.escape_html(F.col("text"))
     ref = lambda name, c: F.concat(F.lit(f' {name}="'), F.coalesce(F.col(c).cast("string"), F.lit("0")), F.lit('"'))
     p = F.concat(F.lit("<hp:p"), ref("paraPrIDRef", "para"), ref("styleIDRef", "style"), F.lit("><hp:run"), ref("charPrIDRef", "char"), F.lit("><hp:t>"), F.replace(text, F.lit("&nbsp;"), F.lit(" ")), F.lit("</hp:t></hp:run></hp:p>"))
+    if "xml" in paragraphs_.columns:
+        p = F.coalesce("xml", p)
     rows = paragraphs_.select("path", F.col("seq").cast("long").alias("seq"), p.alias("p"))
+    if lead is not None:
+        rows = rows.unionByName(lead.select("path", (F.col("seq") - F.lit(1 << 61)).alias("seq"), "p"))
     if tables is not None:
         rows = rows.unionByName(table_paragraphs(tables).withColumn("seq", F.col("seq").cast("long")))
     if properties is not None:

@@ -1,0 +1,148 @@
+from __future__ import annotations
+
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators import verify
+from quire.sources import builder, containers, headers, packages
+
+HH, HP, HS = (packages.SPACES[k] for k in ("hh", "hp", "hs"))
+
+
+def head(body):
+    return f'<?xml version="1.0" encoding="UTF-8"?><hh:head xmlns:hh="{HH}"><hh:refList>{body}</hh:refList></hh:head>'.encode()
+
+
+OWN = head(
+    '<hh:fontfaces itemCnt="2"><hh:fontface id="1" name="Batang"/><hh:fontface id="3" name="Dotum"/></hh:fontfaces>'
+    '<hh:borderFills itemCnt="1"><hh:borderFill id="4"/></hh:borderFills>'
+    '<hh:charProperties itemCnt="1"><hh:charPr id="7" height="1000"><hh:fontRef hangul="1" latin="1"/></hh:charPr></hh:charProperties>'
+    '<hh:paraProperties itemCnt="2"><hh:paraPr id="8"><hh:heading type="NUMBER" idRef="1"/><hh:border borderFillIDRef="4"/></hh:paraPr><hh:paraPr id="2"/></hh:paraProperties>'
+    '<hh:styles itemCnt="1"><hh:style id="0" name="own" paraPrIDRef="2" charPrIDRef="7" nextStyleIDRef="0"/></hh:styles>'
+)
+OTHER = head(
+    '<hh:fontfaces><hh:fontface id="1" name="Dotum"/><hh:fontface id="2" name="New"/><hh:fontface id="9" name="unused"/></hh:fontfaces>'
+    '<hh:borderFills><hh:borderFill id="1"/><hh:borderFill id="2"/><hh:borderFill id="3"/></hh:borderFills>'
+    '<hh:tabProperties><hh:tabPr id="5"/></hh:tabProperties>'
+    '<hh:charProperties><hh:charPr id="1" borderFillIDRef="2"><hh:fontRef hangul="1" latin="2"/></hh:charPr><hh:charPr id="2"/><hh:charPr id="10"><hh:fontRef hangul="2"/></hh:charPr></hh:charProperties>'
+    '<hh:paraProperties><hh:paraPr id="3" tabPrIDRef="5"><hh:border borderFillIDRef="3"/></hh:paraPr><hh:paraPr id="4"/></hh:paraProperties>'
+    '<hh:styles><hh:style id="6" name="a" paraPrIDRef="3" charPrIDRef="10" nextStyleIDRef="7"/><hh:style id="7" name="b" paraPrIDRef="4" charPrIDRef="2" nextStyleIDRef="6"/><hh:style id="8" name="c"/></hh:styles>'
+)
+FRONT = f'<hs:sec xmlns:hs="{HS}" xmlns:hp="{HP}"><hp:p paraPrIDRef="3" styleIDRef="6"><hp:run charPrIDRef="1"><hp:secPr id="x"/><hp:t>cover &lt;1&gt;</hp:t></hp:run><hp:linesegarray><hp:lineseg vertsize="20000"/></hp:linesegarray></hp:p><hp:p paraPrIDRef="99" charPrIDRef="1"/></hs:sec>'.encode()
+
+
+def cell(text):
+    return f"<hp:tc><hp:subList><hp:p><hp:run><hp:t>{text}</hp:t></hp:run></hp:p></hp:subList></hp:tc>"
+
+
+SECTION = (
+    f'<hs:sec xmlns:hs="{HS}" xmlns:hp="{HP}"><hp:p><hp:run><hp:secPr id="s"><hp:pagePr width="59528"/></hp:secPr></hp:run></hp:p>'
+    '<hp:p paraPrIDRef="2" pageBreak="0"><hp:run charPrIDRef="7"><hp:t>Ⅰ. old chapter</hp:t></hp:run><hp:linesegarray/></hp:p>'
+    f'<hp:p paraPrIDRef="8"><hp:run><hp:tbl treatAsChar="1"><hp:tr>{cell("1")}{cell("")}{cell("old section")}</hp:tr></hp:tbl></hp:run></hp:p>'
+    "<hp:p><hp:run><hp:t>old text</hp:t></hp:run></hp:p></hs:sec>"
+).encode()
+MANIFEST = b'<opf:package><opf:manifest><opf:item id="header" href="Contents/header.xml"/><opf:item id="section0" href="Contents/section0.xml"/></opf:manifest><opf:spine><opf:itemref idref="section0"/></opf:spine></opf:package>'
+TEMPLATE = {"mimetype": b"application/hwp+zip", "Contents/header.xml": OWN, "Contents/section0.xml": SECTION, "Contents/content.hpf": MANIFEST, "Preview/PrvImage.png": b"\x89PNG", "settings.xml": b'<ns0:a xmlns:ns0="u"/>'}
+
+
+def parts(spark, **packages_):
+    rows = [(path, name, bytearray(data), None) for path, own in packages_.items() for name, data in own.items()]
+    return spark.createDataFrame(rows, packages.PARTS)
+
+
+def header_of(spark, path, data):
+    return spark.createDataFrame([(path, "Contents/header.xml", bytearray(data), None)], packages.PARTS)
+
+
+def test_merged_headers_resolve_every_reference(spark):
+    own, other = header_of(spark, "d", OWN), header_of(spark, "d", OTHER)
+    front = spark.createDataFrame([("d", "Contents/section0.xml", bytearray(FRONT), None)], packages.PARTS)
+    both = headers.merge(own, other, front).cache()
+    merged = both.filter("part = 'Contents/header.xml'")
+    found = headers.nodes(merged).collect()
+    there = {(r.kind, r.id): r for r in found}
+    assert len(there) == len(found)
+    for r in found:
+        assert all((n.kind, n.id) in there for n in r.needs), r
+    # Taken over: what the front needs and no more, behind the largest ids, fonts by name.
+    new = {k for k in there if k not in {(r.kind, r.id) for r in headers.nodes(own).collect()}}
+    assert new == {("fontface", 4), ("borderFill", 5), ("borderFill", 6), ("tabPr", 0), ("charPr", 8), ("charPr", 9), ("charPr", 10), ("paraPr", 9), ("paraPr", 10), ("style", 1), ("style", 2)}
+    assert there["fontface", 4].name == "New" and {there["style", k].name for k in (1, 2)} == {"a", "b"}
+    assert {(n.kind, n.id) for n in there["charPr", 8].needs} == {("borderFill", 5), ("fontface", 3), ("fontface", 4)}
+    names = {(r.kind, r.id): r for r in packages.header(merged).collect()}
+    assert names["style", "1"].para == "9" and names["style", "1"].char == "10"
+    xml = bytes(merged.first().data).decode()
+    assert 'borderFills itemCnt="3"' in xml and 'fontfaces itemCnt="3"' in xml and "unused" not in xml
+    section = both.filter("part like '%section%'").first()
+    text = bytes(section.data).decode()
+    assert 'paraPrIDRef="9"' in text and 'styleIDRef="1"' in text and 'charPrIDRef="8"' in text and 'paraPrIDRef="99"' in text and "lineseg" not in text
+    own_ids = {(r.kind, r.id) for r in headers.used(both.filter("part like '%section%'")).collect()} - {("paraPr", 99)}
+    assert own_ids <= set(there)
+
+
+def test_a_broken_header_is_an_error(spark):
+    own, other = header_of(spark, "d", b"<broken"), header_of(spark, "d", OTHER)
+    front = spark.createDataFrame([("d", "Contents/section0.xml", bytearray(FRONT), None)], packages.PARTS)
+    got = {r.part: r for r in headers.merge(own, other, front).collect()}
+    assert got["Contents/header.xml"].error and bytes(got["Contents/header.xml"].data) == b"<broken"
+
+
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("built") / "out")
+    templates = parts(spark, t=TEMPLATE, u={k: v for k, v in TEMPLATE.items() if k != "Preview/PrvImage.png"})
+    documents = spark.createDataFrame([("a.hwpx", "t"), ("b.hwpx", "u")], "path string, template string")
+    rows = [("H1", "Ⅰ. 장 <&>"), ("H2", "1 첫 절"), ("L1", "항목"), ("H2", "둘째 절"), ("H1", "Ⅱ. 장"), ("H2", "3 셋째 절")]
+    paragraphs = spark.createDataFrame([(p, k, t, x, "2", "7", "0") for p in ("a.hwpx", "b.hwpx") for k, (t, x) in enumerate(rows)], "path string, seq int, type string, text string, para string, char string, style string")
+    front = spark.createDataFrame([("a.hwpx", "Contents/section0.xml", bytearray(FRONT), None)], packages.PARTS)
+    other = header_of(spark, "a.hwpx", OTHER)
+    builder.write(builder.build(documents, paragraphs, templates), out)
+    with_front = builder.build(documents.filter("path = 'a.hwpx'"), paragraphs.filter("path = 'a.hwpx'"), templates, fronts=front, reference=other)
+    builder.write(with_front.withColumn("path", F.lit("front.hwpx")), out)
+    return out
+
+
+def test_packages_pass_all_checks(spark, built):
+    back = containers.read(spark, built, "*.hwpx")
+    assert back.filter("error is not null").count() == 0
+    figures = verify.part_figures(packages.as_xml(back).withColumnRenamed("path", "doc_id"))
+    names = {"File Structure", "Manifest Integrity", "Namespace Pollution", "Table treatAsChar", "Lineseg Anomaly"}
+    got = verify.run(figures, [c for c in verify.COMMON if c.name in names]).collect()
+    assert len(got) == 3 * len(names) and all(r.passed for r in got), [r for r in got if not r.passed]
+
+
+def test_headings_take_the_templates_form(spark, built):
+    with zipfile.ZipFile(f"{built}/a.hwpx") as z:
+        assert set(z.namelist()) == set(TEMPLATE) and z.namelist()[0] == "mimetype"
+        section, header = z.read("Contents/section0.xml").decode(), z.read("Contents/header.xml").decode()
+        assert z.read("Preview/PrvImage.png") == TEMPLATE["Preview/PrvImage.png"] and "ns0" not in z.read("settings.xml").decode()
+    assert 'type="NONE"' in header and "old" not in section and section.count("secPr") == 2
+    back = containers.read(spark, built, "a.hwpx").filter("part = 'Contents/section0.xml'")
+    text = [r.all_text for r in packages.paragraphs(back).orderBy("para_index").collect()]
+    assert text == ["", "Ⅰ. 장 <&>", "1 첫 절", "항목", "2 둘째 절", "Ⅱ. 장", "1 셋째 절"]
+    cells = [(r.para_index, r.col, r.text) for r in packages.cells(back).orderBy("para_index", "col").collect()]
+    assert cells == [(2, 0, "1"), (2, 1, ""), (2, 2, " 첫 절"), (4, 0, "2"), (4, 1, ""), (4, 2, " 둘째 절"), (6, 0, "1"), (6, 1, ""), (6, 2, " 셋째 절")]
+    assert section.count('pageBreak="1"') == 3
+    with zipfile.ZipFile(f"{built}/b.hwpx") as z:
+        assert "Preview/PrvImage.png" not in z.namelist() and len(z.namelist()) == len(TEMPLATE) - 1
+
+
+def test_fronts_lead_with_their_own_styles(spark, built):
+    back = containers.read(spark, built, "front.hwpx")
+    section = back.filter("part = 'Contents/section0.xml'")
+    text = [r.all_text for r in packages.paragraphs(section).orderBy("para_index").collect()]
+    assert text[:4] == ["", "cover <1>", "", "Ⅰ. 장 <&>"] and len(text) == 9
+    there = {(r.kind, r.id) for r in headers.nodes(back.filter("part = 'Contents/header.xml'")).collect()}
+    used = {(r.kind, r.id) for r in headers.used(section).collect()}
+    assert used - there <= {("paraPr", 99), ("paraPr", 0), ("charPr", 0)} and ("paraPr", 9) in used
+
+
+def test_manifests_name_further_sections(spark):
+    made = spark.createDataFrame([("x", f"Contents/section{k}.xml", bytearray(SECTION)) for k in (0, 1, 12)], "path string, part string, data binary")
+    documents = spark.createDataFrame([("x", "t")], "path string, template string")
+    for manifest in (MANIFEST, b"<other/>"):
+        got = builder.assembled(documents, parts(spark, t=TEMPLATE | {"Contents/content.hpf": manifest}), made)
+        figures = verify.part_figures(packages.as_xml(got.withColumn("error", F.lit(None).cast("string"))).withColumnRenamed("path", "doc_id")).first()
+        assert figures.unreferenced == 0 and figures.has_second

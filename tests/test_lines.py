@@ -5,6 +5,7 @@ import re
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.operators import lines, outline
 
@@ -179,3 +180,54 @@ def test_summary_table_edits(spark):
     edits = spark.createDataFrame([(1, 1, 0, "new")], "table_id int, row int, col int, new_text string")
     got = sorted((r["row"], r.col, r.text) for r in outline.edit_summary(rows, ["11"], edits).collect())
     assert got == [(0, 0, "00"), (0, 1, "01"), (1, 0, "new"), (1, 1, "21"), (2, 0, "30"), (2, 1, "31")]
+
+
+@pytest.fixture(scope="module")
+def long_lines(spark):
+    """Documents of some thousand lines, one of them with a null id."""
+    import random
+
+    rng = random.Random(8)
+    marks = ["body line 다", "# Ⅰ. x", "# 제목", "#  Ⅰ. y", "## x", "### x", "### 1) x", "#### x", "##### x", "□ x", "❍ x", "- x", "· x", "※ x", "", "---", "□ ", "짧은 줄"]
+    rows = []
+    for doc, n in ((1, 4000), (2, 3), (3, 700), (None, 900)):
+        weights = [rng.random() ** 3 for _ in marks]
+        rows += [(doc, k, rng.choices(marks, weights)[0]) for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, line_no int, raw string").repartition(5).cache()
+
+
+@pytest.mark.parametrize("segment", [1, 7, 1000, 10_000])
+def test_segments_give_what_windows_give(long_lines, segment):
+    def same(a, b):
+        assert a.columns == b.columns and a.exceptAll(b).count() == 0 == b.exceptAll(a).count() and a.count() > 1000
+
+    same(lines.blocks(long_lines, segment=segment), lines.blocks(long_lines))
+    heads = outline.classified(long_lines.withColumnRenamed("raw", "s"))
+    same(outline.numbered(heads, segment), outline.numbered(heads))
+    found = outline.numbered(heads)
+    same(outline.page_breaks(found, segment), outline.page_breaks(found))
+
+
+def test_a_long_document_takes_many_tasks(spark):
+    """300,000 lines of one document: no task gets more than a segment or two."""
+    rows = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") == 5, "# 제목").when(F.col("id") % 1000 == 999, "# Ⅰ. x").when(F.col("id") % 7 == 0, "- x").otherwise("body 다").alias("raw"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        got = lines.blocks(rows, segment=10_000)
+        largest = got.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+        assert largest[0] <= 50_000 and largest[1] >= 12
+        titles = got.filter("level = -1").collect()
+        assert [r.line_no for r in titles] == [5]
+        assert got.filter("level = 1").count() == 300
+        assert {r.parent_level for r in got.filter("line_no > 1000 and level = 8").select("parent_level").distinct().collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_large_documents_are_told_by_their_text(spark):
+    docs = spark.createDataFrame([(1, "# 제목\n□ a\n" * 50), (2, "# 제목\n- b"), (3, None)], "doc_id long, text string")
+    whole = lines.blocks(lines.lines(docs))
+    parts = lines.blocks_of(docs, most=100, segment=3)
+    assert parts.exceptAll(whole).count() == 0 == whole.exceptAll(parts).count()

@@ -316,3 +316,176 @@ def test_events_for_the_log(spark):
     row = spark.range(1).select(events.impression(F.lit("adsense"), F.lit(1.5), slot="top").alias("i"), events.click(F.lit("coupang"), F.lit(2.0), partner=F.lit("p9")).alias("c"), events.load_failure(F.lit("x"), F.lit("r" * 300), F.lit(3.0)).alias("f")).first()
     assert tuple(row.i) == (1.5, "ad_impression", "adsense", "", "top") and tuple(row.c) == (2.0, "ad_click", "coupang", "p9", "")
     assert len(row.f.reason) == 120
+
+
+def test_many_hints_run_through_one_automaton(spark, monkeypatch):
+    """As the pairwise test tells; hints in one group or in many; no loop over pairs in the plan."""
+    import random
+
+    from quire.operators import checklist
+
+    rng = random.Random(3)
+    letters = "abc_ -가"
+    files = [(f"/in/{''.join(rng.choice(letters) for _ in range(rng.randint(1, 12)))}.pdf", k) for k in range(300)] + [(None, 900), ("/in/.x", 901)]
+    required = [(k, [("".join(rng.choice(letters) for _ in range(rng.randint(0, 4)))).upper() for _ in range(rng.randint(0, 5))] or None) for k in range(80)]
+    f = spark.createDataFrame(files, "path string, size_bytes long").repartition(3)
+    r = spark.createDataFrame(required, "seq int, hints array<string>")
+    want = r.join(f, checklist.has_keyword(F.col("path"), F.col("hints")), "left").select("seq", "size_bytes")
+    for most in (1 << 24, 30, 1):
+        monkeypatch.setattr(checklist, "MOST_HINT_CHARS", most)
+        got = checklist.matches(r, f)
+        assert got.columns == ["seq", "hints", "path", "size_bytes"] and got.schema["seq"].dataType == r.schema["seq"].dataType
+        assert got.select("seq", "size_bytes").exceptAll(want).count() == 0 == want.exceptAll(got.select("seq", "size_bytes")).count()
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert checklist.matches(r.filter("seq < 0"), f).count() == 0
+
+
+def test_a_hundred_thousand_hints(spark, small):
+    from quire.operators import checklist
+
+    orders = spark.read.parquet(f"{small}/orders.parquet").select(F.concat(F.lit("/in/order_"), "o_orderkey", F.lit("_x.pdf")).alias("path"), "o_orderkey")
+    required = spark.range(100_000).select(F.col("id").alias("seq"), F.array(F.concat(F.lit("order "), "id", F.lit("_X"))).alias("hints"))
+    got = checklist.matches(required, orders).filter("path is not null")
+    want = orders.filter("o_orderkey < 100000").count()
+    assert got.count() == want and got.filter("seq <> o_orderkey").count() == 0
+
+
+def test_plans_of_several_tenders(spark):
+    from quire.operators import checklist
+
+    rows = [(t, s, f"n{s % 2}", f"/in/{s}.pdf" if s != 1 else None) for t in ("a", "b") for s in range(4)]
+    got = checklist.plan(spark.createDataFrame(rows, "tender string, seq int, name string, path string"), F.lit("same.pdf"), ["tender"])
+    assert sorted(map(tuple, got.collect())) == [(t, s, s + 1, f"/in/{s}.pdf", f"same{m}.pdf") for t in ("a", "b") for s, m in ((0, ""), (2, "_1"), (3, "_2"))]
+
+
+def test_writers_of_a_catalog_lose_nothing(spark, tmp_path):
+    """Several writers at once: all entries are there, under names of their own; a double one fails once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quire.sources.catalog import Catalog, put_if_absent
+
+    with ThreadPoolExecutor(4) as pool:
+        names = list(pool.map(lambda k: Catalog(spark, str(tmp_path)).add(str(k), f"n{k}", "form.hwpx", "2024-01-01"), range(6)))
+    rows = Catalog(spark, str(tmp_path)).rows().collect()
+    assert sorted(r.id for r in rows) == list("012345") and sum(r.is_default for r in rows) == 1
+    assert sorted(names) == sorted(r.file for r in rows) == ["form.hwpx", *(f"form_{k}.hwpx" for k in range(1, 6))]
+
+    def double(_):
+        try:
+            return Catalog(spark, str(tmp_path)).add("x", "x", "x", "2024-01-01")
+        except ValueError:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(double, range(3)), key=str) == [None, None, "x"]
+    assert not put_if_absent(spark, str(tmp_path / "log/000000000000.json"), "other")
+
+
+def test_versions_go_on(spark):
+    from quire.sources.catalog import versioned
+
+    names = spark.createDataFrame([("a_240101_v007.hwpx",), ("old_v003.hwpx",), ("none.hwpx",)], "name string")
+    got = versioned(spark.createDataFrame([("y",), ("x",), ("y",)], "path string"), names, "draft", "240102")
+    assert sorted(map(tuple, got.collect())) == [("x", "draft_240102_v008.hwpx"), ("y", "draft_240102_v009.hwpx")]
+    assert versioned(spark.createDataFrame([("x",)], "path string"), names.limit(0), "d", "t").first().name == "d_t_v001.hwpx"
+
+
+def test_a_report_has_all_its_rows_in_order(spark):
+    from quire.operators import events
+
+    rows = [(1.0, events.CLICK, "b"), (1.0, events.CLICK, "adsense"), (1.0, events.IMPRESSION, "a")]
+    since = F.timestamp_seconds(F.lit(0))
+    got = events.ordered(events.dashboard(spark.createDataFrame(rows, "ts double, event string, channel string"), since)).collect()
+    assert [(r["rank"], r.channel, r.clicks) for r in got] == [(1, "adsense", 1), (2, "a", 0), (3, "b", 1), (4, None, 2)]
+    empty = events.dashboard(spark.createDataFrame([], "ts double, event string, channel string"), since).collect()
+    assert [tuple(r) for r in empty] == [(None, 0, 0, 0, 0.0, 0.0)]
+
+
+def fold(n, ops):
+    """Row edits one after the other on a plain list of (source, copied)."""
+    rows = [(r, False) for r in range(n)]
+    for at, op in ops:
+        if 0 <= at < len(rows):
+            if op == "delete":
+                del rows[at]
+            elif op == "duplicate":
+                rows.insert(at + 1, (rows[at][0], True))
+    return rows
+
+
+def test_row_edits_by_runs_are_the_fold():
+    import random
+
+    rng = random.Random(2)
+    for case in range(60):
+        n = rng.choice([0, 1, 2, 7, 50])
+        ops = [(rng.randint(-1, n + 3), rng.choice(["delete", "duplicate", "duplicate", "other"])) for _ in range(rng.choice([0, 5, 700]))]
+        rows = forms.Rows(n)
+        for op in ops:
+            rows.edit(*op)
+        got = [(first + k, copied) for _, first, length, copied in rows.runs() for k in range(length)]
+        assert got == fold(n, ops), case
+        assert [at for at, *_ in rows.runs()] == [sum(m for _, _, m, _ in list(rows.runs())[:k]) for k in range(len(list(rows.runs())))]
+
+
+def test_a_hundred_thousand_row_edits(spark):
+    import random
+
+    rng = random.Random(4)
+    n, ops = 20_000, [(k, rng.randrange(20_000), rng.choice(["delete", "duplicate"])) for k in range(100_000)]
+    cells = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(0).alias("para_index"), F.lit(0).alias("table_idx"), F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), F.concat(F.lit("t"), "id").alias("text"))
+    edits = spark.createDataFrame([(1, 0, 0, *op) for op in ops], "doc_id int, para_index int, table_idx int, seq int, source_row int, op string")
+    got = sorted((r["row"], r.was_row, r.text) for r in forms.apply_row_ops(cells, edits).collect())
+    want = [(k, None if copied else source, "" if copied else f"t{source}") for k, (source, copied) in enumerate(fold(n, [op[1:] for op in ops]))]
+    assert got == want
+
+
+def plain_objects(text):
+    """Objects behind the first bracket, depth and quotes told character by character."""
+    found, at, decoder = [], text.find("["), json.JSONDecoder()
+    while at >= 0 and (at := text.find("{", at)) >= 0:
+        try:
+            value, at = decoder.raw_decode(text, at)
+            found.append(value)
+            continue
+        except ValueError:
+            pass
+        depth, quoted, escaped, end = 0, False, False, -1
+        for i in range(at, len(text)):
+            c = text[i]
+            if escaped or c == "\\":
+                escaped = not escaped
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted and c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    end = i + 1
+                    break
+        if end < 0:
+            break
+        at = end
+    return found
+
+
+def test_recovery_of_random_cuts_and_of_long_responses():
+    import random
+    import time
+
+    rng = random.Random(6)
+    whole = json.dumps([{"line_no": k, "level": k % 11, "reason": rng.choice(['a } "b" \\ {', "plain", "\\", '"', "한글"])} for k in range(40)], ensure_ascii=False)
+    for _ in range(600):
+        text = whole[rng.randrange(40) : rng.randrange(len(whole))]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(['"', "{", "}", "\\", "[", "x", ""]) + text[at + rng.randrange(3) :]
+        assert resolve._objects(text) == plain_objects(text), text
+
+    def seconds(n):
+        damaged = "[" + ", ".join('{"line_no": %d, "level": 1 "reason": "broken"}' % k for k in range(n)) + ', {"line_no": 1, "level": 1}'
+        began = time.process_time()
+        assert len(resolve._objects(damaged)) == 1
+        return len(damaged), time.process_time() - began
+
+    (short, a), (long, b) = seconds(20_000), seconds(230_000)
+    assert long > 10_000_000 and b < 3 * a * long / short + 1

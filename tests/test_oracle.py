@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import lines
-from quire.plans import further, manuscript, oracle, queries
+from quire.plans import files, further, manuscript, oracle, queries
 
-QUERIES, SQL = queries.QUERIES | further.QUERIES, oracle.SQL | further.SQL
+QUERIES, SQL = queries.QUERIES | further.QUERIES | files.QUERIES, oracle.SQL | further.SQL | files.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
