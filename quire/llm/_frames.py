@@ -2,44 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI.
+from pyspark.sql.window import Window
 
-    The cluster names it in spark.checkpoint.dir.  Only where that is unset, as in tests on
-    one machine, a temporary folder is made and named as the session's checkpoint folder.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    if "://" in named or named.startswith("file:"):
-        return named
-    # Without a scheme it lies in the cluster's default file system.
-    default = sc._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
-    return f"file://{named}" if default.startswith("file:") else default.rstrip("/") + named
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name within the shared folder."""
-    base = shared_dir(spark)
-    if base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base.removeprefix("file:")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from quire.sources.shared import fresh_dir, shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,23 +15,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The same rows as a compressed table in the shared folder, for those that are many."""
-    spark = df.sparkSession
-    folder = fresh_dir(spark, what)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+#: Spark's own setting that a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more.
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The same rows as a compressed table in the shared folder, for those that are many.
 
-    The driver's Python gives up its references in the background, hence the second turn.
+    The table is all that is read from then on, so the shuffle files behind it need not stay.
     """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.5)
-        spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    folder = fresh_dir(spark, what)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def tasks(files: DataFrame, size: str, each: int) -> int:
@@ -78,11 +46,14 @@ def tasks(files: DataFrame, size: str, each: int) -> int:
 
 
 def numbered(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Adds row numbers from 0 in the given total order: a range sort, then a prefix sum of
-    the partitions' sizes; no window over all rows and nothing but sizes on the driver."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    rows = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rows, schema)
+    """Adds row numbers from 0 in the given total order: a range sort, written once, then a prefix
+    sum over one small row a partition; no window over all rows."""
+    placed = stored(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # The generated number is the partition's, shifted, and the row's within it.
+    placed = placed.select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_row"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(ends), "_part").select(*df.columns, (F.col("_before") + F.col("_row")).alias(name))
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", most: int = 10_000) -> DataFrame:

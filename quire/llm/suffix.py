@@ -14,11 +14,13 @@ has exactly one), which leaves a position in 16.
   threshold: their bytes are fetched and the 64-bit hashes of their 50-byte strings compared.
 
 Nothing is paired: a rank's group is streamed in sorted order, and equal rows of one task are
-settled before the shuffle.  Texts travel by document twice, for the bytes of the open rows and
-for the removal.
+settled before the shuffle.  Ranks that very many rows share, told by a sample, are dealt by their
+second rank and in the end string by string; that changes tasks, not results.  Texts travel by
+document twice, for the bytes of the open rows and for the removal.
 
-Defined cases: a null text is empty; a null doc_id counts as larger than every other; rows
-that repeat a doc_id do not remove bytes of each other; texts of fewer than 50 bytes stay
+Defined cases: a null text is empty; a null doc_id counts as larger than every other, and ids
+from 2^62 on as null ones; rows that repeat a doc_id, null ones too, do not remove bytes of each
+other; texts of fewer than 50 bytes stay
 whole; an empty table gives an empty result; other columns are left alone.
 """
 
@@ -37,14 +39,20 @@ from quire.llm import _flat, _frames
 SPAN = 50
 GRAM = 20
 LAST = (1 << 63) - 1
+#: Documents without an id are numbered from here on; ids must be smaller.
+NO_ID = 1 << 62
+#: Rows that share a rank before it is hot, the part of the documents that is sampled for that, hot
+#: ranks at most (they are shipped), and tasks that one is dealt over at most.
+HOT, SAMPLED, MOST_HOT, SALTS = 4096, 64, 1 << 16, 256
 
 #: A place: 19 bits that tell rows of one doc_id apart, 32 of the anchor's position, 6 of the
 #: bytes between the first window's start and the anchor, 6 of the windows less one.
 _TAG, _POS, _LEAD = 44, 12, 6
+TAG_BITS = 19
 
 
-def anchors(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For each anchor: its text, rank, next rank, and place; `off` bounds the texts."""
+def anchors(data: np.ndarray, off: np.ndarray, tag: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """For each anchor: its text, rank, next rank, and place; `off` bounds the texts, `tag` are theirs."""
     n, width = len(data) - gram + 1, span - gram + 1
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
     if len(data) < span:
@@ -52,7 +60,7 @@ def anchors(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRA
     hasher = _flat.Hasher(data)
     at = np.arange(n)
     rank = hasher(at, at + gram)
-    bits = np.uint64(24 if n < 1 << 24 else 32)
+    bits = np.uint64(32)  # one width whatever the step's size, so that equal windows choose alike
     least = ((rank >> bits) << bits) | at.astype(np.uint64)
     reach = 1
     while 2 * reach <= width:
@@ -69,7 +77,6 @@ def anchors(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRA
     anchor, start, stop = chosen[first], whole[first], whole[last]
     owner = np.searchsorted(off, anchor, "right") - 1
     second = _flat.mix(hasher(start, stop + span) + (anchor - start).astype(np.uint64) * _flat._ODD[33])
-    tag = (hasher(off[:-1], off[1:]) >> np.uint64(64 - 19)).astype(np.int64)
     place = (tag[owner] << _TAG) | ((anchor - off[owner]) << _POS) | ((anchor - start) << _LEAD) | (stop - start)
     return owner, rank[anchor], second, place
 
@@ -80,31 +87,63 @@ def window_range(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return place >> _TAG, start, place & 63
 
 
-ROWS = "rank long, second long, doc long, place long, settled boolean"
+ROWS = "rank long, salt int, second long, doc long, place long, settled boolean"
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for the sort.  Equal ranks within a step are settled here: all but the first document's go."""
+def _order(doc: np.ndarray) -> np.ndarray:
+    """Documents as they count: all without an id alike, behind those with one."""
+    return np.minimum(doc, NO_ID)
+
+
+def _emit(hot: np.ndarray) -> Callable:
+    """Rows for the sort.  Equal ranks within a step are settled here: all but the first document's go.
+
+    Rows of `hot` ranks are dealt by their second rank as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in _flat.steps(batches):
+            ids, tag = step.column("doc").to_numpy(), step.column("tag").to_numpy()
+            owner, rank, second, place = anchors(*_flat.flat(step.column("text")), tag)
+            doc = ids[owner]
+            order = np.lexsort((place, doc, second, rank))
+            rank, second, doc, place = rank[order], second[order], doc[order], place[order]
+            settled = np.zeros(len(rank), bool)
+            salt = np.where(np.isin(rank.view(np.int64), hot), second & np.uint64(SALTS - 1), 0).astype(np.int32)
+            if len(rank):
+                fresh = np.concatenate([[True], (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])])
+                lowest = np.repeat(doc[fresh], np.diff(np.append(np.flatnonzero(fresh), len(doc))))
+                settled = _order(doc) > _order(lowest)
+                # Settled rows take no part in the sort; their rank only spreads them.
+                rank = np.where(settled, _flat.mix(place.astype(np.uint64) + doc.astype(np.uint64)), rank)
+                salt[settled] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(salt), pa.array(second.view(np.int64)), pa.array(doc), pa.array(place), pa.array(settled)], ["rank", "salt", "second", "doc", "place", "settled"])
+
+    return run
+
+
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for step in _flat.steps(batches):
-        ids = step.column("doc").to_numpy()
-        owner, rank, second, place = anchors(*_flat.flat(step.column("text")))
-        doc = ids[owner]
-        order = np.lexsort((place, doc, second, rank))
-        rank, second, doc, place = rank[order], second[order], doc[order], place[order]
-        if len(rank):
-            fresh = np.concatenate([[True], (rank[1:] != rank[:-1]) | (second[1:] != second[:-1])])
-            lowest = np.repeat(doc[fresh], np.diff(np.append(np.flatnonzero(fresh), len(doc))))
-            settled = doc > lowest
-            # Settled rows take no part in the sort; their rank only spreads them.
-            rank = np.where(settled, _flat.mix(place.astype(np.uint64) + doc.astype(np.uint64)), rank)
-        else:
-            settled = np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(second.view(np.int64)), pa.array(doc), pa.array(place), pa.array(settled)], ["rank", "second", "doc", "place", "settled"])
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, rank, _, _ = anchors(*_flat.flat(step.column("text")), step.column("tag").to_numpy())
+        token, n = np.unique(rank.view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["rank", "n"])
+
+
+def hot_ranks(texts: DataFrame) -> np.ndarray:
+    """Ranks that many rows share, told by a sample: they are dealt otherwise, with the same result."""
+    counts = texts.select("text", "tag").sample(1 / SAMPLED, seed=5).mapInArrow(_ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= HOT // SAMPLED).orderBy(F.col("n").desc(), "rank").limit(MOST_HOT)
+    return np.sort(np.array([r["rank"] for r in top.select("rank").collect()], np.int64))
+
+
+def _settle(hot: np.ndarray) -> Callable:
+    return lambda batches: _settled_rows(batches, hot)
+
+
+def _settled_rows(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Streams rows in sorted order.  Out: removed rows (settled), and rows to be ranked on:
-    those of each class's lowest document, where a rank has several classes."""
+    those of each class's lowest document, where a rank has several classes or, being hot, may
+    have others elsewhere."""
     empty = np.zeros(0, np.int64)
     before = None  # (rank, second, lowest document) of the last unsettled row
     held, several = [empty] * 3, False  # lowest rows of the last rank while it has one class
@@ -120,14 +159,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lowest = np.empty(len(r), np.int64)
             lowest[:head] = before[2] if before else 0
             lowest[head:] = np.repeat(d[starts], np.diff(np.append(starts, len(r))))
-            done.append((d[d > lowest], p[d > lowest]))
-            own = d == lowest
+            gone = _order(d) > _order(lowest)
+            done.append((d[gone], p[gone]))
+            own = ~gone
             rows = [np.concatenate([h, x[own]]) for h, x in zip(held, (r, d, p), strict=True)]
             further = np.concatenate([np.zeros(len(held[0]), bool), (new_class & ~new_rank)[own]])
             goes_on = before is not None and r[0] == before[0]
             if len(rows[0]):
                 first = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
-                many = np.logical_or.reduceat(further, first)
+                many = np.logical_or.reduceat(further, first) | np.isin(rows[0][first], hot)
                 many[0] |= several and goes_on and rows[0][0] == before[0]
                 # The last rank waits for the next batch unless it has several classes already.
                 several = bool(many[-1]) if rows[0][-1] == r[-1] else several and r[-1] == before[0]
@@ -151,36 +191,44 @@ def _settled(rows: list[np.ndarray], docs: np.ndarray, places: np.ndarray) -> pa
 def _by_document(rows: DataFrame, texts: DataFrame, run: Callable, schema: str, text_first: bool) -> DataFrame:
     """Rows (doc, rank, place) and texts of each document in one stream, texts first or last."""
     null = F.lit(None)
-    left = rows.select("doc", F.lit(text_first).alias("late"), "rank", "place", null.cast("string").alias("text"), null.cast("long").alias("doc_id"))
-    right = texts.select("doc", F.lit(not text_first).alias("late"), null.cast("long").alias("rank"), null.cast("long").alias("place"), "text", "doc_id")
-    return left.unionByName(right).repartition("doc").sortWithinPartitions("doc", "late", "place").mapInArrow(run, schema)
+    tag = F.shiftright("place", _TAG).alias("tag")
+    left = rows.select("doc", tag, F.lit(text_first).alias("late"), "rank", "place", null.cast("string").alias("text"), null.cast("long").alias("doc_id"))
+    right = texts.select("doc", "tag", F.lit(not text_first).alias("late"), null.cast("long").alias("rank"), null.cast("long").alias("place"), "text", "doc_id")
+    return left.unionByName(right).repartition("doc", "tag").sortWithinPartitions("doc", "tag", "late", "place").mapInArrow(run, schema)
 
 
-def _tag(raw: np.ndarray) -> int:
-    bounds = np.array([0, len(raw)])
-    return int(_flat.Hasher(raw)(bounds[:1], bounds[1:])[0] >> np.uint64(64 - 19))
+def _fetch(hot: np.ndarray) -> Callable:
+    """For each row to be ranked on, the bytes of its windows.
 
+    A window of a hot rank is a row of its own, dealt by its string, so that no rank's strings are
+    all held by one task.
+    """
+    is_hot = set(hot.tolist())
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row to be ranked on, the bytes of its windows."""
-    doc, texts = None, {}
-    for batch in batches:
-        out: list[tuple] = []
-        for d, late, rank, place, text in zip(*(batch.column(k) for k in ("doc", "late", "rank", "place", "text")), strict=True):
-            d = d.as_py()
-            if d != doc:
-                doc, texts = d, {}
-            if not late.as_py():
-                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                if len(raw) >= SPAN:
-                    texts[_tag(raw)] = raw
-                continue
-            p = place.as_py()
-            tag, start, more = window_range(p)
-            if tag in texts:
-                out.append((rank.as_py(), d, p, texts[tag][start : start + more + SPAN].tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["rank", "doc", "place", "bytes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, raw = None, b""
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, tag, late, rank, place, text in zip(*(batch.column(k).to_pylist() for k in ("doc", "tag", "late", "rank", "place")), batch.column("text"), strict=True):
+                if (doc, tag) != at:
+                    at, raw = (doc, tag), b""
+                if not late:
+                    raw = (text.as_py() or "").encode()
+                    continue
+                _, start, more = window_range(place)
+                if len(raw) < start + more + SPAN:
+                    continue
+                if rank not in is_hot:
+                    out.append((rank, doc, place, raw[start : start + more + SPAN]))
+                    continue
+                data = np.frombuffer(raw, np.uint8)[start : start + more + SPAN]
+                first = np.arange(more + 1)
+                keys = _flat.Hasher(data)(first, first + SPAN).view(np.int64)
+                out += [(int(key), doc, (tag << _TAG) | ((start + k) << _POS), data[k : k + SPAN].tobytes()) for k, key in enumerate(keys)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["rank", "doc", "place", "bytes"])
+
+    return run
 
 
 def _last_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +266,7 @@ def _last_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run, seen = rank[-1], {}
         for i in np.flatnonzero(rank[row] == run):
             seen[int(hashes[i])] = int(lowest[i])
-        gone = docs > lowest
+        gone = _order(docs) > _order(lowest)
         one = (tag[row] << _TAG) | ((start[row] + step) << _POS)
         # Neighbouring windows that go are one run again.
         keep = np.flatnonzero(gone)
@@ -237,13 +285,13 @@ def _remove(keep_bytes: bool) -> Callable:
         doc, held = None, []
         for batch in batches:
             out: list[tuple] = []
-            docs, late = batch.column("doc").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False)
+            docs, late, tags = batch.column("doc").to_numpy(), batch.column("late").to_numpy(zero_copy_only=False), batch.column("tag").to_numpy()
             places = batch.column("place").fill_null(0).to_numpy()
             texts, ids = batch.column("text"), batch.column("doc_id")
-            cuts = np.flatnonzero((docs[1:] != docs[:-1]) | late[1:] | late[:-1]) + 1
+            cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]) | late[1:] | late[:-1]) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(docs)], strict=True) if len(docs) else ():
-                if docs[lo] != doc:
-                    doc, held = docs[lo], []
+                if (docs[lo], tags[lo]) != doc:
+                    doc, held = (docs[lo], tags[lo]), []
                 if not late[lo]:
                     held.append(places[lo:hi])
                     continue
@@ -251,9 +299,9 @@ def _remove(keep_bytes: bool) -> Callable:
                 removed = np.zeros(len(raw), bool)
                 if held and len(raw) >= SPAN:
                     held = [np.concatenate(held)]
-                    tag, start, more = window_range(held[0])
-                    own = tag == _tag(raw)
+                    _, start, more = window_range(held[0])
                     cover = np.zeros(len(raw) + 1, np.int64)
+                    own = start + more + SPAN <= len(raw)
                     np.add.at(cover, start[own], 1)
                     np.add.at(cover, start[own] + more[own] + SPAN, -1)
                     removed = np.cumsum(cover[:-1]) > 0
@@ -267,25 +315,26 @@ def _remove(keep_bytes: bool) -> Callable:
     return run
 
 
-def _first_ranks(texts: DataFrame) -> DataFrame:
-    rows = texts.select("doc", "text").mapInArrow(_emit, ROWS)
-    return rows.repartition("rank").sortWithinPartitions("rank", "second", "doc", "place").mapInArrow(_settle, "rank long, doc long, place long, settled boolean")
+def _first_ranks(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    rows = texts.select("doc", "tag", "text").mapInArrow(_emit(hot), ROWS)
+    sorted_rows = rows.repartition("rank", "salt").sortWithinPartitions("rank", "salt", "second", "doc", "place")
+    return sorted_rows.mapInArrow(_settle(hot), "rank long, doc long, place long, settled boolean")
 
 
-def _last_ranks(first: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = _by_document(first.filter("not settled"), texts.filter(F.octet_length("text") >= SPAN), _fetch, "rank long, doc long, place long, bytes binary", True)
+def _last_ranks(first: DataFrame, texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    rows = _by_document(first.filter("not settled"), texts.filter(F.octet_length("text") >= SPAN), _fetch(hot), "rank long, doc long, place long, bytes binary", True)
     return rows.repartition("rank").sortWithinPartitions("rank", "doc", "place").mapInArrow(_last_rank, "doc long, place long")
 
 
 def dedup(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """One row for each row of `docs`: what goes and what is kept (as bytes, if asked for)."""
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # No frame of a finished step is kept in a name: its shuffle files can go.
-    first = _frames.stored(_first_ranks(texts), "ranks")
-    _frames.tidy(spark)
-    more = _frames.stored(_last_ranks(first, texts), "strings")
-    _frames.tidy(spark)
+    text, ids = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    # Documents without an id are told apart by their texts, and so dealt over tasks.
+    doc = F.coalesce(ids, F.lit(NO_ID) + F.xxhash64(text, F.lit(1)).bitwiseAND(NO_ID - 1))
+    texts = docs.select(doc.alias("doc"), ids.alias("doc_id"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << TAG_BITS)).alias("tag"))
+    hot = hot_ranks(texts)
+    first = _frames.stored(_first_ranks(texts, hot), "ranks")
+    more = _frames.stored(_last_ranks(first, texts, hot), "strings")
     gone = first.filter("settled").select("doc", "place").unionByName(more).withColumn("rank", F.lit(None).cast("long"))
     return _by_document(gone, texts, _remove(keep_bytes), RESULT, False)
 
