@@ -72,22 +72,22 @@ _MARKS = re.compile(r'[{}]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|\\.', re.DOTALL)
 
 def _objects(text: str) -> list:
     """Whole objects after the first bracket of an array that may be cut off."""
-    found, at, decoder = [], text.find("["), json.JSONDecoder()
+    found, at = [], text.find("[")
     while at >= 0 and (at := text.find("{", at)) >= 0:
+        depth, end = 0, -1
+        for mark in _MARKS.finditer(text, at):
+            depth += {"{": 1, "}": -1}.get(mark.group(), 0)
+            if not depth:
+                end = mark.end()
+                break
+        if end < 0:
+            break  # cut off
+        # Only the object's own text is tried: an error would count lines from the text's start.
         try:
-            value, at = decoder.raw_decode(text, at)
-            found.append(value)
+            found.append(json.loads(text[at:end]))
         except ValueError:
-            # Not an object from here on: either damaged, so look behind its end, or cut off.
-            depth, end = 0, -1
-            for mark in _MARKS.finditer(text, at):
-                depth += {"{": 1, "}": -1}.get(mark.group(), 0)
-                if not depth:
-                    end = mark.end()
-                    break
-            if end < 0:
-                break
-            at = end
+            pass  # damaged: go on behind it
+        at = end
     return found
 
 

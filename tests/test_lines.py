@@ -210,7 +210,7 @@ def test_segments_give_what_windows_give(long_lines, segment):
 
 def test_a_long_document_takes_many_tasks(spark):
     """300,000 lines of one document: no task gets more than a segment or two."""
-    rows = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") == 5, "# 제목").when(F.col("id") % 1000 == 999, "# Ⅰ. x").when(F.col("id") % 7 == 0, "- x").otherwise("body 다").alias("raw"))
+    rows = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("line_no"), F.when(F.col("id") == 5, "# 제목").when(F.col("id") % 1000 == 999, "# Ⅰ. x").when(F.col("id") % 7 == 6, "- x").otherwise("body 다").alias("raw"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
