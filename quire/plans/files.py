@@ -105,7 +105,7 @@ def row_edits(spark, sf_dir) -> DataFrame:
     """Tables of order lines: each table's second row twice, then its first goes, then a row that is not there."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("para_index"), F.lit(0).alias("table_idx"), (F.col("l_linenumber") - 1).cast("int").alias("row"), F.col("l_partkey").alias("k"))
     cells = items.groupBy("doc_id", "para_index", "table_idx", "row").agg(F.min("k").cast("string").alias("text")).withColumn("col", F.lit(0))
-    ops = F.array(F.struct(F.lit(0).alias("seq"), F.lit(1).alias("source_row"), F.lit("duplicate").alias("op")), F.struct(F.lit(1), F.lit(0), F.lit("delete")), F.struct(F.lit(2), F.lit(99), F.lit("delete")))
+    ops = F.array(*(F.struct(F.lit(n).alias("seq"), F.lit(at).alias("source_row"), F.lit(op).alias("op")) for n, at, op in ((0, 1, "duplicate"), (1, 0, "delete"), (2, 99, "delete"))))
     edits = cells.filter("doc_id % 3 <> 0").select("doc_id", "para_index", "table_idx").distinct().select("*", F.inline(ops))
     return forms.apply_row_ops(cells, edits).select("doc_id", "row", "text", "was_row")
 
@@ -115,7 +115,7 @@ QUERIES = {f.__name__: f for f in (package_texts, package_verified, record_texts
 SQL = {
     "package_texts": f"with {oracle.OUTLINE} select doc_id, count(*) as n_paragraphs, md5(string_agg(text, chr(10) order by seq)) as text from outline group by doc_id",
     "package_verified": f"with {manuscript.SQL} select distinct doc_id, unnest(['File Structure', 'Manifest Integrity', 'Namespace Pollution', 'Table treatAsChar', 'Lineseg Anomaly']) as name, unnest(['common', 'common', 'advanced', 'advanced', 'advanced']) as category, true as passed from raw_lines",
-    "record_texts": "with s as (select p_brand, p_size % 12 as n, string_agg(p_name || ' ', '' order by p_partkey) as t from part group by all) select p_brand, md5(string_agg(trim(regexp_replace(t, ' {2,}', ' ', 'g')), chr(10) order by n)) as text, 'body' as source, null::varchar as error from s group by p_brand",
+    "record_texts": "with s as (select p_brand, p_size % 12 as n, string_agg(p_name || ' ', '' order by p_partkey) as t from part group by all) select p_brand, md5(string_agg(regexp_replace(t, ' {2,}', ' ', 'g'), chr(10) order by n)) as text, 'body' as source, null::varchar as error from s group by p_brand",
     "segmented_levels": f"with {oracle.BLOCKS} select doc_id, line_no, level, ambiguous, parent_level from blocks",
     "segmented_numbers": f"""with {oracle.OUTLINE}, c as (select *, count(*) filter (type = 'H1') over (partition by doc_id order by seq) as chapter from outline),
 n as (select *, count(*) filter (type = 'H2') over (partition by doc_id, chapter order by seq) as h2_number from c)
