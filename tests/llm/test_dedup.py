@@ -252,3 +252,35 @@ def test_many_families_in_rounds_of_few_leads(make, monkeypatch):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(make(rows)).collect())
     assert got == components(rows)
     assert len({c for *_, c in got}) > 20
+
+
+def test_hot_ranks_and_texts_without_ids(make, monkeypatch):
+    """A passage in every document, most of them without ids: dealt over tasks, with the same result."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix, "SAMPLED", 1)
+    monkeypatch.setattr(suffix, "HOT", 3)
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(9))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i if i % 3 == 0 else None, f"{word()} {word()} {passage[rng.randrange(40):]} {word()} {passage[: rng.randrange(90)]}") for i in range(240)]
+    rows += [(None, rows[1][1]), (None, rows[1][1]), (9, rows[0][1]), (0, rows[4][1]), (None, None), (None, "short")]
+    docs = make(rows, 5)
+    assert removed(suffix.dedup(docs)) == plain_removal(rows)
+    texts = docs.select(F.col("doc_id").alias("doc"), "text", F.pmod(F.xxhash64("text"), F.lit(1 << 19)).alias("tag"))
+    hot = suffix.hot_ranks(texts.filter("text is not null"))
+    assert len(hot) > 3
+    # Without an id a text has a number of its own, so that no task gets all of them.
+    keys = docs.filter("doc_id is null").select((F.lit(suffix.NO_ID) + F.xxhash64("text", F.lit(1)).bitwiseAND(suffix.NO_ID - 1)).alias("doc")).distinct().count()
+    assert keys > 150
+
+
+def test_row_numbers_follow_the_order(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm import _frames
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(7)
+    got = _frames.numbered(df, F.col("k").desc(), name="n").collect()
+    assert all(r.n == 999 - r.k for r in got) and len(got) == 1000 and got[0].v == "x"
+    assert _frames.numbered(df.limit(0), F.col("k")).count() == 0
