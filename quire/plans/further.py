@@ -9,6 +9,7 @@ from quire.functions import text as X
 from quire.operators import checklist, events, forms, lines, outline, resolve, styles, transcripts, verify
 from quire.plans import oracle, queries
 from quire.plans.manuscript import raw_lines, table
+from quire.sources import shared
 
 
 def _pick(values, k):
@@ -167,7 +168,7 @@ def content_digests(spark, sf_dir):
 
 
 def failed_parses(spark, sf_dir):
-    blocks = queries._blocks(spark, sf_dir).persist()
+    blocks = shared.cut(queries._blocks(spark, sf_dir))
     counted = resolve.outcomes(resolve.merge(blocks, queries._decided(blocks).filter("doc_id % 5 <> 2")), most=40)
     answer = F.when(F.col("doc_id") % 5 == 2, _pick(("no array", "", "[]"), F.col("doc_id") % 3)).otherwise('[{"line_no": 0, "level": 1, "reason": "r"}]')
     return resolve.with_failures(counted, resolve.unreadable(blocks.select("doc_id").distinct().select("doc_id", answer.alias("response"))))
@@ -195,7 +196,7 @@ def character_css(spark, sf_dir):
 
 
 def dry_run_levels(spark, sf_dir):
-    blocks = queries._blocks(spark, sf_dir).persist()
+    blocks = shared.cut(queries._blocks(spark, sf_dir))
     merged = resolve.merge(blocks, queries._decided(blocks), dry_run=True)
     return merged.groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "changed").alias("changed"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import checklist, events, forms, lines, outline, resolve, styles, transcripts, verify
 from quire.plans.manuscript import raw_lines, table
-from quire.sources import jsonio
+from quire.sources import jsonio, shared
 
 TODAY = "2001-09-15"
 
@@ -85,12 +85,12 @@ def _decided(blocks):
 
 
 def decision_merge(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).persist()  # read for the decisions and for the merge
+    blocks = shared.cut(_blocks(spark, sf_dir))  # read for the decisions and for the merge
     return resolve.outcomes(resolve.merge(blocks, _decided(blocks)), most=40)
 
 
 def merged_levels(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).persist()
+    blocks = shared.cut(_blocks(spark, sf_dir))
     return resolve.merge(blocks, _decided(blocks)).groupBy("level").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "changed").alias("changed"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import outline
-from quire.sources import containers, headers, packages
+from quire.sources import containers, headers, packages, shared
 
 #: Stand in a template's headings for what is put there.
 TEXT, NUMBER = "", ""
@@ -102,10 +102,11 @@ def assembled(documents: DataFrame, templates: DataFrame, made: DataFrame) -> Da
 
     Headers do not number what the text numbers, and all XML is repaired.
     """
+    made = shared.cut(made.select("path", "part", "data"))
     own = documents.select("path", "template").distinct()
     theirs = own.join(templates.filter("data is not null").select(F.col("path").alias("template"), "part", "data"), "template").drop("template")
     rest = theirs.join(made.select("path", "part").distinct(), ["path", "part"], "left_anti")
-    parts = rest.unionByName(made.select("path", "part", "data"))
+    parts = rest.unionByName(made)
     sections = parts.filter(F.col("part").rlike(packages.SECTION)).select("path", "part")
     is_manifest = F.col("part") == MANIFEST
     parts = parts.filter(~is_manifest).unionByName(_manifests(parts.filter(is_manifest), sections))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import checklist, styles
-from quire.sources import packages
+from quire.sources import packages, shared
 
 # Kinds of nodes with the elements that hold them, and the attributes that refer to them.
 HOLDERS = {"borderFill": "borderFills", "tabPr": "tabProperties", "charPr": "charProperties", "paraPr": "paraProperties", "style": "styles", "fontface": "fontfaces"}
@@ -88,15 +88,11 @@ def needed(found: DataFrame, start: DataFrame) -> DataFrame:
     while n != before:
         more = reached.join(edges, KEY).select("path", F.col("_kind").alias("kind"), F.col("_id").alias("id"))
         # Ids of styles only, some hundred a package.
-        reached = _kept(reached.unionByName(more.join(found.select(*KEY).distinct(), KEY)).distinct())
+        reached = shared.cut(reached.unionByName(more.join(found.select(*KEY).distinct(), KEY)).distinct())
         n, before = reached.count(), n
     return reached
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def ids(own: DataFrame, other: DataFrame, wanted: DataFrame) -> DataFrame:
     """(path, kind, old_id, new_id) for the wanted nodes of `other`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +36,10 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     if base.startswith("file:/") and not base.startswith("file://"):
         base = "file://" + base.removeprefix("file:")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder: what is used twice is computed once, outlives
+    executors and holds none of their memory."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
