@@ -35,10 +35,13 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def classified(rows: DataFrame) -> DataFrame:
     """(doc_id, line_no, type, text, auto): lines outside tables; `auto` heads are yet to be numbered."""
+    # Each sign is looked at before the pattern that it begins; steps of their own keep the code that
+    # Spark generates small enough for the JVM to compile.
     s = F.col("s")
+    rows = once(rows.select("doc_id", "line_no", s.alias("_s")), s=F.col("_s"))
     left_out = (s == "") | s.startswith("---") | s.startswith("```") | s.startswith("> ") | _is_row(s)
     is_head = s.startswith("#")
-    bare = F.regexp_replace(s, "^#+", "")
+    bare = F.ltrim(s, F.lit("#"))
     df = once(
         rows.filter(~left_out),
         _hashes=F.when(is_head, F.length(s) - F.length(bare)).otherwise(0),
@@ -46,16 +49,20 @@ def classified(rows: DataFrame) -> DataFrame:
         _plain=F.when(F.contains(s, F.lit("**")), F.regexp_replace(s, r"\*\*(.*?)\*\*", "$1")).otherwise(s),
     )
     hashes, head, plain = F.col("_hashes"), F.col("_head"), F.col("_plain")
-    marked = F.when(plain.rlike(_u(rf"^\(\d+\){_B}+.+")), "H4").when(plain.rlike("^[①-⑳]."), "H5").when(plain.startswith("□"), "L1")
-    marked = marked.when(plain.startswith("○") | plain.startswith("❍"), "L2").when(plain.startswith("·"), "L4").when(plain.startswith("※"), "note")
+    df = once(df, _sign=F.left(plain, F.lit(1)))
+    sign = F.col("_sign")
+    circled = sign.between("①", "⑳")
+    marked = F.when((sign == "(") & plain.rlike(_u(rf"^\(\d+\){_B}+.+")), "H4").when(circled & plain.rlike("^[①-⑳]."), "H5").when(sign == "□", "L1")
+    marked = marked.when(sign.isin("○", "❍"), "L2").when(sign == "·", "L4").when(sign == "※", "note")
     marked = marked.when(s.startswith("- "), "L3").when(s.startswith("* "), "note").otherwise("L1")
-    kind = F.when(s.startswith("#"), F.when((hashes == 1) & head.rlike("^[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]"), "H1").when(hashes.between(2, 5), F.concat(F.lit("H"), hashes))).otherwise(marked)
+    kind = F.when(is_head, F.when((hashes == 1) & F.left(head, F.lit(1)).isin(*"ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ"), "H1").when(hashes.between(2, 5), F.concat(F.lit("H"), hashes))).otherwise(marked)
+    df = once(df, type=kind).filter(F.col("type").isNotNull())
     heads = F.when(hashes == 2, F.regexp_replace(head, _u(rf"^\d+\.{_B}*"), "")).when(hashes == 3, F.regexp_replace(head, _u(rf"^\d+\){_B}*"), ""))
     heads = heads.when(hashes == 4, F.regexp_replace(head, _u(rf"^\(\d+\){_B}*"), "")).when(hashes == 5, F.regexp_replace(head, rf"^[①-⑳]{_B}*", "")).otherwise(head)
-    bullets = (s.startswith("- ") | s.startswith("* ")) & ~plain.rlike("^[①-⑳□○❍·※]")
-    value = F.when(s.startswith("#"), heads).when(bullets & marked.isin("L3", "note"), T.strip(F.substr(s, F.lit(3)))).otherwise(plain)
-    df = once(df, type=kind, text=value, auto=is_head & hashes.between(3, 5))
-    return df.select("doc_id", "line_no", "type", "text", "auto").filter(F.col("type").isNotNull())
+    bullets = (s.startswith("- ") | s.startswith("* ")) & ~(circled | sign.isin(*"□○❍·※"))
+    value = F.when(is_head, heads).when(bullets & F.col("type").isin("L3", "note"), T.strip(F.substr(s, F.lit(3)))).otherwise(plain)
+    df = once(df, text=value, auto=is_head & hashes.between(3, 5))
+    return df.select("doc_id", "line_no", "type", "text", "auto")
 
 
 def _is_row(s: Column) -> Column:

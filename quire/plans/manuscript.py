@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.frames import once
+
 PREFIXES = ("# Ⅰ. ", "## ", "### ", "#### ", "##### ", "(1) ", "① ", "□ ", "❍ ", "- ", "· ", "※ ", "> ", "# ", "", "")
 ENDINGS = ("함", "추진.", "한다.", "계획", "계획")
 
@@ -18,11 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, line_no, raw, r, part): manuscript lines."""
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    df = items.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("doc_id", F.expr("l_orderkey div 40"))
+    return items.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("doc_id", F.expr("l_orderkey div 40"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): the manuscripts."""
+    return _items(spark, sf_dir).select("doc_id").distinct()
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, raw, r, part): manuscript lines."""
+    df = _items(spark, sf_dir)
     order = Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     df = df.withColumn("line_no", F.row_number().over(order) - 1)
     r = (F.col("l_partkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_suppkey")) % 16
@@ -30,7 +41,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(pick(PREFIXES, r), F.repeat(F.concat("p_name", F.lit(" ")), (1 + F.col("l_suppkey") % 8).cast("int")), pick(ENDINGS, F.expr("(l_partkey div 3) % 5")))
     first = F.col("line_no") == 0
     raw = F.when(first & (F.col("doc_id") % 3 == 0), F.concat(F.lit("# "), "p_name")).when(first & (F.col("doc_id") % 3 == 1), F.concat(F.lit("plain "), "p_name")).otherwise(body)
-    return df.select("doc_id", "line_no", raw.alias("raw"), r.alias("r"), F.col("l_partkey").alias("part"))
+    return once(df, raw=raw).select("doc_id", "line_no", "raw", r.alias("r"), F.col("l_partkey").alias("part"))
 
 
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
