@@ -7,6 +7,9 @@ one exchange and one sort.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,21 +62,27 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def skipped(raw: Column) -> Column:
     """Blank lines, rules of hyphens at the line's start, code fences and quotations."""
-    out = F.lit(False)
-    for pattern in SKIPPED:
-        out = out | _has(raw, pattern)
-    return out
+    return _skipped(raw, T.strip(raw))
+
+
+def _skipped(raw: Column, bare: Column) -> Column:
+    blank, rule, fence, quotation = SKIPPED
+    return (bare == "") | (raw.startswith("---") & _has(raw, rule)) | (raw.startswith("```") & _has(raw, fence)) | (bare.startswith(">") & _has(raw, quotation))
 
 
 def level_of(raw: Column) -> Column:
     """The level of the first rule that fits, else body.  Rules are tried on lines with their mark only."""
-    mark = F.regexp_extract(raw, rf"(?U)^{_B}*(.)", 1)
+    return _level(raw, F.left(T.strip(raw), F.lit(1)))
+
+
+def _level(raw: Column, mark: Column) -> Column:
+    """The level of a line whose first sign, blanks left out, is `mark`: only its own rule is tried."""
     hashes = marked = F
     for level, pattern in RULES:
         if pattern.startswith("^#"):
             hashes = hashes.when(_has(raw, pattern), level)
         else:
-            marked = marked.when(_has(raw, pattern), level)
+            marked = marked.when(mark.isin(*(m for m in MARKS[1:] if any(re.search(pattern, m + rest) for rest in (" x", "1) x")))) & _has(raw, pattern), level)
     by_mark = F.when(F.startswith(raw, F.lit("#")), hashes.otherwise(BODY)).when(mark.isin(*MARKS[1:]), marked.otherwise(BODY))
     return by_mark.otherwise(BODY)
 
@@ -87,7 +96,7 @@ def parts_of(raw: Column, level: Column) -> Column:
 
 def title_candidate(text: Column) -> Column:
     """Whether a body line is short and does not end like a sentence."""
-    bare = F.regexp_replace(text, "[ .,!?~]+$", "")
+    bare = F.rtrim(text, F.lit(" .,!?~"))
     return (F.length(text).between(1, SHORT)) & (bare != "") & ~F.right(bare, F.lit(1)).isin(*SENTENCE_ENDINGS)
 
 
@@ -99,22 +108,27 @@ def blocks(rows: DataFrame, long: int = LONG, segment: int | None = None) -> Dat
     With `segment`, documents are cut into so many lines, for those that no task can hold.
     """
     raw = F.col("raw")
-    df = once(rows, _titled=_has(raw, TITLE_PATTERN), _skipped=skipped(raw)).filter("_titled or not _skipped")
-    df = once(once(df, level=level_of(raw)), _parts=parts_of(raw, F.col("level")))
-    df = df.withColumn("_counts", (F.col("level") != BODY) & (F.col("_parts.text") != ""))
-    df = scans.least(df, {"_first_title": F.when(F.col("_titled"), F.col("line_no"))}, segment)
-    df = scans.least(df, {"_first_other": F.when(F.col("_counts") & ~(F.col("_titled") & (F.col("line_no") == F.col("_first_title"))), F.col("line_no"))}, segment)
+    df = once(rows, _bare=T.strip(raw))
+    df = once(df, _titled=raw.startswith("#") & _has(raw, TITLE_PATTERN), _skipped=_skipped(raw, F.col("_bare"))).filter("_titled or not _skipped")
+    df = once(df, level=_level(raw, F.left("_bare", F.lit(1)))).drop("_bare")
+    df = once(df, _parts=parts_of(raw, F.col("level")))
+    level, text = F.col("level"), F.col("_parts.text")
+    # What is asked of the text is told before the sort, so that texts go through it only where they are returned.
+    df = once(df, _symbol=F.col("_parts.symbol"), _text=text, _empty=text == "", _large=level.between(1, 10) & (F.length(text) >= long), _small=(level == BODY) & title_candidate(text)).drop("_parts")
+    # The title is its document's first line that looks like one, unless another line with a level comes before;
+    # what looks like a title and comes later changes nothing.
+    counts = (level != BODY) & ~F.col("_empty") & ~F.col("_titled")
+    df = scans.least(df, {"_first_title": F.when(F.col("_titled"), F.col("line_no")), "_first_other": F.when(counts, F.col("line_no"))}, segment)
     is_title = (F.col("line_no") == F.col("_first_title")) & (F.col("_first_other").isNull() | (F.col("_first_title") < F.col("_first_other")))
     df = df.withColumn("_is_title", F.coalesce(is_title, F.lit(False)))
-    df = df.withColumn("_parts", F.when(F.col("_is_title"), parts_of(raw, F.lit(1))).otherwise(F.col("_parts")))
-    df = df.withColumn("level", F.when(F.col("_is_title"), TITLE).otherwise(F.col("level"))).select("*", "_parts.symbol", "_parts.text")
-    df = df.filter(F.col("_is_title") | ((F.col("text") != "") & ~F.col("_skipped")))
-    df = scans.last(df, {"_heading": F.when(F.col("level").between(1, 5), F.col("level"))}, segment)
-    level = F.col("level")
+    df = df.filter(F.col("_is_title") | ~(F.col("_empty") | F.col("_skipped")))
+    df = df.withColumn("level", F.when(F.col("_is_title"), TITLE).otherwise(level))
+    df = _parents(df, segment, {"_heading": F.when(level.between(1, 5), level)})
     jumps = level.between(1, 5) & (level - F.col("_heading") > JUMP)
-    ambiguous = (level.between(1, 10) & (F.length("text") >= long)) | jumps | ((level == BODY) & title_candidate(F.col("text")))
-    df = df.withColumn("ambiguous", F.coalesce(ambiguous, F.lit(False)))
-    return with_parents(df, segment).select("doc_id", "line_no", "level", "symbol", "text", "raw", "ambiguous", "parent_level")
+    df = df.withColumn("ambiguous", F.coalesce(F.col("_large") | jumps | F.col("_small"), F.lit(False)) & (level != TITLE))
+    title = parts_of(raw, F.lit(1))
+    symbol, text = (F.when(F.col("_is_title"), title[name]).otherwise(F.col(f"_{name}")).alias(name) for name in ("symbol", "text"))
+    return df.select("doc_id", "line_no", "level", symbol, text, "raw", "ambiguous", "parent_level")
 
 
 def blocks_of(docs: DataFrame, text: str = "text", most: int = 1 << 24, segment: int = 1 << 17) -> DataFrame:
@@ -126,13 +140,19 @@ def blocks_of(docs: DataFrame, text: str = "text", most: int = 1 << 24, segment:
 
 def with_parents(df: DataFrame, segment: int | None = None) -> DataFrame:
     """Adds parent_level: of a body line that of the last other block, else the nearest lower level before."""
+    return _parents(df, segment, {})
+
+
+def _parents(df: DataFrame, segment: int | None, more: Mapping[str, Column]) -> DataFrame:
+    """The same, with `more` last values out of the same scan."""
     level = F.col("level")
     lowers = [k for k in range(TITLE, 10) if k != BODY]
-    df = scans.last(df, {**{f"_at{k}": F.when(level == k, F.col("line_no")) for k in lowers}, "_other": F.when(level != BODY, level)}, segment)
-    df = df.withColumn("_last", F.array(*(F.struct(F.col(f"_at{k}").alias("at"), F.lit(k).alias("level")) for k in lowers)))
-    nearest = F.array_max(F.filter("_last", lambda x: x["at"].isNotNull() & (x["level"] < level)))["level"]
+    # The line's number and, as its last digits, its level: the largest is the nearest.
+    at = lambda k: F.col("line_no").cast("long") * 16 + (k - TITLE)
+    df = scans.last(df, {**{f"_at{k}": F.when(level == k, at(k)) for k in lowers}, "_other": F.when(level != BODY, level), **more}, segment)
+    nearest = F.greatest(*(F.when(level > k, F.col(f"_at{k}")) for k in lowers)).bitwiseAND(15) + TITLE
     parent = F.when(level == TITLE, F.lit(None)).when(level == BODY, F.col("_other")).otherwise(nearest)
-    return df.withColumn("parent_level", parent.cast("int")).drop("_last", "_other", *(f"_at{k}" for k in lowers))
+    return df.withColumn("parent_level", parent.cast("int")).drop("_other", *(f"_at{k}" for k in lowers))
 
 
 def type_of(level: Column) -> Column:
