@@ -49,14 +49,15 @@ def part_figures(parts: DataFrame) -> DataFrame:
     part, xml = F.col("part"), F.coalesce(F.col("xml"), F.lit(""))
     first = part == "Contents/section0.xml"
     section = part.rlike(r"^Contents/section.*\.xml$")
+    held = lambda signs: F.contains(xml, F.lit(signs))
     figures = parts.groupBy("doc_id").agg(
         F.bool_or(F.contains(part, F.lit("section"))).alias("has_section"),
         F.bool_or(part == "Contents/header.xml").alias("has_header"),
         F.bool_or(part == "Contents/content.hpf").alias("has_manifest"),
         F.bool_or(part == "Contents/section1.xml").alias("has_second"),
-        F.sum(F.when(first, F.regexp_count(xml, F.lit('treatAsChar="1"'))).otherwise(0)).alias("as_char"),
-        F.sum(F.when(part.endswith(".xml"), F.regexp_count(xml, F.lit(r"</?ns\d+:"))).otherwise(0)).alias("prefixes"),
-        F.sum(F.when(first, F.regexp_count(xml, F.lit(r'vertsize="\d{5,}"'))).otherwise(0)).alias("tall_lines"),
+        F.sum(F.when(first & held('treatAsChar="1"'), F.regexp_count(xml, F.lit('treatAsChar="1"'))).otherwise(0)).alias("as_char"),
+        F.sum(F.when(part.endswith(".xml") & (held("<ns") | held("</ns")), F.regexp_count(xml, F.lit(r"</?ns\d+:"))).otherwise(0)).alias("prefixes"),
+        F.sum(F.when(first & held('vertsize="'), F.regexp_count(xml, F.lit(r'vertsize="\d{5,}"'))).otherwise(0)).alias("tall_lines"),
         F.collect_set(F.when(section, F.regexp_replace(part, r"^Contents/|\.xml$", ""))).alias("_sections"),
         F.max(F.when(part == "Contents/content.hpf", xml)).alias("_manifest"),
     )

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
+from quire.functions.frames import once
 from quire.operators import styles
 
 SECTION = r"^Contents/section\d+\.xml$"
@@ -154,8 +155,22 @@ def _rows_of(df: DataFrame, reader: Callable[[ET.Element], Iterator[tuple]], sch
 
 
 def _paragraph_rows(tree: ET.Element) -> Iterator[tuple]:
-    for i, p in enumerate(_children(tree, "p")):
-        yield i, _own_text(p), _texts(p), len(_tables(p))
+    local = _Locals()
+    for i, p in enumerate(c for c in tree if local[c.tag] == "p"):
+        names = [local[n.tag] for n in p.iter()]
+        n_tables = names.count("tbl")
+        text = "".join(n.text for n, name in zip(p.iter(), names, strict=True) if name == "t" and n.text) if "t" in names else ""
+        # A run that stands alone, and no table: all text is the paragraph's own.
+        plain = n_tables == 0 and len(p) == 1 and names[1] == "run" and names[0] != "t"
+        yield i, text if plain else _own_text(p), text, n_tables
+
+
+class _Locals(dict):
+    """Tags without their name spaces, each cut once."""
+
+    def __missing__(self, tag: str) -> str:
+        self[tag] = _local(tag)
+        return self[tag]
 
 
 def paragraphs(df: DataFrame) -> DataFrame:
@@ -282,21 +297,46 @@ FLOWING = (('treatAsChar="1"', 'treatAsChar="0"'), ('horzRelTo="COLUMN"', 'horzR
 def repair(xml: Column, tables: bool = False) -> Column:
     """XML as the reader expects it: a declaration, no numbered prefixes, entities escaped once;
     for tables also the attributes that let them break across pages."""
+    # Each step is taken only where the signs stand that all its patterns need.
+    xml = _escaped_once(_unprefixed(xml))
+    return _declared(_flowing(xml) if tables else xml)
+
+
+def _unprefixed(xml: Column) -> Column:
+    out = xml
     for pattern, to in PREFIXES:
-        xml = F.regexp_replace(xml, pattern, to)
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(xml.rlike(r"ns\d"), out).otherwise(xml)
+
+
+def _escaped_once(xml: Column) -> Column:
+    out = xml
     for name in ENTITIES:
-        xml = F.replace(xml, F.lit(f"&amp;{name};"), F.lit(f"&{name};"))
-    if tables:
-        for pattern, to in FLOWING:
-            xml = F.regexp_replace(xml, pattern, to)
-    return F.when(X.strip(xml).startswith("<?xml"), xml).otherwise(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), xml))
+        out = F.replace(out, F.lit(f"&amp;{name};"), F.lit(f"&{name};"))
+    return F.when(F.contains(xml, F.lit("&amp;")), out).otherwise(xml)
+
+
+def _flowing(xml: Column) -> Column:
+    out = xml
+    for pattern, to in FLOWING:
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(xml.rlike("|".join(pattern for pattern, _ in FLOWING)), out).otherwise(xml)
+
+
+def _declared(xml: Column) -> Column:
+    return F.when(F.ltrim(xml, F.lit(X.BLANKS)).startswith("<?xml"), xml).otherwise(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), xml))
 
 
 def repaired(df: DataFrame) -> DataFrame:
     """Parts with their XML repaired; other parts as they are."""
-    xml = F.decode("data", "UTF-8")
-    fixed = F.when(F.col("part").rlike("^Contents/section"), repair(xml, True)).otherwise(repair(xml))
-    return df.withColumn("data", F.when(F.col("part").endswith(".xml"), F.encode(fixed, "UTF-8")).otherwise(F.col("data")))
+    # Step by step, so that no step's text is made anew for each place that the next names it in.
+    is_xml, is_section = F.col("part").endswith(".xml"), F.col("part").rlike("^Contents/section")
+    steps = (_unprefixed, _escaped_once, lambda xml: F.when(is_section, _flowing(xml)).otherwise(xml), _declared)
+    df = once(df, _xml0=F.when(is_xml, F.decode("data", "UTF-8")))
+    for k, step in enumerate(steps):
+        df = once(df, **{f"_xml{k + 1}": step(F.col(f"_xml{k}"))}).drop(f"_xml{k}")
+    last = f"_xml{len(steps)}"
+    return once(df, _data=F.when(is_xml, F.encode(last, "UTF-8")).otherwise(F.col("data"))).withColumn("data", F.col("_data")).drop("_data", last)
 
 
 def write_cells(df: DataFrame, edits: DataFrame) -> DataFrame:
