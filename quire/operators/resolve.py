@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -236,6 +236,14 @@ def ensemble(draws: DataFrame, aggregated: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_draws", outcome.alias("outcome"), add("_in", F.col("_a_in")).alias("tokens_in"), add("_out", F.col("_a_out")).alias("tokens_out"), mean("_cost_in", "_in", "_a_in", "_p_in").alias("price_in"), mean("_cost_out", "_out", "_a_out", "_p_out").alias("price_out"))
 
 
+def majority(draws: Sequence[Column], near: Column) -> Column:
+    """struct(level, votes) of one line's draws, one column each: as `vote`, within the row."""
+    votes = lambda x: sum((F.when(x.eqNullSafe(y), 1).otherwise(0) for y in draws), F.lit(0))
+    ranked = [F.struct((-votes(x)).alias("n"), F.abs(x - F.coalesce(near, F.lit(0))).alias("far"), x.alias("level")) for x in draws]
+    best = F.array_min(F.array(*ranked))
+    return F.struct(best["level"].alias("level"), (-best["n"]).cast("long").alias("votes"))
+
+
 def vote(draws: DataFrame) -> DataFrame:
     """(doc_id, line_no, level, votes) from draws (doc_id, line_no, draw, level, near).
 

@@ -168,7 +168,7 @@ def content_digests(spark, sf_dir):
 
 
 def failed_parses(spark, sf_dir):
-    blocks = shared.cut(queries._blocks(spark, sf_dir))
+    blocks = queries._levels(spark, sf_dir)
     counted = resolve.outcomes(resolve.merge(blocks, queries._decided(blocks).filter("doc_id % 5 <> 2")), most=40)
     answer = F.when(F.col("doc_id") % 5 == 2, _pick(("no array", "", "[]"), F.col("doc_id") % 3)).otherwise('[{"line_no": 0, "level": 1, "reason": "r"}]')
     return resolve.with_failures(counted, resolve.unreadable(blocks.select("doc_id").distinct().select("doc_id", answer.alias("response"))))
