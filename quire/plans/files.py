@@ -26,7 +26,8 @@ def _written(spark, sf_dir) -> str:
     null = F.lit(None).cast("string")
     path = F.concat(F.lit("m"), "doc_id", F.lit(".hwpx")).alias("path")
     paragraphs = found.select(path, "seq", "type", "text", null.alias("para"), null.alias("char"), null.alias("style"))
-    documents = manuscript.documents(spark, sf_dir).select(path, F.lit("t").alias("template"))
+    # Every step of the build asks for the documents: they are found once.
+    documents = shared.cut(manuscript.documents(spark, sf_dir).select(path)).select("path", F.lit("t").alias("template"))
     templates = spark.createDataFrame([("t", k, bytearray(v.encode()), None) for k, v in TEMPLATE.items()], packages.PARTS)
     folder = shared.fresh_dir(spark, "packages")
     builder.write(builder.build(documents, paragraphs, templates), folder)

@@ -32,8 +32,11 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from quire.sources.compound import MAGIC, Compound, Damaged
 
 SCHEMA = "path string, part string, size long, data binary, error string"
-#: Bytes that a task reads at most on average, and what opening a file counts for.
-SLICE_BYTES, OPEN_BYTES = 64 << 20, 1 << 20
+#: Bytes that a task reads at most on average, what opening a file counts for, and the least that
+#: is worth a task of its own.
+SLICE_BYTES, OPEN_BYTES, LEAST_BYTES = 64 << 20, 64 << 10, 4 << 20
+#: Bytes that rows handed on together hold at most, and what a row counts for; larger parts go alone.
+BATCH_BYTES, ROW_BYTES = 1 << 20, 256
 #: Bytes of a part that a row can hold (Arrow's 32-bit offsets).
 MOST_PART = (1 << 31) - 1
 STAGE = "_writing-"
@@ -57,13 +60,17 @@ class Slice(InputPartition):
     hi: int | None = None
 
 
-def planned(files: Iterable[tuple[str, int]], each: int = SLICE_BYTES) -> list[Slice]:
+def planned(files: Iterable[tuple[str, int]], each: int = SLICE_BYTES, tasks: int = 1) -> list[Slice]:
+    """Large files are sliced by `each`; small ones share a task, in smaller groups where they would
+    else be fewer than `tasks`."""
+    files = list(files)
+    most = min(each, max(LEAST_BYTES, sum(n + OPEN_BYTES for _, n in files) // max(tasks, 1) + 1))
     out, held, size = [], [], 0
     for path, n in files:
         if n > each:
             out += [Slice([(path, n)], at, at + each if at + each < n else None) for at in range(0, n, each)]
             continue
-        if held and size + n + OPEN_BYTES > each:
+        if held and size + n + OPEN_BYTES > most:
             out.append(Slice(held))
             held, size = [], 0
         held.append((path, n))
@@ -90,6 +97,7 @@ class _Reader(DataSourceReader):
         self.folder, self.columns = options["path"], columns
         self.pattern = options.get("pattern", "*").lower()
         self.each = int(options.get("slicebytes", SLICE_BYTES))  # names of options come in lower case
+        self.tasks = int(options.get("tasks", 1))
         self.wanted: dict[str, list[re.Pattern]] = {"path": [], "part": []}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -108,16 +116,30 @@ class _Reader(DataSourceReader):
         found = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name.lower(), self.pattern) and STAGE not in f.path)
         # A plan without tasks is an error, so an empty one stands for no files.
-        return planned(((p, n) for p, n in files if self._fits("path", before + p)), self.each) or [Slice([])]
+        return planned(((p, n) for p, n in files if self._fits("path", before + p)), self.each, self.tasks) or [Slice([])]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         system, _, before = system_of(self.folder)
         types = {"path": pa.string(), "part": pa.string(), "size": pa.int64(), "data": pa.binary(), "error": pa.string()}
+        held, weight = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([row[c] for row in held], types[c]) for c in self.columns], self.columns)
+
         for path, size in partition.files:
             with system.open_input_file(path) as file:
                 for part, n, data, error in parts_of(file, size, lambda p: self._fits("part", p), "data" in self.columns, partition.lo, partition.hi):
-                    row = {"path": before + path, "part": part, "size": n, "data": data, "error": error}
-                    yield pa.RecordBatch.from_arrays([pa.array([row[c]], types[c]) for c in self.columns], self.columns)
+                    more = ROW_BYTES + (len(data) if data is not None else 0)
+                    if held and weight + more > BATCH_BYTES:
+                        yield batch()
+                        held, weight = [], 0
+                    held.append({"path": before + path, "part": part, "size": n, "data": data, "error": error})
+                    weight += more
+                    if weight >= BATCH_BYTES:  # no large part is held while the next is read
+                        yield batch()
+                        held, weight = [], 0
+        if held:
+            yield batch()
 
 
 def parts_of(file, size: int, wanted, with_data: bool = True, lo: int = 0, hi: int | None = None) -> Iterator[tuple]:
@@ -151,7 +173,8 @@ def parts_of(file, size: int, wanted, with_data: bool = True, lo: int = 0, hi: i
 
 
 class Containers(DataSource):
-    """Options: path (a folder), pattern (of file names, whatever their case), sliceBytes."""
+    """Options: path (a folder), pattern (of file names, whatever their case), sliceBytes, tasks (as
+    many as there should be at least, where the files are worth it)."""
 
     @classmethod
     def name(cls) -> str:
@@ -178,7 +201,7 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, folder: str, pattern: str = "*", columns: str | None = None) -> DataFrame:
     """(path, part, size, data, error); `columns`, a schema of some of them, leaves out the rest."""
     register(spark)
-    reader = spark.read.format("containers").option("pattern", pattern)
+    reader = spark.read.format("containers").option("pattern", pattern).option("tasks", spark.sparkContext.defaultParallelism)
     return (reader.schema(columns) if columns else reader).load(folder)
 
 

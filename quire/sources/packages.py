@@ -292,6 +292,8 @@ def thumbnails(df: DataFrame) -> DataFrame:
 PREFIXES = ((r"<ns\d+:", "<"), (r"</ns\d+:", "</"), (r"\bns\d+:", ""), (r'\s+xmlns:ns\d+="[^"]*"', ""))
 ENTITIES = ("amp", "lt", "gt", "quot", "apos")
 FLOWING = (('treatAsChar="1"', 'treatAsChar="0"'), ('horzRelTo="COLUMN"', 'horzRelTo="PARA"'), (r'vertsize="\d{5,}"', 'vertsize="1200"'))
+#: What stands wherever one of them fits; plain signs are found faster than patterns.
+FLOWING_SIGNS = ('treatAsChar="1"', 'horzRelTo="COLUMN"', 'vertsize="')
 
 
 def repair(xml: Column, tables: bool = False) -> Column:
@@ -320,7 +322,8 @@ def _flowing(xml: Column) -> Column:
     out = xml
     for pattern, to in FLOWING:
         out = F.regexp_replace(out, pattern, to)
-    return F.when(xml.rlike("|".join(pattern for pattern, _ in FLOWING)), out).otherwise(xml)
+    signs = [F.contains(xml, F.lit(sign)) for sign in FLOWING_SIGNS]
+    return F.when(signs[0] | signs[1] | signs[2], out).otherwise(xml)
 
 
 def _declared(xml: Column) -> Column:
@@ -476,13 +479,16 @@ def section_xml(paragraphs_: DataFrame, tables: DataFrame | None = None, propert
         rows = rows.unionByName(lead.select("path", (F.col("seq") - F.lit(1 << 61)).alias("seq"), "p"))
     if tables is not None:
         rows = rows.unionByName(table_paragraphs(tables).withColumn("seq", F.col("seq").cast("long")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda r: r["p"]), "")
+    sections = rows.groupBy("path").agg(body.alias("_body"))
     if properties is not None:
+        # Joined to whole sections: a union with their paragraphs would cost these another exchange.
         kept = F.concat(F.lit('<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">'), "xml", F.lit("</hp:run></hp:p>"))
-        rows = rows.unionByName(properties.select("path", F.lit(-1 << 62).alias("seq"), kept.alias("p")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "p"))), lambda r: r["p"]), "")
+        first = properties.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(kept)), "").alias("_first"))
+        sections = sections.join(first.hint("shuffle_hash"), "path", "full").select("path", F.concat(F.coalesce("_first", F.lit("")), F.coalesce("_body", F.lit(""))).alias("_body"))
     head = f'<?xml version="1.0" encoding="UTF-8"?><hs:sec xmlns:hs="{SPACES["hs"]}" xmlns:hp="{SPACES["hp"]}">'
-    xml = F.concat(F.lit(head), body, F.lit("</hs:sec>"))
-    return rows.groupBy("path").agg(F.encode(xml, "UTF-8").alias("data")).select("path", F.lit("Contents/section0.xml").alias("part"), "data")
+    xml = F.concat(F.lit(head), "_body", F.lit("</hs:sec>"))
+    return sections.select("path", F.lit("Contents/section0.xml").alias("part"), F.encode(xml, "UTF-8").alias("data"))
 
 
 def render_html(found: DataFrame, cells_: DataFrame, most: int = 500_000) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from quire.functions import scans
 from quire.functions import text as X
 from quire.operators import lines, resolve
 from quire.plans import files, queries
-from quire.sources import packages
+from quire.sources import containers, packages
 
 
 def plan_of(df) -> str:
@@ -118,3 +120,51 @@ def test_repair_is_written_once_in_the_plan(spark):
 def test_package_documents_need_no_line_numbers(spark, small):
     plan = files.manuscript.documents(spark, small)
     assert "Window" not in plan_of(plan) and plan.count() == queries.raw_lines(spark, small).select("doc_id").distinct().count()
+
+
+def test_many_small_packages_share_a_task():
+    found = [(f"p/{k}", 5_000) for k in range(4_000)]
+    assert len(containers.planned(found)) < 10
+    spread = containers.planned(found, tasks=32)
+    assert 32 <= len(spread) <= 40 and [f for s in spread for f in s.files] == found
+    assert len(containers.planned(found[:5], tasks=32)) == 1
+    large = containers.planned([("a", 10), ("b", 200 << 20), ("c", 10)], tasks=4)
+    assert [(s.files[0][0], s.lo, s.hi) for s in large] == [("b", at << 20, (at + 64) << 20 if at < 192 else None) for at in (0, 64, 128, 192)] + [("a", 0, None)]
+
+
+def test_small_parts_are_handed_on_together(tmp_path):
+    sizes = [10] * 40 + [3 << 20] * 2 + [10] * 40
+    for k, size in enumerate(sizes):
+        with zipfile.ZipFile(tmp_path / f"{k:03}.hwpx", "w") as z:
+            z.writestr("mimetype", b"m")
+            z.writestr("Contents/section0.xml", bytes([k]) * size)
+    reader = containers._Reader({"path": f"file://{tmp_path}"}, ["path", "part", "data"])
+    batches = [b for s in reader.partitions() for b in reader.read(s)]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["path"][-8:-5], r["part"], len(r["data"])) for r in rows] == [(f"{k:03}", part, n) for k, size in enumerate(sizes) for part, n in (("mimetype", 1), ("Contents/section0.xml", size))]
+    assert len(batches) < 10 and all(b.num_rows == 1 for b in batches if any(len(r["data"]) > containers.BATCH_BYTES for r in b.to_pylist()))
+
+
+def test_signs_of_flowing_tables():
+    fits = ['a treatAsChar="1"', 'horzRelTo="COLUMN" b', 'vertsize="12345"']
+    assert all(any(re.search(p, x) for p, _ in packages.FLOWING) and any(s in x for s in packages.FLOWING_SIGNS) for x in fits)
+    assert len(packages.FLOWING_SIGNS) == len(packages.FLOWING) and all(p.startswith(s) for (p, _), s in zip(packages.FLOWING, packages.FLOWING_SIGNS, strict=True))
+
+
+def test_section_properties_come_first_and_cost_no_union(spark):
+    rows = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x<"), ("b", 1, "z")], "path string, seq int, text string").selectExpr("*", "null as para", "null as char", "null as style")
+    properties = spark.createDataFrame([("a", "<hp:secPr/>"), ("c", "<hp:secPr k='1'/>")], "path string, xml string")
+    df = packages.section_xml(rows, properties=properties)
+    got = {r.path: bytes(r.data).decode().partition(">")[2].partition(">")[2] for r in df.collect()}
+    p = lambda inner: f'<hp:p paraPrIDRef="0" styleIDRef="0"><hp:run charPrIDRef="0">{inner}</hp:run></hp:p>'
+    t = lambda text: p(f"<hp:t>{text}</hp:t>")
+    assert got == {k: v + "</hs:sec>" for k, v in {"a": p("<hp:secPr/>") + t("x&lt;") + t("y"), "b": t("z"), "c": p("<hp:secPr k='1'/>")}.items()}
+    assert "Union" not in plan_of(df)
+
+
+def test_package_documents_are_found_once(spark, small, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(files.builder, "build", lambda documents, *_: seen.update(plan=plan_of(documents)) or documents)
+    monkeypatch.setattr(files.builder, "write", lambda *_: None)
+    files._written(spark, small)
+    assert "lineitem" not in seen["plan"] and "Scan ExistingRDD" in seen["plan"]
