@@ -7,6 +7,8 @@ and takes an unmarked line for a first-level item.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ _B = T.BLANK
 # Marks that a paragraph style adds by itself.
 AUTO_PREFIXES = {"L1": r"^[□■]\s*", "L2": r"^[❍○]\s*", "L3": r"^[-–—]\s*", "L4": r"^[·•]\s*", "note": r"^\*\s*"}
 
+HEADS = ("H1", "H2", "H3", "H4", "H5")
+
 
 def _u(pattern: str) -> str:
     return f"(?U){pattern}"
@@ -61,8 +65,8 @@ def classified(rows: DataFrame) -> DataFrame:
     heads = heads.when(hashes == 4, F.regexp_replace(head, _u(rf"^\(\d+\){_B}*"), "")).when(hashes == 5, F.regexp_replace(head, rf"^[①-⑳]{_B}*", "")).otherwise(head)
     bullets = (s.startswith("- ") | s.startswith("* ")) & ~(circled | sign.isin(*"□○❍·※"))
     value = F.when(is_head, heads).when(bullets & F.col("type").isin("L3", "note"), T.strip(F.substr(s, F.lit(3)))).otherwise(plain)
-    df = once(df, text=value, auto=is_head & hashes.between(3, 5))
-    return df.select("doc_id", "line_no", "type", "text", "auto")
+    # The last step is a plain projection: who does not ask for texts has none made.
+    return df.select("doc_id", "line_no", "type", value.alias("text"), (is_head & hashes.between(3, 5)).alias("auto"))
 
 
 def _is_row(s: Column) -> Column:
@@ -88,9 +92,16 @@ def tables(rows: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no", F.lit("L1").alias("type"), F.when(details != "", F.concat(first, F.lit(" — "), details)).otherwise(first).alias("text"), F.lit(False).alias("auto"))
 
 
-def numbered(df: DataFrame, segment: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, segment: int | None = None, words: Sequence[str] | None = None) -> DataFrame:
     """Numbers heads of levels 3 to 5.  A head of a higher level, written number included,
-    begins anew; a written number does not count on.  `segment` as in `lines.blocks`."""
+    begins anew; a written number does not count on.  `segment` as in `lines.blocks`.
+
+    With `words`, lines below the heads, which neither count nor begin anew, go before any sorting
+    unless they hold one of these."""
+    if words:
+        df = once(df.withColumnRenamed("text", "_text"), text=F.col("_text")).drop("_text")
+    if words is not None:
+        df = df.filter(F.col("type").isin(*HEADS) | holds(words))
     resets = {"H3": ("H1", "H2"), "H4": ("H1", "H2", "H3"), "H5": ("H1", "H2", "H3", "H4")}
     kind = F.col("type")
     out = scans.since(df, {f"_{level}": (kind.isin(*above), (kind == level) & F.col("auto")) for level, above in resets.items()}, segment)
@@ -120,7 +131,11 @@ def contents(df: DataFrame) -> DataFrame:
 
 def cover_lines(df: DataFrame, keywords: Sequence[str]) -> DataFrame:
     """Paragraphs that hold one of the keywords."""
-    return df.filter(F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("text"), k)))
+    return df.filter(holds(keywords))
+
+
+def holds(keywords: Sequence[str]) -> Column:
+    return reduce(or_, (F.contains(F.col("text"), F.lit(k)) for k in keywords), F.lit(False))
 
 
 def edit_summary(rows: DataFrame, drop: Sequence[str], edits: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def contents_lines(spark, sf_dir):
 
 
 def cover_lines(spark, sf_dir):
-    return outline.cover_lines(queries._outline(spark, sf_dir), ("cold", "Ⅰ")).select("doc_id", "seq", "text")
+    words = ("cold", "Ⅰ")
+    return outline.cover_lines(queries._outline(spark, sf_dir, words), words).select("doc_id", "seq", "text")
 
 
 def summary_edits(spark, sf_dir):

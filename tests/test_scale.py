@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import scans
 from quire.functions import text as X
-from quire.operators import lines, resolve
-from quire.plans import files, queries
+from quire.operators import lines, outline, resolve
+from quire.plans import files, further, queries
 from quire.sources import containers, packages
 
 
@@ -168,3 +168,23 @@ def test_package_documents_are_found_once(spark, small, monkeypatch):
     monkeypatch.setattr(files.builder, "write", lambda *_: None)
     files._written(spark, small)
     assert "lineitem" not in seen["plan"] and "Scan ExistingRDD" in seen["plan"]
+
+
+def test_unwanted_lines_go_before_sorting(spark):
+    kinds = ("H1", "H2", "H3", "H4", "H5", "L1", "note")
+    rows = [(doc, at, kinds[(at * at + doc * at // 3 + doc) % 7], f"t{at % 5}", at % 3 > 0) for doc in range(6) for at in range(80)]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, type string, text string, auto boolean").withColumn("auto", F.expr("auto and type in ('H3', 'H4', 'H5')"))
+    whole, words = outline.numbered(df), ("t3", "2)")
+    for held, then in (((), outline.contents), (words, lambda d: outline.cover_lines(d, words))):
+        for segment in (None, 7):
+            got = then(outline.numbered(df, segment, held)).collect()
+            assert got and sorted(got) == sorted(then(whole).collect())
+    few = outline.numbered(df, words=())
+    assert few.count() == df.filter("type like 'H%'").count() < df.count()
+
+
+@pytest.mark.parametrize("query", [further.cover_lines])
+def test_queries_of_heads_sort_few_lines(spark, small, query):
+    plan = query(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    kept = plan.index("IN (H1,H2,H3,H4,H5)") if "IN (H1,H2,H3,H4,H5)" in plan else plan.index("INSET H1, H2, H3, H4, H5")
+    assert plan.index("Window") < kept < plan.rindex("Window")  # the tree goes downwards: below the counts, above the line numbers
