@@ -48,7 +48,7 @@ def sensitive_keys(spark, sf_dir):
 
 
 def contents_lines(spark, sf_dir):
-    return outline.contents(queries._outline(spark, sf_dir)).select("doc_id", "seq", "type", "text")
+    return outline.contents(queries._outline(spark, sf_dir, ())).select("doc_id", "seq", "type", "text")
 
 
 def cover_lines(spark, sf_dir):
