@@ -9,20 +9,29 @@ directories only.  Files are reached by pyarrow's file systems; `packages.parts`
 Writing: parts of a package, together and in order, stream into a zip under a temporary name;
 one part is held at a time.  Only when all tasks have succeeded are packages named, by a plan
 written before, so that `finish` can end what a lost driver has begun.  None is ever replaced.
+
+The driver holds no package's name for long: tasks leave lists of what they wrote, the plan is
+written and read by the line, and files are found a folder at a time and dealt to tasks compressed.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import io
 import json
+import os
 import re
 import uuid
 import zipfile
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +49,8 @@ BATCH_BYTES, ROW_BYTES = 1 << 20, 256
 #: Bytes of a part that a row can hold (Arrow's 32-bit offsets).
 MOST_PART = (1 << 31) - 1
 STAGE = "_writing-"
+#: Files that the driver looks at together, and hashes of names that it holds at most (about).
+GROUP, HASHES = 1_000, 1 << 22
 
 
 def system_of(folder: str) -> tuple[fs.FileSystem, str, str]:
@@ -53,29 +64,91 @@ def system_of(folder: str) -> tuple[fs.FileSystem, str, str]:
 
 @dataclass
 class Slice(InputPartition):
-    """Parts of files (path, size): all of them, or those of one file that begin within `lo` to `hi`."""
+    """Parts of files: all of them, or those of one file that begin within `lo` to `hi`."""
 
-    files: list[tuple[str, int]]
+    packed: bytes
     lo: int = 0
     hi: int | None = None
 
+    @classmethod
+    def of(cls, files: list[tuple[str, int]], lo: int = 0, hi: int | None = None) -> Slice:
+        return cls(zlib.compress(json.dumps(files).encode()), lo, hi)
+
+    @property
+    def files(self) -> list[tuple[str, int]]:
+        """(path, size)."""
+        return [(path, n) for path, n in json.loads(zlib.decompress(self.packed))]
 
-def planned(files: Iterable[tuple[str, int]], each: int = SLICE_BYTES, tasks: int = 1) -> list[Slice]:
+
+def planned(files: Iterable[tuple[str, int]], each: int = SLICE_BYTES, tasks: int = 1, weight: int | None = None) -> list[Slice]:
     """Large files are sliced by `each`; small ones share a task, in smaller groups where they would
-    else be fewer than `tasks`."""
-    files = list(files)
-    most = min(each, max(LEAST_BYTES, sum(n + OPEN_BYTES for _, n in files) // max(tasks, 1) + 1))
+    else be fewer than `tasks`.  With `weight`, what all of them count for, they are passed once."""
+    if weight is None:
+        files = list(files)
+        weight = sum(n + OPEN_BYTES for _, n in files)
+    most = min(each, max(LEAST_BYTES, weight // max(tasks, 1) + 1))
     out, held, size = [], [], 0
     for path, n in files:
         if n > each:
-            out += [Slice([(path, n)], at, at + each if at + each < n else None) for at in range(0, n, each)]
+            out += [Slice.of([(path, n)], at, at + each if at + each < n else None) for at in range(0, n, each)]
             continue
         if held and size + n + OPEN_BYTES > most:
-            out.append(Slice(held))
+            out.append(Slice.of(held))
             held, size = [], 0
         held.append((path, n))
         size += n + OPEN_BYTES
-    return out + [Slice(held)] if held else out
+    return out + [Slice.of(held)] if held else out
+
+
+def _grouped(rows: Iterable, n: int = GROUP) -> Iterator[list]:
+    rows = iter(rows)
+    while group := list(islice(rows, n)):
+        yield group
+
+
+def _entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | None]]:
+    """(path, size) of what a folder holds, folders without a size; a missing one holds nothing."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for i in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if i.type in (fs.FileType.File, fs.FileType.Directory):
+                yield i.path, i.size if i.type == fs.FileType.File else None
+        return
+    try:
+        entries = os.scandir(folder or "/")
+    except FileNotFoundError:
+        return
+    with entries:
+        for e in entries:
+            try:
+                if e.is_dir() or e.is_file():
+                    yield f"{folder}/{e.name}", None if e.is_dir() else e.stat().st_size
+            except FileNotFoundError:  # gone since
+                continue
+
+
+def _found(system: fs.FileSystem, base: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files under a folder, in no order; what is being written is left out."""
+    folders = [base]
+    while folders:
+        for path, size in _entries(system, folders.pop()):
+            if STAGE in path:
+                continue
+            if size is None:
+                folders.append(path)
+            else:
+                yield path, size
+
+
+def _listed(files: Iterable[tuple[str, int]]) -> pa.Table:
+    """Files (path, size) by path, in the bytes of their paths and few more."""
+    schema = pa.schema([("path", pa.large_string()), ("size", pa.int64())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*group, strict=True), schema.types, strict=True)], schema=schema) for group in _grouped(files, 10 * GROUP)]
+    return pa.Table.from_batches(batches, schema).sort_by("path")
+
+
+def _rows(table: pa.Table) -> Iterator[tuple[str, int]]:
+    for batch in table.to_batches(GROUP):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 def _reads(f: Filter) -> re.Pattern | None:
@@ -113,20 +186,22 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         system, base, before = system_of(self.folder)
-        found = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-        files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name.lower(), self.pattern) and STAGE not in f.path)
+        wanted = ((p, n) for p, n in _found(system, base) if fnmatch.fnmatchcase(p.rpartition("/")[2].lower(), self.pattern) and self._fits("path", before + p))
+        files = _listed((p.removeprefix(f"{base}/"), n) for p, n in wanted)
+        weight = (pc.sum(files["size"]).as_py() or 0) + OPEN_BYTES * files.num_rows
         # A plan without tasks is an error, so an empty one stands for no files.
-        return planned(((p, n) for p, n in files if self._fits("path", before + p)), self.each, self.tasks) or [Slice([])]
+        return planned(_rows(files), self.each, self.tasks, weight) or [Slice.of([])]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        system, _, before = system_of(self.folder)
+        system, base, before = system_of(self.folder)
         types = {"path": pa.string(), "part": pa.string(), "size": pa.int64(), "data": pa.binary(), "error": pa.string()}
         held, weight = [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([row[c] for row in held], types[c]) for c in self.columns], self.columns)
 
-        for path, size in partition.files:
+        for name, size in partition.files:
+            path = f"{base}/{name}"
             with system.open_input_file(path) as file:
                 for part, n, data, error in parts_of(file, size, lambda p: self._fits("part", p), "data" in self.columns, partition.lo, partition.hi):
                     more = ROW_BYTES + (len(data) if data is not None else 0)
@@ -221,9 +296,10 @@ class _Out:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Packages of a task: temporary name, name, number of parts."""
+    """The file in which a task lists its packages (temporary name, name), and how many they are."""
 
-    packages: list[tuple[str, str, int]] = field(default_factory=list)
+    listed: str
+    packages: int
 
 
 class _Writer(DataSourceArrowWriter):
@@ -237,44 +313,55 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, _, stage = self._stage()
         system.create_dir(stage, recursive=True)
-        done, current, names = Written(), None, set()
+        done, current, names = Written(f"{stage}/{uuid.uuid4().hex}.json", 0), None, set()
         zipped = out = None
 
         def close() -> None:
             if zipped is not None:
                 zipped.close()
                 out.close()
-                done.packages.append((temporary, current.rpartition("/")[2], len(names)))
-
-        for batch in iterator:
-            for path, part, data in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
-                if path != current:
-                    close()
-                    current, temporary, names = path, f"{stage}/{uuid.uuid4().hex}", set()
-                    out = system.open_output_stream(temporary)
-                    zipped = zipfile.ZipFile(_Out(out), "w", zipfile.ZIP_DEFLATED)
-                if part in names:
-                    raise ValueError(f"{path} has {part} twice")
-                names.add(part)
-                info = zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0))
-                info.compress_type = zipfile.ZIP_STORED if part == "mimetype" else zipfile.ZIP_DEFLATED
-                with zipped.open(info, "w", force_zip64=len(data.as_buffer()) > MOST_PART // 2) as to:
-                    to.write(data.as_buffer())
-        close()
+                _put(moves, [(temporary, current.rpartition("/")[2])], not done.packages)
+                done.packages += 1
+
+        with system.open_output_stream(done.listed, buffer_size=1 << 16) as moves:
+            for batch in iterator:
+                for path, part, data in zip(batch.column("path").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                    if path != current:
+                        close()
+                        current, temporary, names = path, f"{stage}/{uuid.uuid4().hex}", set()
+                        out = system.open_output_stream(temporary)
+                        zipped = zipfile.ZipFile(_Out(out), "w", zipfile.ZIP_DEFLATED)
+                    if part in names:
+                        raise ValueError(f"{path} has {part} twice")
+                    names.add(part)
+                    info = zipfile.ZipInfo(part, (1980, 1, 1, 0, 0, 0))
+                    info.compress_type = zipfile.ZIP_STORED if part == "mimetype" else zipfile.ZIP_DEFLATED
+                    with zipped.open(info, "w", force_zip64=len(data.as_buffer()) > MOST_PART // 2) as to:
+                        to.write(data.as_buffer())
+            close()
+            moves.write(b"]")
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
         system, base, stage = self._stage()
-        moves = [(temporary, f"{base}/{name}") for m in messages if m for temporary, name, _ in m.packages]
-        names = [name for _, name in moves]
-        taken = sorted(n for n, k in Counter(names).items() if k > 1)
-        taken += [i.path for i in system.get_file_info(names) if i.type != fs.FileType.NotFound]
+        tasks = [m for m in messages if m and m.packages]
+
+        def moves() -> Iterator[tuple[str, str]]:
+            return ((temporary, f"{base}/{name}") for m in tasks for temporary, name in _moves(system, m.listed))
+
+        taken = list(islice(_repeated(lambda: (name for _, name in moves()), sum(m.packages for m in tasks)), 5))
+        if tasks:
+            with system.open_output_stream(f"{stage}/plan.part", buffer_size=1 << 16) as out:
+                for k, group in enumerate(_grouped(moves())):
+                    taken += [i.path for i in system.get_file_info([name for _, name in group]) if i.type != fs.FileType.NotFound]
+                    if len(taken) >= 5:
+                        break
+                    _put(out, group, not k)
+                out.write(b"]")
         if taken:
             self.abort(messages)
             raise FileExistsError(", ".join(taken[:5]))
-        if moves:
-            with system.open_output_stream(f"{stage}/plan.part") as out:
-                out.write(json.dumps(moves).encode())
+        if tasks:
             system.move(f"{stage}/plan.part", f"{stage}/plan.json")
         _finish(system, stage)
 
@@ -284,16 +371,39 @@ class _Writer(DataSourceArrowWriter):
             system.delete_dir(stage)
 
 
+def _put(out: pa.NativeFile, moves: list[tuple[str, str]], first: bool) -> None:
+    """Writes moves, one a line, on to a list in JSON, which they begin if they are the first."""
+    out.write((("[" if first else ",\n") + ",\n".join(map(json.dumps, moves))).encode())
+
+
+def _moves(system: fs.FileSystem, path: str) -> Iterator[list[str]]:
+    """The moves of a list in JSON, some lines at a time; a list in one line is taken too."""
+    with system.open_input_stream(path) as file:
+        for lines in _grouped(io.BufferedReader(file)):
+            text = b"".join(lines).strip().rstrip(b",")
+            yield from json.loads((b"" if text.startswith(b"[[") else b"[") + text + (b"" if text.endswith(b"]]") else b"]"))
+
+
+def _repeated(names: Callable[[], Iterator[str]], n: int) -> Iterator[str]:
+    """Names, of about n, that come more than once; only those whose hashes do are held, a group at a time."""
+    rounds = -(-n // HASHES)
+    for k in range(rounds):
+        hashes = np.sort(np.fromiter((h for h in map(hash, names()) if h % rounds == k), np.int64))
+        twice = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
+        for group in _grouped(twice.tolist()):
+            some = set(group)
+            yield from (name for name, times in Counter(name for name in names() if hash(name) in some).items() if times > 1)
+
+
 def _finish(system: fs.FileSystem, stage: str) -> int:
     """Carries out a stage's plan, or what is left of it, and clears it away; without a plan nothing was promised."""
     moved = 0
     if system.get_file_info(f"{stage}/plan.json").type == fs.FileType.File:
-        with system.open_input_stream(f"{stage}/plan.json") as file:
-            moves = json.loads(file.read())
-        for temporary, name in moves:
-            if system.get_file_info(temporary).type == fs.FileType.File:
-                system.move(temporary, name)
-                moved += 1
+        for group in _grouped(_moves(system, f"{stage}/plan.json")):
+            for (temporary, name), info in zip(group, system.get_file_info([temporary for temporary, _ in group]), strict=True):
+                if info.type == fs.FileType.File:
+                    system.move(temporary, name)
+                    moved += 1
     if system.get_file_info(stage).type == fs.FileType.Directory:
         system.delete_dir(stage)
     return moved

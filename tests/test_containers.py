@@ -354,3 +354,74 @@ def test_a_lost_driver_is_made_up_for(tmp_path):
     assert len([p for p in tmp_path.iterdir() if p.suffix == ".hwpx"]) == 1
     assert containers.finish(str(tmp_path)) == 1
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.hwpx", "b.hwpx"]
+
+
+# What the driver holds
+
+
+def _batches(names):
+    import pyarrow as pa
+
+    for at in range(0, len(names), 500):
+        some = names[at : at + 500]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(["p"] * len(some)), pa.array([b"1"] * len(some))], ["path", "part", "data"])
+
+
+def test_the_driver_holds_no_names_of_packages(tmp_path):
+    import pickle
+    import tracemalloc
+
+    peaks = []
+    for n, folder in ((3_000, "few"), (9_000, "out")):
+        names = [f"m{k}.hwpx" for k in range(n)]
+        writer = containers._Writer(str(tmp_path / folder))
+        message = writer.write(_batches(names))
+        assert len(pickle.dumps(message)) < 1_000
+        tracemalloc.start()
+        try:
+            writer.commit([message, None])
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0], peaks
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(names)
+    slices = containers._Reader({"path": str(tmp_path / "out"), "tasks": "8"}, ["path", "part"]).partitions()
+    assert [n for s in slices for n, _ in s.files] == sorted(names) and len(slices) > 8
+    assert sum(len(pickle.dumps(s)) for s in slices) < 15 * len(names)
+
+
+def test_names_of_two_tasks_are_compared_in_rounds(tmp_path, monkeypatch):
+    monkeypatch.setattr(containers, "HASHES", 16)
+    names = [f"m{k % 90}.hwpx" for k in range(100)]
+    assert sorted(containers._repeated(lambda: iter(names), len(names))) == sorted(f"m{k}.hwpx" for k in range(10))
+    assert list(containers._repeated(lambda: iter(names[:90]), 90)) == [] == list(containers._repeated(lambda: iter(()), 0))
+    writer = containers._Writer(str(tmp_path / "out"))
+    tasks = [writer.write(_batches(part)) for part in ([f"x/{n}" for n in names[:50]], [], [f"y/{n}" for n in names[49:90]])]
+    with pytest.raises(FileExistsError, match="m49.hwpx$"):
+        writer.commit(tasks)
+    assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_a_plan_of_one_line_is_finished(tmp_path):
+    import json
+
+    stage = tmp_path / f"{containers.STAGE}1"
+    stage.mkdir()
+    names = ["a.hwpx", "b],[.hwpx", "한.hwpx"]
+    for k in range(3):
+        (stage / f"t{k}").write_bytes(b"")
+    (stage / "plan.json").write_text(json.dumps([(f"{stage}/t{k}", f"{tmp_path}/{n}") for k, n in enumerate(names)]))
+    assert containers.finish(str(tmp_path)) == 3 and sorted(p.name for p in tmp_path.iterdir()) == sorted(names)
+
+
+def test_files_are_found_a_folder_at_a_time(tmp_path):
+    for name in ("b", "a/c", "a/d/e", f"{containers.STAGE}1/x", "한 글\n.hwpx"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "link").symlink_to(tmp_path / "b")
+    (tmp_path / "dead").symlink_to(tmp_path / "none")
+    want = [("a/c", 3), ("a/d/e", 5), ("b", 1), ("link", 1), ("한 글\n.hwpx", 13)]
+    for system, base, _ in (containers.system_of(str(tmp_path)), containers.system_of(f"file://{tmp_path}")):
+        found = containers._listed((p.removeprefix(f"{base}/"), n) for p, n in containers._found(system, base))
+        assert list(containers._rows(found)) == want
+        assert list(containers._found(system, f"{base}/none")) == []
