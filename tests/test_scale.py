@@ -190,3 +190,12 @@ def test_queries_of_heads_sort_few_lines(spark, small, query):
     assert plan.index("Window") < kept < plan.rindex("Window")  # the tree goes downwards: below the counts, above the line numbers
     if query is queries.page_breaks:
         assert r"^\d+\." not in plan  # its lines' texts are not made
+
+
+def test_many_parts_are_not_broadcast(spark, small, monkeypatch):
+    few, documents = queries.raw_lines(spark, small).collect(), files.manuscript.documents(spark, small).count()
+    monkeypatch.setattr(files.manuscript, "MOST_PARTS", 10)
+    for made, n in ((queries.raw_lines, len(few)), (files.manuscript.documents, documents)):
+        df = made(spark, small)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == n
+    assert sorted(queries.raw_lines(spark, small).collect()) == sorted(few)
