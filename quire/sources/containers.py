@@ -29,9 +29,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,7 +186,7 @@ class _Reader(DataSourceReader):
         system, base, before = system_of(self.folder)
         wanted = ((p, n) for p, n in _found(system, base) if fnmatch.fnmatchcase(p.rpartition("/")[2].lower(), self.pattern) and self._fits("path", before + p))
         files = _listed((p.removeprefix(f"{base}/"), n) for p, n in wanted)
-        weight = (pc.sum(files["size"]).as_py() or 0) + OPEN_BYTES * files.num_rows
+        weight = sum(n + OPEN_BYTES for _, n in _rows(files))
         # A plan without tasks is an error, so an empty one stands for no files.
         return planned(_rows(files), self.each, self.tasks, weight) or [Slice.of([])]
 
@@ -386,6 +384,8 @@ def _moves(system: fs.FileSystem, path: str) -> Iterator[list[str]]:
 
 def _repeated(names: Callable[[], Iterator[str]], n: int) -> Iterator[str]:
     """Names, of about n, that come more than once; only those whose hashes do are held, a group at a time."""
+    import numpy as np  # here alone, as each of the driver's workers imports this module
+
     rounds = -(-n // HASHES)
     for k in range(rounds):
         hashes = np.sort(np.fromiter((h for h in map(hash, names()) if h % rounds == k), np.int64))
